@@ -85,29 +85,35 @@ def active_chunks(df: DataFrame, min_user: int) -> DataFrame:
     return df.join(keep, SEQ, "left_semi")
 
 
-def dictionary(df: DataFrame, id_col: str = "item_id", ix_col: str = "item_ix") -> DataFrame:
-    """Dense 0..N-1 index in id order, without a one-task sort.
+def ordered_index(df: DataFrame, order: list, ix_col: str) -> DataFrame:
+    """Add a dense 0..N-1 index along ``order`` (a total order), without a one-task sort.
 
-    The ids are range-sorted over all tasks and stored once; the offset of a partition is the
-    number of ids before it, a table with one row per partition.
+    The rows are range-sorted over all tasks and stored once; the offset of a partition is the
+    number of rows before it, a table with one row per partition.
     """
-    mid = F.monotonically_increasing_id()
-    ids = settle(df.select(id_col).distinct().orderBy(id_col).select(id_col, mid.alias("_mid")))
+    rows = settle(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned("_mid", 33)
-    sizes = ids.groupBy(part.alias("_part")).count().collect()
-    offset, rows = 0, []
+    sizes = rows.groupBy(part.alias("_part")).count().collect()
+    offset, table = 0, []
     for r in sorted(sizes, key=lambda r: r["_part"]):
-        rows.append((r["_part"], offset))
+        table.append((r["_part"], offset))
         offset += r["count"]
-    offsets = df.sparkSession.createDataFrame(rows, "_part bigint, _off bigint")
+    offsets = df.sparkSession.createDataFrame(table, "_part bigint, _off bigint")
     local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     return (
-        ids.withColumn("_part", part)
+        rows.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
-        .select(id_col, (F.col("_off") + local).cast("int").alias(ix_col))
+        .withColumn(ix_col, F.col("_off") + local)
+        .drop("_part", "_off", "_mid")
     )
 
 
+def dictionary(df: DataFrame, id_col: str = "item_id", ix_col: str = "item_ix") -> DataFrame:
+    """Dense 0..N-1 index of the distinct ids, in id order."""
+    ids = ordered_index(df.select(id_col).distinct(), [id_col], ix_col)
+    return ids.withColumn(ix_col, F.col(ix_col).cast("int"))
+
+
 def encode(df: DataFrame, item_dim: DataFrame) -> DataFrame:
     """Replace the item id by its dense index; rows without a dictionary entry are dropped."""
     return df.join(broadcast_if_small(item_dim), "item_id").drop("item_id")
