@@ -19,13 +19,17 @@ REQUEST_ROWS = 50_000
 SCORE_SCHEMA = "request_id bigint, item_ix int, score double"
 
 
-def known_history(requests: DataFrame, item_dim: DataFrame) -> DataFrame:
-    """Request histories as positions; unknown items are dropped and the rest closes up.
+def request_rows(requests: DataFrame) -> DataFrame:
+    """Requests with an array ``history`` as rows ``(request_id, pos, item_id)``."""
+    return requests.select("request_id", F.posexplode("history").alias("pos", "item_id"))
 
-    The gaps left by unknown items need no renumbering: only the order of positions counts.
+
+def known_history(rows: DataFrame, item_dim: DataFrame) -> DataFrame:
+    """Request rows as positions of the model; unknown items are dropped.
+
+    The gaps they leave need no renumbering: only the order of positions counts.
     """
-    flat = requests.select("request_id", F.posexplode("history").alias("pos", "item_id"))
-    return flat.join(broadcast_if_small(item_dim), "item_id").select(
+    return rows.join(broadcast_if_small(item_dim), "item_id").select(
         F.col("request_id").alias("user_id"),
         F.lit(0).alias("chunk"),
         F.col("pos").cast("bigint").alias("t"),
@@ -34,9 +38,9 @@ def known_history(requests: DataFrame, item_dim: DataFrame) -> DataFrame:
     )
 
 
-def request_states(requests: DataFrame, item_dim: DataFrame, model: Model) -> DataFrame:
+def request_states(rows: DataFrame, item_dim: DataFrame, model: Model) -> DataFrame:
     """Next-state vector per request; requests without a known item give no row."""
-    nxt = next_state(sequences(known_history(requests, item_dim)), model)
+    nxt = next_state(sequences(known_history(rows, item_dim)), model)
     return nxt.select(F.col("user_id").alias("request_id"), F.col("next").alias("q"))
 
 

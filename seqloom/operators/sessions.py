@@ -120,12 +120,16 @@ def encode(df: DataFrame, item_dim: DataFrame) -> DataFrame:
 
 
 def item_positions(encoded: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """Item mode: one position per (session, item), ordered by session, then item."""
+    """Item mode: one position per (session, item), ordered by session, then item.
+
+    A position counts as one click here, however often the item came up in the session.
+    """
     order = F.col("session_ix").cast("long") * SESSION_SHIFT + F.col("item_ix")
     df = encoded.withColumn("_ord", order)
     blocks = skew.find_blocks(df, SEQ, F.col("_ord"), hot_rows)
     df = skew.position(blocks.assign(df, F.col("_ord")), blocks, "_ord", "t")
-    return df.select(*SEQ, "t", "session_ix", "item_ix", "n")
+    one = F.lit(1).cast("bigint").alias("n")
+    return df.select(*SEQ, "t", "session_ix", "item_ix", one)
 
 
 def session_positions(encoded: DataFrame, hot_rows: int | None = None) -> DataFrame:

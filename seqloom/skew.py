@@ -151,9 +151,10 @@ def running(df: DataFrame, blocks: Blocks, order: str, name: str, value: Column)
     return _shift(out, df, blocks, name, F.sum(value))
 
 
-def position(df: DataFrame, blocks: Blocks, order: str, name: str) -> DataFrame:
-    """0-based position of a row in its key."""
-    out = df.withColumn(name, (F.row_number().over(blocks.window(order)) - 1).cast("long"))
+def position(df: DataFrame, blocks: Blocks, order: str | list[str], name: str) -> DataFrame:
+    """0-based position of a row in its key; the first order column is the one the blocks cut."""
+    w = blocks.window(*([order] if isinstance(order, str) else order))
+    out = df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
     return _shift(out, df, blocks, name, F.count("*"))
 
 
