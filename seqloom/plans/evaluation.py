@@ -10,7 +10,7 @@ from ..runtime import scratch_path
 from ..streaming import online
 from .latent import PRIOR, all_transitions, reestimated
 from .registry import GAP, TYPES, query
-from .relational import LENGTHS, SWITCH, TEST_USER, dashboard, spread
+from .relational import LENGTHS, SWITCH, test_user, dashboard, spread
 from .sql import evidence_steps, filter_steps, r6, sql, step
 
 # ---- likelihood studies -----------------------------------------------------------------------------
@@ -29,7 +29,7 @@ step("train_share", "SELECT item_ix, (c + 2) / sum(c + 2) OVER () AS p FROM trai
     ),
 )
 def _(v):
-    rows = evaluate.by_split(v.seq, TEST_USER)
+    rows = evaluate.by_split(v.seq, test_user())
     shares = evaluate.smoothed_popularity(evaluate.popularity(rows.where("split = 'train'"), v.dim))
     out = evaluate.baseline_log_lik(rows, shares, ["split"])
     return out.withColumn("log_lik", F.round("log_lik", 6))
@@ -38,7 +38,7 @@ def _(v):
 @query("D2_held_out")
 def _(v):
     """Fit on the train users; fitted and baseline likelihood on both splits."""
-    rows = evaluate.by_split(v.seq, TEST_USER)
+    rows = evaluate.by_split(v.seq, test_user())
     return evaluate.held_out(rows, v.dim, 3, PRIOR, [1], max_iter=8)
 
 
@@ -66,7 +66,7 @@ def _(v):
 def _(v):
     """Number of states and share of users; every configuration appends to one stored table."""
     path = scratch_path(v.spark, "grid")
-    rows = evaluate.by_split(v.seq, TEST_USER)
+    rows = evaluate.by_split(v.seq, test_user())
     configs = [{"states": 2}, {"states": 4}, {"states": 2, "share": 0.5}]
     evaluate.grid_study(rows, v.dim, configs, PRIOR, 3, lambda df: df.write.mode("append").parquet(path))
     return v.spark.read.parquet(path)
@@ -205,7 +205,7 @@ def _(v):
 
 
 def stream(v):
-    return online.click_stream(v.spark, f"{v.folder}/events.parquet", TYPES)
+    return online.click_stream(v.spark, f"{v.folder}/events*.parquet", TYPES)
 
 
 step(

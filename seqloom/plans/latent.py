@@ -11,7 +11,7 @@ from ..operators import em, estep, factor, scoring, state_table, states
 from ..operators.model import emission_long, matrix_table, vector_table
 from ..runtime import settle
 from .registry import query
-from .relational import TEST_USER, known_dim, long_model, requests, spread
+from .relational import test_user, known_dim, long_model, requests, spread
 from .sql import emission_stats, evidence_steps, filter_steps, model_steps, mstep_steps, r6, sql, step
 
 KEYS = ["user_id", "chunk", "t"]
@@ -297,13 +297,13 @@ mstep_steps("tms", "tfw_small", "tfw_emis")
 def split_models(v):
     from ..operators.model import labelled_model
 
-    return [labelled_model(v.labelled.where(c), v.dim, 3) for c in (~TEST_USER, TEST_USER)]
+    return [labelled_model(v.labelled.where(c), v.dim, 3) for c in (~test_user(), test_user())]
 
 
 def reestimated(v):
     """The train model and its parameters re-estimated once on the test users."""
     train = split_models(v)[0]
-    return train, em.reestimate(estep.sequences(v.seq.where(TEST_USER)), train, PRIOR)
+    return train, em.reestimate(estep.sequences(v.seq.where(test_user())), train, PRIOR)
 
 
 @query("H21_reestimate", sql(long_sql("tms"), "tms", "tms_emis"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import skew, sources
@@ -21,7 +21,7 @@ LENGTHS = [1, 3, 5, 8, 10, 15, 20, 25, 30, 50, 100, 200]
 COLS = "user_id, item_id, us, ad_type"
 
 
-def text(col) -> F.Column:
+def text(col: Column) -> Column:
     return F.concat_ws(",", col.cast("array<string>"))
 
 
@@ -96,7 +96,12 @@ def _(v):
     return dashboard(v)
 
 
-TEST_USER = F.col("user_id") % 5 == 0
+
+
+def test_user() -> Column:
+    return F.col("user_id") % 5 == 0
+
+
 TEST = "CASE WHEN user_id % 5 = 0 THEN 'test' ELSE 'train' END"
 step("split_seq", f"SELECT *, {TEST} AS split FROM seq", "seq")
 
@@ -111,7 +116,7 @@ step("split_seq", f"SELECT *, {TEST} AS split FROM seq", "seq")
 )
 def _(v):
     path = scratch_path(v.spark, "split")
-    sources.save_split(evaluate.by_split(v.seq, TEST_USER), path)
+    sources.save_split(evaluate.by_split(v.seq, test_user()), path)
     rows = [
         sources.load_split(v.spark, path, s).groupBy("split").agg(
             F.count("*").alias("rows"),
@@ -532,7 +537,7 @@ for _s, _c in (("train", "user_id % 5 <> 0"), ("test", "user_id % 5 = 0")):
 )
 def _(v):
     models = [
-        model.labelled_model(v.labelled.where(c), v.dim, 3, prior=0.0) for c in (~TEST_USER, TEST_USER)
+        model.labelled_model(v.labelled.where(c), v.dim, 3, prior=0.0) for c in (~test_user(), test_user())
     ]
     pairs = evaluate.compare_transitions(v.spark, models[0].trans, models[1].trans)
     return pairs.select("i", "j", F.round("fitted", 6).alias("fitted"), F.round("observed", 6).alias("observed"))
@@ -632,7 +637,7 @@ def _(v):
     ),
 )
 def _(v):
-    rows = evaluate.by_split(v.seq, TEST_USER)
+    rows = evaluate.by_split(v.seq, test_user())
     parts = {"all": rows, "train": rows.where("split = 'train'"), "test": rows.where("split = 'test'")}
     out = [evaluate.popularity(r, v.dim).withColumn("split", F.lit(s)) for s, r in parts.items()]
     return out[0].unionByName(out[1]).unionByName(out[2])
@@ -974,7 +979,7 @@ def _(v):
     sql("SELECT item_ix, CAST(sum(n) AS BIGINT) AS clicks FROM seq GROUP BY item_ix", "seq"),
 )
 def _(v):
-    rows = evaluate.by_split(v.seq, TEST_USER)
+    rows = evaluate.by_split(v.seq, test_user())
     part = F.when(F.col("split") == "test", "test").when(F.col("user_id") % 5 == 1, "validation").otherwise("train")
     rows = rows.withColumn("split", part)
     pooled = None
