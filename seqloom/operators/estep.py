@@ -30,6 +30,7 @@ SEGMENT = 2048
 BLOCK_ENTRIES = 500_000
 WORK_DOUBLES = 4_000_000
 FAN = 128
+GROUP_OPS = 8192
 
 KEY_SCHEMA = "user_id bigint, chunk int, seg int"
 SCHEMAS = {
@@ -329,7 +330,8 @@ def edges(seqs: Sequences, models: list[Model], sharded: bool | None = None) ->
     """State before and likelihood after each segment of the sequences that have several.
 
     Prefix scan over the segment operators: products are combined FAN at a time until one is left
-    per sequence, then the start and the future are handed back down level by level.
+    per sequence, then the start and the future are handed back down level by level.  The units of
+    at most FAN operators are hashed into groups of bounded size.
     """
     k, n = models[0].states, len(models)
     part = Sequences(
@@ -337,14 +339,23 @@ def edges(seqs: Sequences, models: list[Model], sharded: bool | None = None) ->
     )
     ops = run(part, models, "transfer", sharded)
     ops = ops.select(*SEQ, "restart", F.col("seg").cast("bigint").alias("node"), "op")
+    groups = max(1, seqs.segments * n // GROUP_OPS)
+    parent_of = F.floor(F.col("node") / FAN).cast("bigint").alias("up")
+    group_of = F.pmod(F.xxhash64(*SEQ, "restart", "up"), F.lit(groups)).cast("int").alias("grp")
+
+    def grouped(df: DataFrame):
+        return df.select("*", parent_of).select("*", group_of).groupBy("grp")
+
+    def combine(table: pa.Table) -> pa.Table:
+        return _combine(table, k)
+
+    def hand_down(table: pa.Table) -> pa.Table:
+        return _hand_down(table, k)
+
     levels = [settle(ops)]
     top = levels[0].agg(F.max("node")).first()[0] or 0
     while top > 0:
-        up = levels[-1].withColumn("up", F.floor(F.col("node") / FAN).cast("bigint"))
-        up = up.groupBy(*SEQ, "restart", "up").applyInPandas(
-            partial(_combine, k=k), f"user_id bigint, chunk int, restart int, node bigint, op {VEC}"
-        )
-        levels.append(settle(up))
+        levels.append(settle(grouped(levels[-1]).applyInArrow(combine, COMBINED)))
         top //= FAN
     starts = F.array(*[F.array(*[F.lit(float(x)) for x in m.pi]) for m in models])
     ones = F.array(*[F.lit(1.0)] * k)
@@ -353,15 +364,10 @@ def edges(seqs: Sequences, models: list[Model], sharded: bool | None = None) ->
     )
     for level in reversed(levels[:-1]):
         parent = state.withColumnRenamed("node", "up")
-        child = level.withColumn("up", F.floor(F.col("node") / FAN).cast("bigint"))
-        state = (
-            child.join(parent, [*SEQ, "restart", "up"])
-            .groupBy(*SEQ, "restart", "up")
-            .applyInPandas(
-                partial(_hand_down, k=k),
-                f"user_id bigint, chunk int, restart int, node bigint, begin {VEC}, future {VEC}",
-            )
-        )
+        child = level.select("*", parent_of).join(parent, [*SEQ, "restart", "up"])
+        child = child.select("*", group_of).groupBy("grp")
+        state = child.applyInArrow(hand_down, HANDED)
+
     def ordered(c):
         return F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("restart", c))), lambda s: s[c]))
 
@@ -371,37 +377,58 @@ def edges(seqs: Sequences, models: list[Model], sharded: bool | None = None) ->
     return settle(out)
 
 
-def _sorted_ops(pdf, k):
-    pdf = pdf.sort_values("node")
-    return pdf, np.stack(pdf["op"].to_list()).reshape(-1, k, k)
-
-
-def _combine(pdf, k):
-    pdf, ops = _sorted_ops(pdf, k)
-    out = ops[0]
-    for op in ops[1:]:
-        out = kernel.scaled(out @ op)
-    head = pdf.iloc[:1][[*SEQ, "restart"]].copy()
-    head["node"] = pdf["up"].iloc[0]
-    head["op"] = [out.ravel()]
-    return head
+COMBINED = f"user_id bigint, chunk int, restart int, node bigint, op {VEC}"
+HANDED = f"user_id bigint, chunk int, restart int, node bigint, begin {VEC}, future {VEC}"
+
+
+def _units(table: pa.Table, k: int):
+    """Rows of a group sorted by unit and node, with the operators and the bounds of the units."""
+    keys = [*SEQ, "restart", "up"]
+    table = table.sort_by([(c, "ascending") for c in [*keys, "node"]]).combine_chunks()
+    cols = [table.column(c).to_numpy() for c in keys]
+    new = np.r_[True, np.any([c[1:] != c[:-1] for c in cols], axis=0)]
+    start = np.flatnonzero(new)
+    length = np.diff(np.r_[start, table.num_rows])
+    ops = table.column("op").combine_chunks().flatten().to_numpy().reshape(-1, k, k)
+    order, active = kernel.by_length(length)
+    return table, ops, start, start[order], active
+
+
+def _combine(table: pa.Table, k: int) -> pa.Table:
+    table, ops, start, first, active = _units(table, k)
+    out = ops[first]
+    for t, m in enumerate(active[1:], 1):
+        out[:m] = kernel.scaled(out[:m] @ ops[first[:m] + t])
+    head = table.take(first)
+    names = ["user_id", "chunk", "restart", "up"]
+    return pa.Table.from_arrays(
+        [*[head.column(c) for c in names], _vectors(out.reshape(len(out), k * k))],
+        names=["user_id", "chunk", "restart", "node", "op"],
+    )
 
 
-def _hand_down(pdf, k):
-    pdf, ops = _sorted_ops(pdf, k)
+def _hand_down(table: pa.Table, k: int) -> pa.Table:
+    table, ops, start, first, active = _units(table, k)
     begin, future = np.empty((len(ops), k)), np.empty((len(ops), k))
-    a, b = np.array(pdf["begin"].iloc[0]), np.array(pdf["future"].iloc[0])
-    for i, op in enumerate(ops):
-        begin[i] = a
-        a = a @ op
-        a = a / a.sum() if a.sum() > 0 else a
-    for i in range(len(ops) - 1, -1, -1):
-        future[i] = b
-        b = ops[i] @ b
-        b = b / b.max() if b.max() > 0 else b
-    out = pdf[[*SEQ, "restart", "node"]].copy()
-    out["begin"], out["future"] = list(begin), list(future)
-    return out
+    head = table.take(first)
+    a = head.column("begin").combine_chunks().flatten().to_numpy().reshape(-1, k).copy()
+    b = head.column("future").combine_chunks().flatten().to_numpy().reshape(-1, k).copy()
+    for t, m in enumerate(active):
+        at = first[:m] + t
+        begin[at] = a[:m]
+        a[:m] = (a[:m, None, :] @ ops[at])[:, 0]
+        a[:m] = kernel.ratio(a[:m], np.broadcast_to(a[:m].sum(axis=1, keepdims=True), (m, k)))
+    for t in range(len(active) - 1, -1, -1):
+        m = active[t]
+        at = first[:m] + t
+        future[at] = b[:m]
+        b[:m] = (ops[at] @ b[:m, :, None])[:, :, 0]
+        b[:m] = kernel.ratio(b[:m], np.broadcast_to(b[:m].max(axis=1, keepdims=True), (m, k)))
+    names = ["user_id", "chunk", "restart", "node"]
+    return pa.Table.from_arrays(
+        [*[table.column(c) for c in names], _vectors(begin), _vectors(future)],
+        names=[*names, "begin", "future"],
+    )
 
 
 def statistics(seqs: Sequences, models: list[Model], kind: str = "stats", sharded=None) -> DataFrame:

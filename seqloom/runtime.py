@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -12,8 +14,24 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="seqloom-"), "seqloom")
+    root, name = os.path.split(package)
+    spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", root, name))
+    _SHIPPED.add(app)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin what results depend on: UTC, and adaptive re-planning for skewed joins."""
+    """Pin what results depend on: UTC, adaptive re-planning for skewed joins, code on executors."""
+    ship(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     return spark
