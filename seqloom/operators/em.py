@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import settle
 from .estep import Sequences, statistics
-from .model import VEC, Model, emission_table, normalise_columns, sum_vector
+from .model import DENSE_LIMIT, VEC, Model, emission_table, normalise_columns, sum_vector
 
 
 @dataclass(frozen=True)
@@ -195,7 +195,8 @@ def fit(
     live = list(range(len(models)))
     for it in range(max_iter):
         stats = statistics(seqs, [models[r] for r in live], sharded=sharded)
-        big = emission_step is not None or not all(models[r].fits for r in live)
+        size = sum(models[r].n_items * models[r].states for r in live)
+        big = emission_step is not None or size > 4 * DENSE_LIMIT
         rows = {} if big else _by_restart(stats.collect())
         stats = settle(stats) if big else stats
         still = []

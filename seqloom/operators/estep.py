@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from ..runtime import settle
 from . import kernel
-from .model import VEC, Model, joined_vector, sum_vector
+from .model import DENSE_LIMIT, VEC, Model, joined_vector, sum_vector
 from .sessions import SEQ
 
 SEGMENT = 2048
-BLOCK_ENTRIES = 500_000
+BLOCK_DOUBLES = 20_000_000
 WORK_DOUBLES = 4_000_000
 FAN = 128
 GROUP_OPS = 8192
@@ -306,6 +306,10 @@ def run(seqs: Sequences, models: list[Model], kind: str, sharded: bool | None =
     small = [(m.pi, m.trans) for m in models]
     if sharded is None:
         sharded = not all(m.fits for m in models)
+    if not sharded and len(models) > 1 and sum(m.n_items * m.states for m in models) > DENSE_LIMIT:
+        half = len(models) // 2
+        rest = run(seqs, models[half:], kind, False).withColumn("restart", F.col("restart") + half)
+        return run(seqs, models[:half], kind, False).unionByName(rest)
     df = seqs.df
     if seqs.cut and kind != "transfer":
         df = df.join(edges(seqs, models, sharded), [*SEQ, "seg"], "left")
@@ -314,7 +318,7 @@ def run(seqs: Sequences, models: list[Model], kind: str, sharded: bool | None =
             log_v = np.log(np.hstack([m.dense for m in models]))
         shared = df.sparkSession.sparkContext.broadcast((small, log_v))
         return df.mapInArrow(partial(_map_dense, kind=kind, shared=shared), SCHEMAS[kind])
-    blocks = max(1, -(-seqs.entries // BLOCK_ENTRIES))
+    blocks = max(1, -(-seqs.entries * len(models) * models[0].states // BLOCK_DOUBLES))
     df = df.withColumn("blk", F.pmod(F.xxhash64(*SEQ, "seg"), F.lit(blocks)).cast("int"))
     need = df.select("blk", F.explode("items").alias("item_ix")).distinct()
     rows = need.join(_side_by_side(models), "item_ix").select(F.col("blk").alias("at"), "item_ix", "vec")

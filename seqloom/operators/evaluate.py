@@ -72,9 +72,14 @@ def bands(df: DataFrame, by: list[str], value: str) -> DataFrame:
     )
 
 
-def quantile_grid(df: DataFrame, value: str, grid: list[float]) -> DataFrame:
-    """Exact quantiles of one column, one row per grid point."""
-    q = F.percentile(value, F.array(*[F.lit(g) for g in grid]))
+def quantile_grid(df: DataFrame, value: str, grid: list[float], exact: bool = True) -> DataFrame:
+    """Quantiles of one column, one row per grid point.
+
+    The exact form keeps a count per distinct value, which suits counts; use ``exact=False`` for
+    columns with very many distinct values.
+    """
+    points = F.array(*[F.lit(g) for g in grid])
+    q = F.percentile(value, points) if exact else F.percentile_approx(value, points, 10_000)
     points = F.arrays_zip(F.array(*[F.lit(g) for g in grid]).alias("q"), F.col("v"))
     return df.agg(q.alias("v")).select(F.explode(points).alias("p")).select(
         F.col("p.q").alias("q"), F.col("p.v").alias("value")

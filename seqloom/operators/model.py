@@ -155,4 +155,10 @@ def emission_long(emis: DataFrame) -> DataFrame:
 
 def gather(seq: DataFrame, emis: DataFrame) -> DataFrame:
     """Emission vector of every click: broadcast after a size check, else a join AQE may split."""
-    return seq.join(broadcast_if_small(emis), "item_ix")
+    return seq.join(vectors_side(emis), "item_ix")
+
+
+def vectors_side(emis: DataFrame) -> DataFrame:
+    """The item table as a join side, broadcast only if its vectors fit."""
+    head = emis.select(F.size("vec").alias("k")).first()
+    return broadcast_if_small(emis, 64 + 8 * head["k"]) if head else emis

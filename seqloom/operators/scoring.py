@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import dot, top_positions
 from ..runtime import broadcast_if_small
 from .estep import next_state, sequences
-from .model import Model
+from .model import Model, vectors_side
 
 TIE_DIGITS = 12
 REQUEST_ROWS = 50_000
@@ -151,7 +151,7 @@ def score_targets(
 ) -> DataFrame:
     """Scores of given ``(request_id, item_ix)`` pairs only."""
     q = keep_top_states(states, top_states)
-    pairs = targets.join(broadcast_if_small(model.emis), "item_ix").join(q, "request_id")
+    pairs = targets.join(vectors_side(model.emis), "item_ix").join(q, "request_id")
     return pairs.select("request_id", "item_ix", dot(F.col("q"), F.col("vec")).alias("score"))
 
 

@@ -26,17 +26,33 @@ def frequent_items(clicks: DataFrame, min_item: int) -> DataFrame:
     return clicks.join(keep.select("item_id"), "item_id", "left_semi")
 
 
-def active_users(clicks: DataFrame, min_user: int, blocks: skew.Blocks) -> DataFrame:
+def active_users(clicks: DataFrame, min_user: int, blocks: skew.Blocks, size=None) -> DataFrame:
     """Clicks of users with more than ``min_user`` clicks, with the count kept as ``user_n``."""
-    return skew.totals(clicks, blocks, {"user_n": F.count("*")}, "us").where(F.col("user_n") > min_user)
+    size = F.count("*") if size is None else size
+    return skew.totals(clicks, blocks, {"user_n": size}, "us").where(F.col("user_n") > min_user)
 
 
-def user_blocks(clicks: DataFrame, hot_rows: int | None) -> tuple[DataFrame, skew.Blocks]:
-    """Block the users that hold too many clicks; equal clicks of hot users are not collapsed."""
+def user_blocks(clicks: DataFrame, hot_rows: int | None = None) -> tuple[DataFrame, skew.Blocks]:
+    """Cut the users that hold too many clicks into blocks along time."""
     blocks = skew.find_blocks(clicks, ["user_id"], F.col("us"), hot_rows)
     return blocks.assign(clicks, F.col("us")), blocks
 
 
+def weighted_blocks(clicks: DataFrame, hot_rows: int | None) -> tuple[DataFrame, skew.Blocks]:
+    """Blocks over clicks with a weight ``w``.
+
+    A block cannot split clicks of one user at one instant.  When there are hot users, equal clicks
+    are therefore counted into one row first (combined before the shuffle), which leaves at most
+    one row per item for any instant.
+    """
+    blocks = skew.find_blocks(clicks, ["user_id"], F.col("us"), hot_rows)
+    if blocks.hot:
+        rows = clicks.groupBy("user_id", "item_id", "us").agg(F.count("*").alias("w"))
+    else:
+        rows = clicks.withColumn("w", F.lit(1).cast("bigint"))
+    return blocks.assign(rows, F.col("us")), blocks
+
+
 def gaps(clicks: DataFrame, blocks: skew.Blocks, gap_us: int = HALF_HOUR) -> DataFrame:
     """Time since the previous click of the user and the split flag (strictly above the gap)."""
     out = skew.previous(clicks, blocks, "us", ["us"], "prev_")
@@ -67,21 +83,23 @@ def sessionize(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Clicks to sessions.  One exchange on the user serves all windows and the final grouping."""
-    kept, blocks = user_blocks(frequent_items(clicks, min_item), hot_rows)
-    kept = active_users(kept.select("user_id", "item_id", "us", skew.BLK), min_user, blocks)
+    kept = frequent_items(clicks.select("user_id", "item_id", "us"), min_item)
+    kept, blocks = weighted_blocks(kept, hot_rows)
+    kept = active_users(kept, min_user, blocks, F.sum("w"))
     out = chunk_sessions(number_sessions(gaps(kept, blocks, gap_us), blocks, min_sessions), max_sessions)
     if max_sessions > 0:
-        out = active_chunks(out, min_user)
-    return out.groupBy(*SEQ, "session_ix", "item_id").agg(F.count("*").alias("n"))
+        out = active_chunks(out, min_user, F.sum("w"))
+    return out.groupBy(*SEQ, "session_ix", "item_id").agg(F.sum("w").alias("n"))
 
 
-def active_chunks(df: DataFrame, min_user: int) -> DataFrame:
+def active_chunks(df: DataFrame, min_user: int, size=None) -> DataFrame:
     """Drop chunks with at most ``min_user`` clicks.
 
     The counts are combined before their shuffle and joined back, so a hot user's chunks never
     meet in one task as they would in a window.
     """
-    keep = df.groupBy(*SEQ).count().where(F.col("count") > min_user).select(*SEQ)
+    size = F.count("*") if size is None else size
+    keep = df.groupBy(*SEQ).agg(size.alias("_c")).where(F.col("_c") > min_user).select(*SEQ)
     return df.join(keep, SEQ, "left_semi")
 
 

@@ -1078,26 +1078,28 @@ def _(v):
 @query(
     "E7_dense_blocks",
     sql(
-        """SELECT len, CAST(r // 10 AS INTEGER) AS bucket, CAST(count(*) AS INTEGER) AS height,
-        CAST(count(*) * len AS BIGINT) AS cells FROM (
-        SELECT len, row_number() OVER (PARTITION BY len ORDER BY user_id, chunk) - 1 AS r FROM order_len)
-        GROUP BY len, bucket""",
+        """SELECT len, CAST(r // 10 AS INTEGER) AS bucket, seg, CAST(count(*) AS INTEGER) AS height,
+        CAST(count(*) * least(4096, len - seg * 4096) AS BIGINT) AS cells FROM (SELECT *,
+        CAST(unnest(range((len + 4095) // 4096)) AS INTEGER) AS seg FROM (
+        SELECT len, row_number() OVER (PARTITION BY len ORDER BY user_id, chunk) - 1 AS r FROM order_len))
+        GROUP BY len, bucket, seg""",
         "order_len",
     ),
 )
 def _(v):
+    """Equal-length sequences stacked, one dense block per 4096 positions."""
     import numpy as np
 
-    rows = sessions.length_buckets(order_len(v), 10).select(*SEQ, "len", "bucket")
-    packed_rows = sessions.pack_items(v.order_items, 1 << 20).select(*SEQ, "items")
+    rows = sessions.length_buckets(order_len(v), 10).select(*SEQ, F.col("len").alias("whole"), "bucket")
+    packed_rows = sessions.pack_items(v.order_items, 4096).select(*SEQ, "seg", "items")
 
     def stack(pdf):
         block = np.stack(pdf["items"].to_list())
-        head = pdf.iloc[:1][["len", "bucket"]].copy()
+        head = pdf.iloc[:1][["whole", "bucket", "seg"]].rename(columns={"whole": "len"})
         return head.assign(height=np.int32(block.shape[0]), cells=np.int64(block.size))
 
-    return rows.join(packed_rows, SEQ).groupBy("len", "bucket").applyInPandas(
-        stack, "len bigint, bucket int, height int, cells bigint"
+    return rows.join(packed_rows, SEQ).groupBy("whole", "bucket", "seg").applyInPandas(
+        stack, "len bigint, bucket int, seg int, height int, cells bigint"
     )
 
 

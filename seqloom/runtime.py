@@ -10,8 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast by hand only when it has at most this many rows.
-BROADCAST_ROWS = 200_000
+# A side is broadcast by hand only when its rows, at their given width, stay below this size.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 _SHIPPED: set[str] = set()
@@ -63,7 +63,8 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting at most ``limit + 1`` rows, else leave the join to AQE."""
+def broadcast_if_small(df: DataFrame, row_bytes: int = 256) -> DataFrame:
+    """Hint a broadcast if the rows, counted up to the limit, fit; else leave the join to AQE."""
+    limit = BROADCAST_BYTES // row_bytes
     rows = df.limit(limit + 1).count()
     return F.broadcast(df) if rows <= limit else df
