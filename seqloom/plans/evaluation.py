@@ -266,25 +266,37 @@ def _(v):
     return last.select("user_id", *spread("next", "n"))
 
 
+# the live model knows the items of the dictionary only: others are dropped before sessions are cut
 step(
-    "raw_session_seq",
-    """SELECT user_id, CAST(0 AS INTEGER) AS chunk, CAST(s AS BIGINT) AS t, item_ix, count(*) AS n,
-    min(us) AS start_us, max(us) AS end_us FROM (
-    SELECT *, sum(split) OVER (PARTITION BY user_id ORDER BY us) AS s FROM gap_all) JOIN dim USING (item_id)
-    GROUP BY user_id, s, item_ix""",
-    "gap_all",
+    "gap_known",
+    """SELECT *, sum(split) OVER (PARTITION BY user_id ORDER BY us) AS s FROM (
+    SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) > 21600000000 THEN 1 ELSE 0 END AS split
+    FROM clicks JOIN dim USING (item_id))""",
+    "clicks",
     "dim",
 )
+step(
+    "known_sessions",
+    """SELECT user_id, s, min(us) AS start_us, max(us) AS end_us, count(*) AS items FROM gap_known
+    GROUP BY user_id, s""",
+    "gap_known",
+)
+step(
+    "raw_session_seq",
+    """SELECT user_id, CAST(0 AS INTEGER) AS chunk, CAST(s AS BIGINT) AS t, item_ix, count(*) AS n
+    FROM gap_known GROUP BY user_id, s, item_ix""",
+    "gap_known",
+)
 evidence_steps("raw_ev", "raw_session_seq", "hmm_emis", True)
 filter_steps("sfw", "raw_ev", "hmm")
 CLOSED_SQL = sql(
     """SELECT f.user_id, start_us, end_us, items, round(f.q0 * a00 + f.q1 * a10 + f.q2 * a20, 6) AS n0,
     round(f.q0 * a01 + f.q1 * a11 + f.q2 * a21, 6) AS n1, round(f.q0 * a02 + f.q1 * a12 + f.q2 * a22, 6) AS n2
-    FROM sfw f JOIN raw_sessions r ON r.user_id = f.user_id AND r.s = f.t, hmm
-    WHERE f.t < (SELECT max(s) FROM raw_sessions x WHERE x.user_id = f.user_id) OR """
+    FROM sfw f JOIN known_sessions r ON r.user_id = f.user_id AND r.s = f.t, hmm
+    WHERE f.t < (SELECT max(s) FROM known_sessions x WHERE x.user_id = f.user_id) OR """
     + CLOSED,
     "sfw",
-    "raw_sessions",
+    "known_sessions",
     "hmm",
 )
 
@@ -300,8 +312,8 @@ def _(v):
 
 @query(
     "R6_session_states",
-    sql("SELECT f.user_id, count(*) AS sessions, CAST(sum(items) AS BIGINT) AS items FROM sfw f JOIN raw_sessions r ON r.user_id = f.user_id AND r.s = f.t "
-    "WHERE f.t < (SELECT max(s) FROM raw_sessions x WHERE x.user_id = f.user_id) OR " + CLOSED + " GROUP BY f.user_id", "sfw", "raw_sessions"),
+    sql("SELECT f.user_id, count(*) AS sessions, CAST(sum(items) AS BIGINT) AS items FROM sfw f JOIN known_sessions r ON r.user_id = f.user_id AND r.s = f.t "
+    "WHERE f.t < (SELECT max(s) FROM known_sessions x WHERE x.user_id = f.user_id) OR " + CLOSED + " GROUP BY f.user_id", "sfw", "known_sessions"),
 )
 def _(v):
     return closed(v).groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("items").alias("items"))

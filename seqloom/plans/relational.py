@@ -843,9 +843,9 @@ def _(v):
     ),
 )
 def _(v):
-    rows = sessions.number_sessions(*all_gaps(v), min_sessions=3)
-    often = rows.groupBy("user_id").agg(F.count("*").alias("c")).where(F.col("c") > 10)
-    rows = rows.join(often, "user_id", "left_semi")
+    kept, blocks = sessions.user_blocks(sessions.frequent_items(v.clicks, 1))
+    kept = sessions.active_users(kept, 10, blocks)
+    rows = sessions.number_sessions(sessions.gaps(kept, blocks, GAP), blocks, 3)
     keys = ["user_id", "session_ix", "item_id"]
     return rows.join(rows.groupBy(*keys).agg(F.count("*").alias("n")), keys).select(*keys, "us", "n")
 
