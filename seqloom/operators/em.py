@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import settle
 from .estep import Sequences, statistics
-from .model import DENSE_LIMIT, VEC, Model, emission_table, normalise_columns, sum_vector
+from .model import DENSE_LIMIT, VEC, Model, normalise_columns, sum_vector, vector_rows
 
 
 @dataclass(frozen=True)
@@ -64,49 +66,44 @@ def random_model(items: DataFrame, states: int, prior: Prior, seed: int, weight=
 
 def m_step(model: Model, stats: DataFrame, prior: Prior, restart: int = 0) -> tuple[Model, float]:
     """New parameters from summed expected counts, and the log-likelihood they came with."""
-    k = model.states
     mine = stats.where(F.col("restart") == restart)
     if model.fits:
-        return _m_step_rows(model, mine.select("kind", "ix", "vec").collect(), prior)
-    small = mine.where(F.col("kind") != "emis").collect()
-    pi, trans, lik, _ = _small(small, k)
+        return _m_step_dense(model, mine.toArrow(), prior)
+    pi, trans, lik = _small(mine.where(F.col("kind") != "emis").toArrow(), model.states)
     emis = _emission_table(model, mine.where(F.col("kind") == "emis"), prior)
-    return _next(model, pi, trans, emis, prior), lik
-
-
-def _small(rows, k):
-    pi, trans, lik, emis = np.zeros(k), np.zeros((k, k)), 0.0, {}
-    for r in rows:
-        if r["kind"] == "pi":
-            pi = np.array(r["vec"])
-        elif r["kind"] == "trans":
-            trans[r["ix"]] = r["vec"]
-        elif r["kind"] == "lik":
-            lik = r["vec"][0]
-        else:
-            emis[r["ix"]] = r["vec"]
-    return pi, trans, lik, emis
+    return Model(*_shares(model, pi, trans, prior), emis, model.history), lik
+
+
+def _of_kind(rows: pa.Table, kind: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    part = rows.filter(pc.equal(rows.column("kind"), kind))
+    return part.column("ix").to_numpy(), vector_rows(part.column("vec"), k)
 
 
-def _next(model: Model, pi, trans, emis: DataFrame, prior: Prior) -> Model:
-    return Model(
+def _small(rows: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    pi, trans = np.zeros(k), np.zeros((k, k))
+    for _, vec in zip(*_of_kind(rows, "pi", k)):
+        pi = vec
+    ix, vec = _of_kind(rows, "trans", k)
+    trans[ix] = vec
+    return pi, trans, float(_of_kind(rows, "lik", k)[1][:, 0].sum())
+
+
+def _shares(model: Model, pi, trans, prior: Prior):
+    return (
         row_shares(pi + prior.pi - 1, model.pi),
         row_shares(trans + prior.matrix(model.states) - 1, model.trans),
-        emis,
-        model.history,
     )
 
 
-def _m_step_rows(model: Model, rows, prior: Prior) -> tuple[Model, float]:
-    pi, trans, lik, sums = _small(rows, model.states)
+def _m_step_dense(model: Model, rows: pa.Table, prior: Prior) -> tuple[Model, float]:
+    pi, trans, lik = _small(rows, model.states)
     old = model.dense
     weight = np.full(old.shape, prior.emis - 1.0)
-    for ix, vec in sums.items():
-        weight[ix] += vec
+    ix, vec = _of_kind(rows, "emis", model.states)
+    weight[ix] += vec
     new = row_shares(weight.T, old.T).T
-    out = _next(model, pi, trans, emission_table(model.emis.sparkSession, new), prior)
-    out.dense, out.n_items = new, model.n_items
-    return out, lik
+    spark = model._spark
+    return Model(*_shares(model, pi, trans, prior), None, model.history, dense=new, spark=spark), lik
 
 
 def _emission_table(model: Model, sums: DataFrame, prior: Prior) -> DataFrame:
@@ -190,24 +187,28 @@ def fit(
     checkpointed), so the lineage does not grow with the rounds.  ``emission_step(model, stats,
     prior, restart)`` may replace the item part of the M-step.
     """
-    models = [replace(m, history=[]) for m in starts]
+    models = list(starts)
+    traces: list[list[tuple[int, float]]] = [[] for _ in models]
     rules = [_Stop(tol) for _ in models]
     live = list(range(len(models)))
     for it in range(max_iter):
         stats = statistics(seqs, [models[r] for r in live], sharded=sharded)
         size = sum(models[r].n_items * models[r].states for r in live)
         big = emission_step is not None or size > 4 * DENSE_LIMIT
-        rows = {} if big else _by_restart(stats.collect())
+        rows = None if big else stats.toArrow()
         stats = settle(stats) if big else stats
         still = []
         for pos, r in enumerate(live):
             if big:
                 new, lik = m_step(models[r], stats, prior, pos)
                 if emission_step is not None:
-                    new = replace(new, emis=emission_step(r, stats.where(F.col("restart") == pos)))
+                    emis = emission_step(r, stats.where(F.col("restart") == pos))
+                    new = Model(new.pi, new.trans, emis)
             else:
-                new, lik = _m_step_rows(models[r], rows.get(pos, []), prior)
-            new.history = [*models[r].history, (it, float(lik))]
+                mine = rows.filter(pc.equal(rows.column("restart"), pos))
+                new, lik = _m_step_dense(models[r], mine, prior)
+            traces[r].append((it, lik))
+            new.history = traces[r]
             models[r] = new
             if not rules[r].seen(lik):
                 still.append(r)
@@ -219,13 +220,6 @@ def fit(
     return models
 
 
-def _by_restart(rows):
-    out: dict[int, list] = {}
-    for r in rows:
-        out.setdefault(r["restart"], []).append(r)
-    return out
-
-
 def reestimate(seqs: Sequences, model: Model, prior: Prior, sharded=None) -> Model:
     """Parameters one E and M step would give on another data set."""
     return m_step(model, settle(statistics(seqs, [model], sharded=sharded)), prior)[0]

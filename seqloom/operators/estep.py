@@ -61,8 +61,12 @@ class Sequences:
 def sequences(seq: DataFrame, segment: int = SEGMENT, keep: bool = True) -> Sequences:
     """Cut and pack ``(user_id, chunk, t, item_ix, n)`` into segments of ``segment`` positions."""
     size = F.floor(F.col("t") / segment).cast("int")
+    spark = seq.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     df = (
         seq.withColumn("seg", size)
+        # the number of tasks follows the work per position, not the bytes: keep it from shrinking
+        .repartition(tasks, *SEQ, "seg")
         .groupBy(*SEQ, "seg")
         .agg(
             F.array_sort(F.collect_list(F.struct("t", "item_ix", F.col("n").cast("double").alias("n")))).alias("e")

@@ -7,10 +7,10 @@ shows that they fit (`dense`); otherwise all operators join the table.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,17 +21,35 @@ DENSE_LIMIT = 4_000_000
 VEC = "array<double>"
 
 
-@dataclass
 class Model:
-    pi: np.ndarray
-    trans: np.ndarray
-    emis: DataFrame
-    history: list[tuple[int, float]] = field(default_factory=list)
+    """Parameters of one fit.  Given the item table or, for small models, its dense N x K array;
+    the other form is built on first use."""
+
+    def __init__(
+        self,
+        pi: np.ndarray,
+        trans: np.ndarray,
+        emis: DataFrame | None = None,
+        history: list[tuple[int, float]] | None = None,
+        dense: np.ndarray | None = None,
+        spark: SparkSession | None = None,
+    ):
+        self.pi, self.trans = pi, trans
+        self.history = list(history or [])
+        self._emis, self._spark = emis, spark or emis.sparkSession
+        if dense is not None:
+            self.dense, self.n_items = dense, len(dense)
 
     @property
     def states(self) -> int:
         return len(self.pi)
 
+    @property
+    def emis(self) -> DataFrame:
+        if self._emis is None:
+            self._emis = emission_table(self._spark, self.dense)
+        return self._emis
+
     @cached_property
     def n_items(self) -> int:
         return self.emis.count()
@@ -46,13 +64,18 @@ class Model:
         """Item probabilities as an N x K array; refused for models beyond the limit."""
         if not self.fits:
             raise ValueError("too many items to hold in one process, use the sharded operators")
-        rows = self.emis.select("item_ix", "vec").collect()
-        out = np.zeros((max((r[0] for r in rows), default=-1) + 1, self.states))
-        for r in rows:
-            out[r[0]] = r[1]
+        rows = self.emis.select("item_ix", "vec").toArrow()
+        ix = rows.column("item_ix").to_numpy()
+        out = np.zeros((int(ix.max()) + 1 if len(ix) else 0, self.states))
+        out[ix] = vector_rows(rows.column("vec"), self.states)
         return out
 
 
+def vector_rows(column, k: int) -> np.ndarray:
+    """An Arrow column of K-entry lists as a matrix."""
+    return column.combine_chunks().flatten().to_numpy().reshape(-1, k)
+
+
 def matrix_table(spark: SparkSession, m: np.ndarray) -> DataFrame:
     rows = [(i, j, float(v)) for (i, j), v in np.ndenumerate(m)]
     return spark.createDataFrame(rows, "i int, j int, p double")
@@ -64,8 +87,11 @@ def vector_table(spark: SparkSession, v: np.ndarray) -> DataFrame:
 
 def emission_table(spark: SparkSession, dense: np.ndarray) -> DataFrame:
     """Dense N x K array as ``emis(item_ix, vec)``; for arrays that were small enough to hold."""
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(dense)]
-    return spark.createDataFrame(rows, f"item_ix int, vec {VEC}")
+    n, k = dense.shape
+    offsets = pa.array(np.arange(0, n * k + 1, k, dtype=np.int32))
+    vec = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(dense, dtype=np.float64).ravel()))
+    table = pa.Table.from_arrays([pa.array(np.arange(n, dtype=np.int32)), vec], names=["item_ix", "vec"])
+    return spark.createDataFrame(table)
 
 
 def from_tables(pi: DataFrame, trans: DataFrame, emis: DataFrame, history=None) -> Model:
@@ -74,7 +100,7 @@ def from_tables(pi: DataFrame, trans: DataFrame, emis: DataFrame, history=None)
     a = np.zeros((k, k))
     for r in trans.collect():
         a[r["i"], r["j"]] = r["p"]
-    return Model(np.array([p[i] for i in range(k)]), a, emis, history or [])
+    return Model(np.array([p[i] for i in range(k)]), a, emis, history)
 
 
 def save(model: Model, path: str) -> None:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import dot, top_positions
+from ..functions.scalars import top_positions
 from ..runtime import broadcast_if_small
 from .estep import next_state, sequences
 from .model import Model, vectors_side
@@ -44,11 +44,14 @@ def request_states(rows: DataFrame, item_dim: DataFrame, model: Model) -> DataFr
     return nxt.select(F.col("user_id").alias("request_id"), F.col("next").alias("q"))
 
 
-def keep_top_states(states: DataFrame, top_states: int) -> DataFrame:
-    """Set all but the strongest states of each request to 0."""
-    best = F.transform(top_positions(F.col("q"), top_states), lambda s: s["state"])
-    kept = F.transform("q", lambda v, i: F.when(F.array_contains("_best", i), v).otherwise(0.0))
-    return states.withColumn("_best", best).withColumn("q", kept).drop("_best")
+def keep_top(q: np.ndarray, top_states: int) -> np.ndarray:
+    """All but the strongest states of each row set to 0; equal ones by position."""
+    if top_states >= q.shape[1]:
+        return q
+    out = np.zeros_like(q)
+    best = np.argsort(-q, axis=1, kind="stable")[:, :top_states]
+    np.put_along_axis(out, best, np.take_along_axis(q, best, axis=1), axis=1)
+    return out
 
 
 def _best(q: np.ndarray, v: np.ndarray, items: np.ndarray, n: int):
@@ -72,28 +75,28 @@ def _matrix(column, k: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, k)
 
 
-def _rank_batches(batches, shared, n):
+def _rank_batches(batches, shared, n, top_states):
     v = shared.value
     items = np.arange(len(v), dtype=np.int32)
     rows = max(1, 4_000_000 // max(1, len(v)))
     for b in batches:
         for lo in range(0, b.num_rows, rows):
             part = b.slice(lo, rows)
-            row, item, score = _best(_matrix(part.column("q"), v.shape[1]), v, items, n)
+            row, item, score = _best(keep_top(_matrix(part.column("q"), v.shape[1]), top_states), v, items, n)
             ids = part.column("request_id").to_numpy()[row]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), pa.array(item), pa.array(score)], names=["request_id", "item_ix", "score"]
             )
 
 
-def _rank_block(left: pa.Table, right: pa.Table, n: int, k: int) -> pa.Table:
+def _rank_block(left: pa.Table, right: pa.Table, n: int, k: int, top_states: int) -> pa.Table:
     names = ["request_id", "item_ix", "score"]
     if left.num_rows == 0 or right.num_rows == 0:
         types = [pa.int64(), pa.int32(), pa.float64()]
         return pa.table([pa.array([], t) for t in types], names=names)
     v = _matrix(right.column("vec").combine_chunks(), k)
     items = right.column("item_ix").to_numpy().astype(np.int32)
-    q = _matrix(left.column("q").combine_chunks(), k)
+    q = keep_top(_matrix(left.column("q").combine_chunks(), k), top_states)
     ids = left.column("request_id").to_numpy()
     rows = max(1, 4_000_000 // len(v))
     out = [(lo, *_best(q[lo : lo + rows], v, items, n)) for lo in range(0, len(q), rows)]
@@ -116,10 +119,10 @@ def recommend(
     item matrix and keeps n items per request.  A model too big to copy is cut into item blocks,
     each meeting each block of requests, and the n best of the blocks are merged.
     """
-    q = keep_top_states(states, top_states).select("request_id", "q")
+    q = states.select("request_id", "q")
     if model.fits and item_rows is None:
         shared = q.sparkSession.sparkContext.broadcast(model.dense)
-        top = q.mapInArrow(partial(_rank_batches, shared=shared, n=n), SCORE_SCHEMA)
+        top = q.mapInArrow(partial(_rank_batches, shared=shared, n=n, top_states=top_states), SCORE_SCHEMA)
     else:
         item_rows = item_rows or max(1, 4_000_000 // model.states)
         item_blocks = -(-model.n_items // item_rows)
@@ -139,7 +142,7 @@ def recommend(
         k = model.states
 
         def block(a: pa.Table, b: pa.Table) -> pa.Table:
-            return _rank_block(a, b, n, k)
+            return _rank_block(a, b, n, k, top_states)
 
         top = left.groupBy("rb", "ib").cogroup(right.groupBy("rb", "ib")).applyInArrow(block, SCORE_SCHEMA)
     w = Window.partitionBy("request_id").orderBy(F.desc("score"), "item_ix")
@@ -150,9 +153,13 @@ def score_targets(
     states: DataFrame, model: Model, targets: DataFrame, top_states: int = 10
 ) -> DataFrame:
     """Scores of given ``(request_id, item_ix)`` pairs only."""
-    q = keep_top_states(states, top_states)
-    pairs = targets.join(vectors_side(model.emis), "item_ix").join(q, "request_id")
-    return pairs.select("request_id", "item_ix", dot(F.col("q"), F.col("vec")).alias("score"))
+    pairs = targets.join(vectors_side(model.emis), "item_ix").join(states, "request_id")
+    score = F.aggregate(
+        top_positions(F.col("q"), top_states),
+        F.lit(0.0),
+        lambda s, x: s + x["p"] * F.element_at("vec", x["state"] + 1),
+    )
+    return pairs.select("request_id", "item_ix", score.alias("score"))
 
 
 def sample_items(weights: DataFrame, n: int, seed: int, by: list[str]) -> DataFrame:

@@ -38,14 +38,19 @@ def user_blocks(clicks: DataFrame, hot_rows: int | None = None) -> tuple[DataFra
     return blocks.assign(clicks, F.col("us")), blocks
 
 
-def weighted_blocks(clicks: DataFrame, hot_rows: int | None) -> tuple[DataFrame, skew.Blocks]:
+def weighted_blocks(
+    clicks: DataFrame, everything: DataFrame, hot_rows: int | None
+) -> tuple[DataFrame, skew.Blocks]:
     """Blocks over clicks with a weight ``w``.
 
+    Hot users are looked for among all clicks, before any item is filtered out: that count reads
+    the user column only.
+
     A block cannot split clicks of one user at one instant.  When there are hot users, equal clicks
     are therefore counted into one row first (combined before the shuffle), which leaves at most
     one row per item for any instant.
     """
-    blocks = skew.find_blocks(clicks, ["user_id"], F.col("us"), hot_rows)
+    blocks = skew.find_blocks(everything, ["user_id"], F.col("us"), hot_rows)
     if blocks.hot:
         rows = clicks.groupBy("user_id", "item_id", "us").agg(F.count("*").alias("w"))
     else:
@@ -83,8 +88,8 @@ def sessionize(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Clicks to sessions.  One exchange on the user serves all windows and the final grouping."""
-    kept = frequent_items(clicks.select("user_id", "item_id", "us"), min_item)
-    kept, blocks = weighted_blocks(kept, hot_rows)
+    clicks = clicks.select("user_id", "item_id", "us")
+    kept, blocks = weighted_blocks(frequent_items(clicks, min_item), clicks, hot_rows)
     kept = active_users(kept, min_user, blocks, F.sum("w"))
     out = chunk_sessions(number_sessions(gaps(kept, blocks, gap_us), blocks, min_sessions), max_sessions)
     if max_sessions > 0:
