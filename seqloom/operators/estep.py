@@ -13,12 +13,12 @@ K x K segment operators (`edges`), after which its segments are independent of e
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import settle
@@ -44,6 +44,10 @@ SCHEMAS = {
 }
 
 
+def block_of(blocks: int) -> Column:
+    return F.pmod(F.xxhash64(*SEQ, "seg"), F.lit(blocks)).cast("int")
+
+
 @dataclass
 class Sequences:
     """Segments ``(user_id, chunk, seg, final, t, items, counts)`` and their overall sizes."""
@@ -52,6 +56,14 @@ class Sequences:
     sequences: int
     entries: int
     segments: int
+    _needs: dict[int, DataFrame] = field(default_factory=dict)
+
+    def needs(self, blocks: int) -> DataFrame:
+        """Which items each block holds; stored once, as every EM round asks for it."""
+        if blocks not in self._needs:
+            pairs = self.df.select(block_of(blocks).alias("blk"), F.explode("items").alias("item_ix"))
+            self._needs[blocks] = settle(pairs.distinct())
+        return self._needs[blocks]
 
     @property
     def cut(self) -> bool:
@@ -323,9 +335,8 @@ def run(seqs: Sequences, models: list[Model], kind: str, sharded: bool | None =
         shared = df.sparkSession.sparkContext.broadcast((small, log_v))
         return df.mapInArrow(partial(_map_dense, kind=kind, shared=shared), SCHEMAS[kind])
     blocks = max(1, -(-seqs.entries * len(models) * models[0].states // BLOCK_DOUBLES))
-    df = df.withColumn("blk", F.pmod(F.xxhash64(*SEQ, "seg"), F.lit(blocks)).cast("int"))
-    need = df.select("blk", F.explode("items").alias("item_ix")).distinct()
-    rows = need.join(_side_by_side(models), "item_ix").select(F.col("blk").alias("at"), "item_ix", "vec")
+    df = df.withColumn("blk", block_of(blocks))
+    rows = seqs.needs(blocks).join(_side_by_side(models), "item_ix").select(F.col("blk").alias("at"), "item_ix", "vec")
     work = partial(_map_sharded, kind=kind, small=small)
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:

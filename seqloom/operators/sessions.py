@@ -87,8 +87,11 @@ def sessionize(
     max_sessions: int = 0,
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Clicks to sessions.  One exchange on the user serves all windows and the final grouping."""
-    clicks = clicks.select("user_id", "item_id", "us")
+    """Clicks to sessions.  One exchange on the user serves all windows and the final grouping.
+
+    Clicks without a user are nobody's sequence and are dropped.
+    """
+    clicks = clicks.select("user_id", "item_id", "us").where(F.col("user_id").isNotNull())
     kept, blocks = weighted_blocks(frequent_items(clicks, min_item), clicks, hot_rows)
     kept = active_users(kept, min_user, blocks, F.sum("w"))
     out = chunk_sessions(number_sessions(gaps(kept, blocks, gap_us), blocks, min_sessions), max_sessions)

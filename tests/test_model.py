@@ -135,3 +135,35 @@ def test_objective_never_falls_and_paths_agree(spark, seq):
     t = em.statistics(estep.sequences(df), starts).where("kind = 'trans' and restart = 0")
     total = t.select(F.explode("vec").alias("v")).agg(F.sum("v")).first()[0]
     assert total == pytest.approx(len(rows) - 40)
+
+
+def test_true_parameters_stay(spark):
+    """One round at the true parameters of a long sample moves them by sampling noise only."""
+    rng = np.random.default_rng(1)
+    pi = np.array([0.2, 0.5, 0.3])
+    trans = np.array([[0.8, 0.1, 0.1], [0.2, 0.7, 0.1], [0.1, 0.2, 0.7]])
+    v = np.array([[0.7, 0.1, 0.1, 0.1], [0.1, 0.7, 0.1, 0.1], [0.05, 0.05, 0.2, 0.7]])
+    users, steps = 1000, 100
+    state = (rng.random(users)[:, None] > pi.cumsum()).sum(axis=1)
+    items = np.empty((users, steps), int)
+    for t in range(steps):
+        items[:, t] = (rng.random(users)[:, None] > v.cumsum(axis=1)[state]).sum(axis=1)
+        state = (rng.random(users)[:, None] > trans.cumsum(axis=1)[state]).sum(axis=1)
+    import pandas as pd
+
+    u, t = np.divmod(np.arange(users * steps), steps)
+    df = spark.createDataFrame(pd.DataFrame({"user_id": u, "chunk": 0, "t": t, "item_ix": items.ravel(), "n": 1}))
+    m = Model(pi, trans, emission_table(spark, v.T))
+    prior = em.Prior(1, 1, 1)
+    new = em.reestimate(estep.sequences(df), m, prior)
+    assert np.allclose(new.trans, trans, atol=0.02) and np.allclose(new.dense.T, v, atol=0.02)
+    assert np.allclose(new.pi, pi, atol=0.06)
+    other = em.reestimate(estep.sequences(df.repartition(1), 33), m, prior)
+    assert np.allclose(new.trans, other.trans, atol=1e-9) and np.allclose(new.dense, other.dense, atol=1e-9)
+
+
+def test_state_without_mass_keeps_its_row(spark, seq):
+    m = Model(np.array([1.0, 0.0]), np.array([[1.0, 0.0], [0.5, 0.5]]), emission_table(spark, V.T))
+    for sharded in (False, True):
+        new = em.fit(estep.sequences(seq), [m], em.Prior(1, 1, 1), 1, sharded=sharded)[0]
+        assert np.allclose(new.trans[1], [0.5, 0.5]) and np.allclose(new.dense[:, 1], V[1])
