@@ -14,7 +14,7 @@ from ..functions.scalars import label, top_positions
 from ..runtime import broadcast_if_small
 from . import em, estep, states
 from .model import Model, emission_long, matrix_table
-from .sessions import SEQ, ordered_index, suffix
+from .sessions import SEQ, ordered_index
 
 # ---- popularity -------------------------------------------------------------------------------
 
@@ -154,15 +154,30 @@ def long_sequences(seq: DataFrame, longer_than: int, groups: int | None = None)
 def history_curve(seq: DataFrame, model: Model, lengths: list[int]) -> DataFrame:
     """Log-likelihood of the last position of all sequences, knowing its last n items only.
 
-    All lengths run as one job: each (sequence, n) is a sequence of its own.
+    All lengths run as one job: each (sequence, n) is a sequence of its own.  Lengths that cover a
+    sequence as a whole give one result, so only the shortest of them runs and counts for all.
     """
-    last_n = F.col("chunk") % len(lengths)
-    ends = suffix(seq, lengths)
-    which = F.array_position(F.array(*[F.lit(n) for n in lengths]), F.col("last_n")) - 1
-    keyed = ends.withColumn("chunk", (F.col("chunk") * len(lengths) + which).cast("int"))
+    lengths = sorted(lengths)
+    grid = F.array(*[F.lit(n) for n in lengths])
+    tries = F.explode(
+        F.array(
+            *[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n"), F.lit(m).alias("m"))
+              for i, (n, m) in enumerate(zip(lengths, [0, *lengths]))]
+        )
+    ).alias("try")
+    size = seq.groupBy(*SEQ).agg((F.max("t") + 1).alias("len"))
+    runs = size.select(*SEQ, "len", tries).where(F.col("try.m") < F.col("len"))
+    whole = (F.col("try.n") >= F.col("len")).cast("int")
+    run = ((F.col("chunk") * len(lengths) + F.col("try.i")) * 2 + whole).cast("int")
+    start = F.greatest(F.lit(0), F.col("len") - F.col("try.n"))
+    keyed = seq.join(runs, SEQ).where(F.col("t") >= start)
+    keyed = keyed.select("user_id", run.alias("chunk"), (F.col("t") - start).alias("t"), "item_ix", "n")
     rows = estep.next_state(estep.sequences(keyed), model)
-    n = F.element_at(F.array(*[F.lit(x) for x in lengths]), (last_n + 1).cast("int"))
-    return rows.groupBy(n.alias("last_n")).agg(
+    index = (F.floor(F.col("chunk") / 2) % len(lengths)).cast("int")
+    covered = F.when(F.col("chunk") % 2 == 1, F.slice(grid, index + 1, F.lit(len(lengths)))).otherwise(
+        F.slice(grid, index + 1, F.lit(1))
+    )
+    return rows.select("log_c", F.explode(covered).alias("last_n")).groupBy("last_n").agg(
         F.sum("log_c").alias("log_lik"), F.count("*").alias("sequences")
     )
 
