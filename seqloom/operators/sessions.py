@@ -26,10 +26,9 @@ def frequent_items(clicks: DataFrame, min_item: int) -> DataFrame:
     return clicks.join(keep.select("item_id"), "item_id", "left_semi")
 
 
-def active_users(clicks: DataFrame, min_user: int, blocks: skew.Blocks, size=None) -> DataFrame:
+def active_users(clicks: DataFrame, min_user: int, blocks: skew.Blocks) -> DataFrame:
     """Clicks of users with more than ``min_user`` clicks, with the count kept as ``user_n``."""
-    size = F.count("*") if size is None else size
-    return skew.totals(clicks, blocks, {"user_n": size}, "us").where(F.col("user_n") > min_user)
+    return skew.totals(clicks, blocks, {"user_n": F.count("*")}, "us").where(F.col("user_n") > min_user)
 
 
 def user_blocks(clicks: DataFrame, hot_rows: int | None = None) -> tuple[DataFrame, skew.Blocks]:
@@ -65,11 +64,51 @@ def gaps(clicks: DataFrame, blocks: skew.Blocks, gap_us: int = HALF_HOUR) -> Dat
     return out.withColumn("split", F.when(F.col("delta_us") > gap_us, 1).otherwise(0))
 
 
-def number_sessions(flagged: DataFrame, blocks: skew.Blocks, min_sessions: int = -1) -> DataFrame:
-    """Session number per click; users with at most ``min_sessions`` splits are dropped."""
-    out = skew.totals(flagged, blocks, {"splits": F.sum("split")}, "us")
-    out = out.where(F.col("splits") > min_sessions)
-    return skew.running(out, blocks, "us", "session_ix", F.col("split"))
+def timeline(clicks: DataFrame, blocks: skew.Blocks, gap_us: int = HALF_HOUR, size=None) -> DataFrame:
+    """All per-user columns in one go: ``user_n, delta_us, split, splits, session_ix``.
+
+    Splits are counted over the whole user, ``session_ix`` is their running sum (clicks at one
+    instant share it).  For hot users the blocks are summed up once: a block's first click is a
+    split if it lies a gap after the last click of the block before, so totals and offsets follow
+    from one row per block.
+    """
+    size = F.count("*") if size is None else size
+    w = blocks.window("us")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = clicks.withColumn("_prev", F.lag("us").over(w))
+    if blocks.hot:
+        rows = rows.join(F.broadcast(_block_edges(rows, blocks, gap_us, size)), ["user_id", skew.BLK], "left")
+        rows = rows.withColumn("_prev", F.coalesce("_prev", "_last"))
+    rows = rows.withColumn("delta_us", F.col("us") - F.col("_prev"))
+    rows = rows.withColumn("split", F.when(F.col("delta_us") > gap_us, 1).otherwise(0))
+    user_n, splits, index = size.over(whole), F.sum("split").over(whole), F.sum("split").over(so_far)
+    if blocks.hot:
+        user_n, splits = F.coalesce("_n", user_n), F.coalesce("_splits", splits)
+        index = index + F.coalesce("_before", F.lit(0))
+    out = rows.select("*", user_n.alias("user_n"), splits.alias("splits"), index.alias("session_ix"))
+    return out.drop("_prev", "_last", "_n", "_splits", "_before")
+
+
+def _block_edges(rows: DataFrame, blocks: skew.Blocks, gap_us: int, size) -> DataFrame:
+    """Per block of a hot user: last click before it, splits before it, totals of the user."""
+    inside = F.sum(F.when(F.col("us") - F.col("_prev") > gap_us, 1).otherwise(0))
+    per_block = blocks.carried(
+        rows, {"_c": size, "_from": F.min("us"), "_to": F.max("us"), "_inside": inside}
+    )
+    along = Window.partitionBy("user_id").orderBy(skew.BLK)
+    per_block = per_block.withColumn("_last", F.lag("_to").over(along))
+    opens = F.when(F.col("_from") - F.col("_last") > gap_us, 1).otherwise(0)
+    per_block = per_block.withColumn("_all", F.col("_inside") + opens)
+    user = Window.partitionBy("user_id")
+    return per_block.select(
+        "user_id",
+        skew.BLK,
+        "_last",
+        F.sum("_c").over(user).alias("_n"),
+        F.sum("_all").over(user).alias("_splits"),
+        F.sum("_all").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+    )
 
 
 def chunk_sessions(df: DataFrame, max_sessions: int) -> DataFrame:
@@ -93,8 +132,9 @@ def sessionize(
     """
     clicks = clicks.select("user_id", "item_id", "us").where(F.col("user_id").isNotNull())
     kept, blocks = weighted_blocks(frequent_items(clicks, min_item), clicks, hot_rows)
-    kept = active_users(kept, min_user, blocks, F.sum("w"))
-    out = chunk_sessions(number_sessions(gaps(kept, blocks, gap_us), blocks, min_sessions), max_sessions)
+    out = timeline(kept, blocks, gap_us, F.sum("w"))
+    out = out.where((F.col("user_n") > min_user) & (F.col("splits") > min_sessions))
+    out = chunk_sessions(out, max_sessions)
     if max_sessions > 0:
         out = active_chunks(out, min_user, F.sum("w"))
     return out.groupBy(*SEQ, "session_ix", "item_id").agg(F.sum("w").alias("n"))

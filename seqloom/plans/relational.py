@@ -200,19 +200,16 @@ def _(v):
     return sessions.frequent_items(v.clicks, 55)
 
 
-def strict_users(v):
-    kept, blocks = sessions.user_blocks(sessions.frequent_items(v.clicks, 55), None)
-    return sessions.active_users(kept, 25, blocks), blocks
-
-
 @query("P4_min_activity", sql(f"SELECT {COLS} FROM user_ok_strict", "user_ok_strict"))
 def _(v):
-    return strict_users(v)[0].select("user_id", "item_id", "us", "ad_type")
+    kept, blocks = sessions.user_blocks(sessions.frequent_items(v.clicks, 55))
+    return sessions.active_users(kept, 25, blocks).select("user_id", "item_id", "us", "ad_type")
 
 
 def strict_numbered(v):
-    kept, blocks = strict_users(v)
-    return sessions.number_sessions(sessions.gaps(kept, blocks, GAP), blocks, 20)
+    kept, blocks = sessions.user_blocks(sessions.frequent_items(v.clicks, 55))
+    rows = sessions.timeline(kept, blocks, GAP)
+    return rows.where((F.col("user_n") > 25) & (F.col("splits") > 20))
 
 
 @query(
@@ -785,9 +782,12 @@ def _(v):
     return rows.select("user_id", "us", "item_n", "user_n", "chunk_n")
 
 
-def all_gaps(v):
-    kept, blocks = sessions.user_blocks(v.clicks, None)
-    return sessions.gaps(kept, blocks, GAP), blocks
+def all_gaps(v) -> DataFrame:
+    return sessions.gaps(*sessions.user_blocks(v.clicks), GAP)
+
+
+def whole_timeline(v) -> DataFrame:
+    return sessions.timeline(*sessions.user_blocks(v.clicks), GAP)
 
 
 step(
@@ -800,12 +800,12 @@ step(
 
 @query("W2_time_since_previous", sql("SELECT user_id, us, coalesce(d, -1) AS delta_us FROM gap_all", "gap_all"))
 def _(v):
-    return all_gaps(v)[0].select("user_id", "us", F.coalesce("delta_us", F.lit(-1)).alias("delta_us"))
+    return all_gaps(v).select("user_id", "us", F.coalesce("delta_us", F.lit(-1)).alias("delta_us"))
 
 
 @query("W3_split_flag", sql("SELECT user_id, us, split FROM gap_all", "gap_all"))
 def _(v):
-    return all_gaps(v)[0].select("user_id", "us", "split")
+    return all_gaps(v).select("user_id", "us", "split")
 
 
 @query(
@@ -813,8 +813,7 @@ def _(v):
     sql("SELECT user_id, us, CAST(sum(split) OVER (PARTITION BY user_id) AS BIGINT) AS splits FROM gap_all", "gap_all"),
 )
 def _(v):
-    rows, blocks = all_gaps(v)
-    return skew.totals(rows, blocks, {"splits": F.sum("split")}, "us").select("user_id", "us", "splits")
+    return whole_timeline(v).select("user_id", "us", "splits")
 
 
 @query(
@@ -826,7 +825,7 @@ def _(v):
     ),
 )
 def _(v):
-    return sessions.number_sessions(*all_gaps(v)).select("user_id", "us", "session_ix")
+    return whole_timeline(v).select("user_id", "us", "session_ix")
 
 
 @query("W6_chunks", sql("SELECT user_id, us, session_ix, chunk FROM cut_strict", "cut_strict"))
@@ -844,8 +843,7 @@ def _(v):
 )
 def _(v):
     kept, blocks = sessions.user_blocks(sessions.frequent_items(v.clicks, 1))
-    kept = sessions.active_users(kept, 10, blocks)
-    rows = sessions.number_sessions(sessions.gaps(kept, blocks, GAP), blocks, 3)
+    rows = sessions.timeline(kept, blocks, GAP).where((F.col("user_n") > 10) & (F.col("splits") > 3))
     keys = ["user_id", "session_ix", "item_id"]
     return rows.join(rows.groupBy(*keys).agg(F.count("*").alias("n")), keys).select(*keys, "us", "n")
 

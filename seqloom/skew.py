@@ -144,27 +144,14 @@ def totals(
     return out.drop(*["_s_" + n for n in aggs])
 
 
-def running(df: DataFrame, blocks: Blocks, order: str, name: str, value: Column) -> DataFrame:
-    """Running sum along ``order``; rows with equal order share a value (RANGE frame)."""
-    w = blocks.window(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    out = df.withColumn(name, F.sum(value).over(w))
-    return _shift(out, df, blocks, name, F.sum(value))
-
-
 def position(df: DataFrame, blocks: Blocks, order: str | list[str], name: str) -> DataFrame:
     """0-based position of a row in its key; the first order column is the one the blocks cut."""
     w = blocks.window(*([order] if isinstance(order, str) else order))
     out = df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
-    return _shift(out, df, blocks, name, F.count("*"))
-
-
-def _shift(out: DataFrame, df: DataFrame, blocks: Blocks, name: str, per_block: Column) -> DataFrame:
     if not blocks.hot:
         return out
-    before = Window.partitionBy(*blocks.keys).orderBy(BLK).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carry = blocks.carried(df, {"_b": per_block})
+    before = Window.partitionBy(*blocks.keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = blocks.carried(df, {"_b": F.count("*")})
     carry = carry.select(*blocks.keys, BLK, F.sum("_b").over(before).alias("_off"))
     out = _attach(out, blocks, carry)
     return out.withColumn(name, F.col(name) + F.coalesce("_off", F.lit(0))).drop("_off")

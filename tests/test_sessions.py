@@ -23,9 +23,11 @@ def test_gap_is_strict(spark):
     kept, blocks = sessions.user_blocks(df)
     flagged = sessions.gaps(kept, blocks)
     assert [r[1] for r in rows_of(flagged, "us", "split")] == [0, 0, 0, 1]
-    out = sessions.number_sessions(flagged, blocks, 0)
-    assert [r[1] for r in rows_of(out, "us", "session_ix")] == [0, 0, 0, 1]
-    assert sessions.number_sessions(flagged, blocks, 1).count() == 0
+    out = sessions.timeline(kept, blocks)
+    assert [r[1:] for r in rows_of(out, "us", "session_ix", "splits", "user_n")] == [(0, 1, 4)] * 3 + [(1, 1, 4)]
+    for needed, left in ((0, 4), (1, 0)):
+        out = sessions.sessionize(df, min_item=0, min_user=0, min_sessions=needed)
+        assert out.count() == left
 
 
 def test_filters_follow_each_other(spark):

@@ -47,8 +47,7 @@ def dim(spark):
 
 
 def numbered(whole, dim):
-    blocks_in, blocks = sessions.user_blocks(whole)
-    return sessions.number_sessions(sessions.gaps(blocks_in, blocks, GAP), blocks).join(dim, "item_id")
+    return sessions.timeline(*sessions.user_blocks(whole), GAP).join(dim, "item_id")
 
 
 def test_item_states_equal_batch(source, hmm, dim):
