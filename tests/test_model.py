@@ -167,3 +167,44 @@ def test_state_without_mass_keeps_its_row(spark, seq):
     for sharded in (False, True):
         new = em.fit(estep.sequences(seq), [m], em.Prior(1, 1, 1), 1, sharded=sharded)[0]
         assert np.allclose(new.trans[1], [0.5, 0.5]) and np.allclose(new.dense[:, 1], V[1])
+
+
+def test_models_too_big_to_copy(spark, monkeypatch):
+    """With the size limit at one number everything runs on tables, with equal results."""
+    rng = np.random.default_rng(2)
+    rows = [(u, 0, t, int(x), 1) for u in range(30) for t, x in enumerate(rng.integers(0, 12, rng.integers(1, 20)))]
+    df = spark.createDataFrame(rows, "user_id long, chunk int, t long, item_ix int, n int")
+    items = df.select("item_ix").distinct()
+    prior = em.Prior(2, 2, 2)
+    seqs = estep.sequences(df, 6)
+    starts = [em.random_model(items, 3, prior, s) for s in (1, 2)]
+    small = em.fit(seqs, starts, prior, 3)
+    dense = [m.dense for m in small]
+    lik = sorted(map(tuple, estep.log_likelihood(seqs, small).select("restart", "user_id", "log_lik").collect()))
+    for module in ("model", "em", "estep"):
+        monkeypatch.setattr(f"seqloom.operators.{module}.DENSE_LIMIT", 1)
+    again = [em.random_model(items, 3, prior, s) for s in (1, 2)]
+    big = em.fit(seqs, again, prior, 3)
+    for m, want, d in zip(big, small, dense):
+        with pytest.raises(ValueError):
+            m.dense
+        assert np.allclose(m.trans, want.trans, atol=1e-9)
+        got = {r.item_ix: r.vec for r in m.emis.collect()}
+        assert all(np.allclose(got[i], d[i], atol=1e-9) for i in range(12))
+        assert [x for _, x in m.history] == pytest.approx([x for _, x in want.history])
+    other = sorted(map(tuple, estep.log_likelihood(seqs, big).select("restart", "user_id", "log_lik").collect()))
+    assert [x[:2] for x in lik] == [x[:2] for x in other]
+    assert [x[2] for x in lik] == pytest.approx([x[2] for x in other])
+
+
+def test_restarts_in_groups(spark, monkeypatch):
+    rows = [(u, 0, t, (u + t) % 5, 1) for u in range(9) for t in range(1 + u)]
+    df = spark.createDataFrame(rows, "user_id long, chunk int, t long, item_ix int, n int")
+    prior = em.Prior(2, 2, 2)
+    seqs = estep.sequences(df)
+    models = [em.random_model(df.select("item_ix").distinct(), 2, prior, s) for s in range(5)]
+    together = em.fit(seqs, models, prior, 2)
+    monkeypatch.setattr("seqloom.operators.estep.DENSE_LIMIT", 11)  # one model has 10 numbers
+    apart = em.fit(seqs, models, prior, 2)
+    for a, b in zip(together, apart):
+        assert np.allclose(a.trans, b.trans) and np.allclose(a.dense, b.dense)
