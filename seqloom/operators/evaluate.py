@@ -32,8 +32,8 @@ def popularity(seq: DataFrame, item_dim: DataFrame | None = None) -> DataFrame:
 def smoothed_popularity(pop: DataFrame, add: float = 2.0, normalised: bool = True) -> DataFrame:
     """``(c + a) / sum(c + a)``, or ``(c + a) / sum(c)`` which does not sum to 1."""
     weight = F.col("clicks") + F.lit(float(add))
-    total = pop.agg(F.sum(weight if normalised else F.col("clicks").cast("double")).alias("_t"))
-    return pop.join(F.broadcast(total)).select("item_ix", "clicks", (weight / F.col("_t")).alias("p"))
+    total = pop.agg(F.sum(weight if normalised else F.col("clicks").cast("double"))).first()[0]
+    return pop.select("item_ix", "clicks", (weight / F.lit(total)).alias("p"))
 
 
 def baseline_log_lik(seq: DataFrame, shares: DataFrame, by: list[str]) -> DataFrame:
@@ -88,11 +88,10 @@ def quantile_grid(df: DataFrame, value: str, grid: list[float], exact: bool = Tr
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Fixed-width bins between the smallest and largest value; the top edge is closed."""
-    ends = df.agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
-    at = F.floor((F.col(value) - F.col("_lo")) * bins / (F.col("_hi") - F.col("_lo")))
-    rows = df.join(F.broadcast(ends))
-    slot = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), at)).otherwise(0)
-    return rows.groupBy(slot.cast("int").alias("bin")).agg(F.count("*").alias("rows"))
+    lo, hi = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+    at = F.floor((F.col(value) - F.lit(lo)) * bins / F.lit(hi - lo)) if hi is not None and hi > lo else F.lit(0)
+    slot = F.least(F.lit(bins - 1), at)
+    return df.where(F.col(value).isNotNull()).groupBy(slot.cast("int").alias("bin")).agg(F.count("*").alias("rows"))
 
 
 def scale_to_ends(df: DataFrame, by: list[str], x: str, value: str) -> DataFrame:

@@ -292,8 +292,8 @@ step(
 def known_dim(v) -> DataFrame:
     """Dictionary entries of items clicked more often than the average item."""
     counts = v.sess.groupBy("item_id").agg(F.sum("n").alias("c"))
-    mean = counts.agg(F.avg("c").alias("m"))
-    often = counts.join(F.broadcast(mean)).where(F.col("c") > F.col("m"))
+    mean = counts.agg(F.avg("c")).first()[0]
+    often = counts.where(F.col("c") > F.lit(mean))
     return v.dim.join(often.select("item_id"), "item_id", "left_semi")
 
 
