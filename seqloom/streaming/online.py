@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -14,6 +16,11 @@ from ..operators import kernel
 from ..operators.model import VEC, Model
 from ..runtime import scratch_path
 
+# The process that starts a state processor does not see shipped packages, so the processors and the
+# numpy steps travel with the query itself.
+cloudpickle.register_pickle_by_value(kernel)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_SCHEMA = f"user_id bigint, us bigint, next {VEC}"
 SESSION_SCHEMA = f"user_id bigint, start_us bigint, end_us bigint, items bigint, next {VEC}"
