@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import prepare
-from . import decision_list
+from . import decision_list, piece_viterbi, token_resync
 from .text import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,32 @@ def oracle() -> dict[str, str]:
 @query("op5_quality_rules")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return decision_list.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_token_counts")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    counts = token_resync.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def encoded_digest(docs: DataFrame) -> DataFrame:
+    """Pieces, byte pieces and a digest of the ids of each text, and whether decoding gives the text back."""
+    import public_tokenizers
+
+    pieces = piece_viterbi.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rows = piece_viterbi.decode(piece_viterbi.encode(docs, pieces), pieces)
+    low, high = min(pieces.bytes_ids.values()), max(pieces.bytes_ids.values())
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.size(F.filter("ids", lambda i: i.between(low, high))).cast("long").alias("n_byte_pieces"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+@query("op10_sentencepiece")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return encoded_digest(table(spark, folder, "documents"))
