@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import prepare
-from . import decision_list, piece_viterbi, token_resync
+from . import decision_list, piece_viterbi, tag_paths, token_resync, url_models
 from .text import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,22 @@ def encoded_digest(docs: DataFrame) -> DataFrame:
 @query("op10_sentencepiece")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return encoded_digest(table(spark, folder, "documents"))
+
+
+@query("op1_html_extraction")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return tag_paths.extract(table(spark, folder, "pages"))
+
+
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query("op6_url_filter")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return url_models.judge(table(spark, folder, "pages"), URL_RULES)
