@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import prepare
-from . import decision_list, piece_viterbi, tag_paths, token_resync, url_models
+from . import decision_list, piece_viterbi, string_kernel, tag_paths, token_resync, url_models
 from .text import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,11 @@ URL_RULES = [
 @query("op6_url_filter")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return url_models.judge(table(spark, folder, "pages"), URL_RULES)
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = string_kernel.fit(docs.filter(~held_out))
+    return string_kernel.predict(docs, model, held_out)
