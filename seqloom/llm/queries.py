@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import prepare
-from . import decision_list, piece_viterbi, string_kernel, tag_paths, token_resync, url_models
+from . import (
+    decision_list,
+    line_windows,
+    piece_viterbi,
+    spaced_seeds,
+    string_kernel,
+    tag_paths,
+    token_resync,
+    url_models,
+)
 from .text import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +104,15 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     model = string_kernel.fit(docs.filter(~held_out))
     return string_kernel.predict(docs, model, held_out)
+
+
+@query("op3_line_dedup", line_windows.SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_windows.dedup(table(spark, folder, "documents"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return out.select("doc_id", "n_lines", "n_removed", digest)
+
+
+@query("op9_benchmark_leaks", spaced_seeds.SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return spaced_seeds.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
