@@ -13,6 +13,7 @@ from . import (
     line_windows,
     piece_viterbi,
     spaced_seeds,
+    span_doubling,
     string_kernel,
     tag_paths,
     token_resync,
@@ -116,3 +117,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_benchmark_leaks", spaced_seeds.SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return spaced_seeds.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op7_substring_dedup", span_doubling.SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    out = span_doubling.dedup(table(spark, folder, "documents"), width=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
