@@ -215,3 +215,15 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **options) ->
     rules = learn(stats, labels, key, **options)
     out = stats.withColumn("base_failed", base_failed())
     return out.select(key, *BASE, "base_failed", (~F.col("base_failed") & verdict(rules)).alias("kept"))
+
+
+def passed(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that pass the base rule and the list, unchanged.
+
+    The statistics are computed beside the rows twice, once to learn and once to judge, so no text is shuffled.
+    """
+    rules = learn(statistics(docs, text, (key,)), labels, key, **options)
+    names = docs.columns
+    whole = docs.select(F.struct(*[F.col(c) for c in names]).alias("_row"), F.col(text).alias("_text"))
+    judged = statistics(whole, "_text", ("_row",)).filter(~base_failed() & verdict(rules))
+    return judged.select(*[F.col("_row")[c].alias(c) for c in names])

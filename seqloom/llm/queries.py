@@ -12,6 +12,7 @@ from . import (
     decision_list,
     line_windows,
     piece_viterbi,
+    signature_join,
     spaced_seeds,
     span_doubling,
     string_kernel,
@@ -123,3 +124,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     out = span_doubling.dedup(table(spark, folder, "documents"), width=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_near_duplicates", signature_join.SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return signature_join.near_duplicates(table(spark, folder, "documents"), width=2, percent=80)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import scratch_path
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -25,3 +27,10 @@ def lower_ascii(text: Column) -> Column:
 def shifted(array: Column, by: int, width: int) -> Column:
     """The array without its first ``by`` items, cut so that all shifts below ``width`` have one length."""
     return F.slice(array, by + 1, F.greatest(F.size(array) - (width - 1), F.lit(0)))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared checkpoint folder; lost executors cost a re-read."""
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
