@@ -59,8 +59,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", into: str = "text") -> DataFrame:
     """The columns of ``docs`` with the kept lines in ``into``, and ``n_lines`` and ``n_removed`` (lines not blank)."""
     names = [c for c in docs.columns if c not in (into, "n_lines", "n_removed")]
-    old = docs.select(*[F.col(c) for c in names], F.col(text).alias("_text"))
-    rows = _prepared(old, key, "_text")
+    whole = F.struct(*[F.col(c) for c in names], F.lit(None)).alias("_row")
+    rows = _prepared(docs.select(whole, F.col(key).alias("_key"), F.col(text).alias("_text")), "_key", "_text")
     gone = repeated(docs, key, text).select(F.col("_id").alias("_gone"), "starts")
     same = F.col("_id.k").eqNullSafe(F.col("_gone.k")) & (F.col("_id.t") == F.col("_gone.t"))
     rows = rows.join(gone, same, "left").withColumn("_at", F.transform(_content(F.col("_lines")), lambda s: s["i"]))
@@ -68,11 +68,17 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", into: str =
     rows = rows.withColumn("_covered", F.transform(covered, lambda o: F.element_at("_at", o + 1)))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_covered"))
     kept = F.array_join(F.transform(left, lambda i: F.element_at("_lines", i + 1)), "\n")
-    return rows.select(
-        *[F.col(c) for c in names],
-        F.when(F.col("starts").isNull(), F.col("_text")).otherwise(kept).alias(into),
-        F.size("_at").cast("long").alias("n_lines"),
-        F.when(F.col("starts").isNull(), 0).otherwise(F.size("_covered")).cast("long").alias("n_removed"),
+    out = F.struct(
+        F.when(F.col("starts").isNull(), F.col("_text")).otherwise(kept).alias("text"),
+        F.size("_at").cast("long").alias("n"),
+        F.when(F.col("starts").isNull(), 0).otherwise(F.size("_covered")).cast("long").alias("gone"),
+    )
+    # two steps: names of the caller's columns must not meet those used above
+    return rows.select("_row", out.alias("_out")).select(
+        *[F.col("_row")[c].alias(c) for c in names],
+        F.col("_out.text").alias(into),
+        F.col("_out.n").alias("n_lines"),
+        F.col("_out.gone").alias("n_removed"),
     )
 
 

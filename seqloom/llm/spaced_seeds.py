@@ -110,8 +110,8 @@ def leaks(
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` no item leaks into, unchanged."""
-    bad = leaks(docs, items, key, **options).select(F.col(key).alias("_bad")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("_bad")), "left_anti")
+    bad = leaks(docs, items, key, **options).select(key).distinct()
+    return docs.alias("d").join(bad.alias("bad"), F.col(f"d.{key}").eqNullSafe(F.col(f"bad.{key}")), "left_anti")
 
 
 def _sql() -> str:
