@@ -31,7 +31,9 @@ def _tokens(text: Column) -> Column:
 def seeds(rows: DataFrame, tokens: str) -> DataFrame:
     """All columns plus ``at`` (start of a span) and ``seed`` (hash of its masked tokens and the mask)."""
     size = F.size(tokens)
-    spans = rows.filter(size >= SPAN).select("*", F.explode(F.sequence(F.lit(0), size - SPAN)).alias("at"))
+    # a condition on the size would be moved before the tokens and compute them twice
+    starts = F.when(size >= SPAN, F.sequence(F.lit(0), size - SPAN))
+    spans = rows.select("*", F.explode(starts).alias("at"))
     hashes = [
         F.xxhash64(F.lit(k), *[F.col(tokens)[F.col("at") + o] for o, c in enumerate(mask) if c == "1"])
         for k, mask in enumerate(MASKS)
@@ -54,20 +56,35 @@ def _benchmark_seeds(items: DataFrame, item: str, text: str, window: int) -> Dat
     )
 
 
+def _beside(hits: DataFrame) -> DataFrame:
+    """Hits with ``_part``, the document's tokens beside ``_near``; ``_lead`` of these lie before the document.
+
+    The cut is taken right behind the join, in the same generated code, so that no exploded row holds a whole text.
+    Grouping keeps the comparison, which is no part of that code, from being moved into the join.
+    """
+    start = F.col("at") - F.col("_off")
+    low = F.greatest(start, F.lit(0))
+    high = F.least(F.size("_t"), start + F.size("_near"))
+    cut = hits.select(
+        "_key", "_id", "_item", "at", "_off", "_len", "_near", (low - start).alias("_lead"), F.slice("_t", low + 1, high - low).alias("_part")
+    )
+    names = ["_len", "_near", "_lead", "_part"]
+    return cut.groupBy("_key", "_id", "_item", "at", "_off").agg(*[F.first(c).alias(c) for c in names])
+
+
 def _compared(hits: DataFrame, percent: int) -> DataFrame:
     """``_best``: tokens that agree and negated start in the document, of the best stretch around each hit."""
-    start = F.col("at") - F.col("_off")
     same = lambda s: F.size(
         F.filter(
             F.sequence(F.lit(0), F.col("_len") - 1),
-            lambda k: F.get(F.col("_t"), start + s + k) == F.get(F.col("_near"), s + k),
+            lambda k: F.get(F.col("_part"), s + k - F.col("_lead")) == F.get(F.col("_near"), s + k),
         )
     )
     tried = F.transform(
         F.sequence(F.lit(0), F.size("_near") - F.col("_len")),
         lambda s: F.when(
-            (start + s >= 0) & (start + s + F.col("_len") <= F.size("_t")),
-            F.struct(same(s).cast("long").alias("n"), (-(start + s)).cast("long").alias("at")),
+            (s >= F.col("_lead")) & (s + F.col("_len") - F.col("_lead") <= F.size("_part")),
+            F.struct(same(s).cast("long").alias("n"), (-(F.col("at") - F.col("_off") + s)).cast("long").alias("at")),
         ),
     )
     out = hits.withColumn("_best", F.array_max(tried))
@@ -88,15 +105,15 @@ def leaks(
     test = _benchmark_seeds(items, item, item_text, window)
     limit = BROADCAST_BYTES // (128 + 16 * window)  # a seed carries fewer than 2 * window tokens
     small = test.limit(limit + 1).count() <= limit
-    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_id"), _tokens(F.col(text)).alias("_t"))
+    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_id"), F.col(text).alias("_x"))
+    held = rows.select("_key", "_id", _tokens(F.col("_x")).alias("_t"))
     if small:
-        hits = seeds(rows, "_t").join(F.broadcast(test), "seed")
+        hits = seeds(held, "_t").join(F.broadcast(test), "seed")
     else:
-        bare = seeds(rows, "_t").select("_key", "_id", "at", "seed").join(test, "seed")
+        bare = seeds(held, "_t").select("_key", "_id", "at", "seed").join(test, "seed")
         same = F.col("a._key").eqNullSafe(F.col("b._key")) & (F.col("a._id") == F.col("b._id"))
-        whole = rows.dropDuplicates(["_key", "_id"])
-        hits = bare.alias("a").join(whole.alias("b"), same).select("a.*", "b._t")
-    best = _compared(hits, percent).groupBy("_key", "_item").agg(
+        hits = bare.alias("a").join(rows.alias("b"), same).select("a.*", _tokens(F.col("b._x")).alias("_t"))
+    best = _compared(_beside(hits), percent).groupBy("_key", "_item").agg(
         F.max(F.struct("_best.n", "_best.at", "_len")).alias("best")
     )
     return best.select(
