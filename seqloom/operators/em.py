@@ -98,12 +98,13 @@ def _shares(model: Model, pi, trans, prior: Prior):
 def _m_step_dense(model: Model, rows: pa.Table, prior: Prior) -> tuple[Model, float]:
     pi, trans, lik = _small(rows, model.states)
     old = model.dense
-    weight = np.full(old.shape, prior.emis - 1.0)
+    weight = np.zeros(old.shape)
+    weight[model.items] = prior.emis - 1.0
     ix, vec = _of_kind(rows, "emis", model.states)
     weight[ix] += vec
     new = row_shares(weight.T, old.T).T
     spark = model._spark
-    return Model(*_shares(model, pi, trans, prior), None, model.history, dense=new, spark=spark), lik
+    return Model(*_shares(model, pi, trans, prior), None, model.history, dense=new, spark=spark, items=model.items), lik
 
 
 def _emission_table(model: Model, sums: DataFrame, prior: Prior) -> DataFrame:
@@ -147,28 +148,23 @@ def log_prior(model: Model, prior: Prior) -> dict[str, float]:
     }
 
 
-@dataclass
-class _Stop:
-    """Stop rule: more than five slow steps in a row after more than five steps without a drop."""
-
-    tol: float
-    good: int = 0
-    slow: int = 0
-    last: float | None = None
-
-    def seen(self, lik: float) -> bool:
-        last, self.last = self.last, lik
-        if last is None or self.tol <= 0:
-            return False
-        change = abs(lik - last)
-        if change < self.tol:
-            self.slow += 1
-            if self.slow > 5 and self.good > 5:
-                return True
-        else:
-            self.slow = 0
-        self.good = 0 if lik < last and change > self.tol / 10 else self.good + 1
+def _tail(flags: np.ndarray) -> int:
+    """How many flags hold at the end without a break."""
+    broken = np.flatnonzero(~flags)
+    return len(flags) - 1 - int(broken[-1]) if len(broken) else len(flags)
+
+
+def settled(trace: list[float], tol: float) -> bool:
+    """Stop rule on the log-likelihoods so far.
+
+    The last six changes at least are below ``tol``, and before the last one there were six steps at least since the
+    likelihood last fell by more than a tenth of it.  ``tol`` 0 never stops.
+    """
+    if tol <= 0:
         return False
+    steps = np.diff(np.asarray(trace, dtype=float))
+    fell = steps < -tol / 10
+    return _tail(np.abs(steps) < tol) > 5 and _tail(~fell[:-1]) > 5
 
 
 def fit(
@@ -189,12 +185,12 @@ def fit(
     """
     models = list(starts)
     traces: list[list[tuple[int, float]]] = [[] for _ in models]
-    rules = [_Stop(tol) for _ in models]
     live = list(range(len(models)))
     for it in range(max_iter):
         stats = statistics(seqs, [models[r] for r in live], sharded=sharded)
         size = sum(models[r].n_items * models[r].states for r in live)
-        big = emission_step is not None or size > 4 * DENSE_LIMIT
+        # one collect for all restarts only if each model may be held and all of them are few numbers
+        big = emission_step is not None or size > 4 * DENSE_LIMIT or not all(models[r].fits for r in live)
         rows = None if big else stats.toArrow()
         stats = settle(stats) if big else stats
         still = []
@@ -210,7 +206,7 @@ def fit(
             traces[r].append((it, lik))
             new.history = traces[r]
             models[r] = new
-            if not rules[r].seen(lik):
+            if not settled([x for _, x in traces[r]], tol):
                 still.append(r)
         if on_round is not None:
             on_round(it, models)

@@ -30,7 +30,6 @@ SEGMENT = 2048
 BLOCK_DOUBLES = 20_000_000
 WORK_DOUBLES = 4_000_000
 FAN = 128
-GROUP_OPS = 8192
 
 KEY_SCHEMA = "user_id bigint, chunk int, seg int"
 SCHEMAS = {
@@ -358,7 +357,7 @@ def edges(seqs: Sequences, models: list[Model], sharded: bool | None = None) ->
     )
     ops = run(part, models, "transfer", sharded)
     ops = ops.select(*SEQ, "restart", F.col("seg").cast("bigint").alias("node"), "op")
-    groups = max(1, seqs.segments * n // GROUP_OPS)
+    groups = max(1, seqs.segments * n * k * k // BLOCK_DOUBLES)
     parent_of = F.floor(F.col("node") / FAN).cast("bigint").alias("up")
     group_of = F.pmod(F.xxhash64(*SEQ, "restart", "up"), F.lit(groups)).cast("int").alias("grp")
 

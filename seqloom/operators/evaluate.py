@@ -288,7 +288,7 @@ def entropy_trace(seqs, starts: dict[str, Model], prior: em.Prior, rounds: int)
 
 def top_items(emis: DataFrame, n: int) -> DataFrame:
     """Most likely items per state.  The rank filter is applied before the shuffle as well."""
-    w = Window.partitionBy("state").orderBy(F.desc(F.round("v", 12)), "item_ix")
+    w = Window.partitionBy("state").orderBy(F.desc_nulls_last(F.round(F.ln("v"), 11)), "item_ix")
     return emission_long(emis).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 

@@ -33,12 +33,15 @@ class Model:
         history: list[tuple[int, float]] | None = None,
         dense: np.ndarray | None = None,
         spark: SparkSession | None = None,
+        items: np.ndarray | None = None,
     ):
         self.pi, self.trans = pi, trans
         self.history = list(history or [])
         self._emis, self._spark = emis, spark or emis.sparkSession
         if dense is not None:
-            self.dense, self.n_items = dense, len(dense)
+            self.dense = dense
+            self.items = np.arange(len(dense), dtype=np.int32) if items is None else items
+            self.n_items = len(self.items)
 
     @property
     def states(self) -> int:
@@ -47,7 +50,7 @@ class Model:
     @property
     def emis(self) -> DataFrame:
         if self._emis is None:
-            self._emis = emission_table(self._spark, self.dense)
+            self._emis = emission_table(self._spark, self.dense, self.items)
         return self._emis
 
     @cached_property
@@ -61,15 +64,24 @@ class Model:
 
     @cached_property
     def dense(self) -> np.ndarray:
-        """Item probabilities as an N x K array; refused for models beyond the limit."""
+        """Item probabilities by item index; refused for models beyond the limit.
+
+        Indexes the model has no item for hold zeros: they are not in `items`."""
         if not self.fits:
             raise ValueError("too many items to hold in one process, use the sharded operators")
         rows = self.emis.select("item_ix", "vec").toArrow()
         ix = rows.column("item_ix").to_numpy()
         out = np.zeros((int(ix.max()) + 1 if len(ix) else 0, self.states))
         out[ix] = vector_rows(rows.column("vec"), self.states)
+        self.items = np.sort(ix).astype(np.int32)
         return out
 
+    @cached_property
+    def items(self) -> np.ndarray:
+        """Sorted indexes of the items the model knows; only for models that fit."""
+        self.dense
+        return self.__dict__["items"]
+
 
 def vector_rows(column, k: int) -> np.ndarray:
     """An Arrow column of K-entry lists as a matrix."""
@@ -85,12 +97,14 @@ def vector_table(spark: SparkSession, v: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "state int, p double")
 
 
-def emission_table(spark: SparkSession, dense: np.ndarray) -> DataFrame:
-    """Dense N x K array as ``emis(item_ix, vec)``; for arrays that were small enough to hold."""
-    n, k = dense.shape
+def emission_table(spark: SparkSession, dense: np.ndarray, items: np.ndarray | None = None) -> DataFrame:
+    """Rows ``items`` of a dense array as ``emis(item_ix, vec)``; for arrays that were small enough to hold."""
+    if items is None:
+        items = np.arange(len(dense))
+    n, k = len(items), dense.shape[1]
     offsets = pa.array(np.arange(0, n * k + 1, k, dtype=np.int32))
-    vec = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(dense, dtype=np.float64).ravel()))
-    table = pa.Table.from_arrays([pa.array(np.arange(n, dtype=np.int32)), vec], names=["item_ix", "vec"])
+    vec = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(dense[items], dtype=np.float64).ravel()))
+    table = pa.Table.from_arrays([pa.array(items.astype(np.int32)), vec], names=["item_ix", "vec"])
     return spark.createDataFrame(table)
 
 

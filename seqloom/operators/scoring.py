@@ -14,9 +14,10 @@ from ..runtime import broadcast_if_small
 from .estep import next_state, sequences
 from .model import Model, vectors_side
 
-TIE_DIGITS = 12
+TIE_BITS = 40  # scores that agree in this many leading bits are ties
 REQUEST_ROWS = 50_000
-SCORE_SCHEMA = "request_id bigint, item_ix int, score double"
+SCORE_SCHEMA = "request_id bigint, item_ix int, score double, tie double"
+SCORE_NAMES = ["request_id", "item_ix", "score", "tie"]
 
 
 def request_rows(requests: DataFrame) -> DataFrame:
@@ -44,9 +45,9 @@ def request_states(rows: DataFrame, item_dim: DataFrame, model: Model) -> DataFr
     return nxt.select(F.col("user_id").alias("request_id"), F.col("next").alias("q"))
 
 
-def keep_top(q: np.ndarray, top_states: int) -> np.ndarray:
+def keep_top(q: np.ndarray, top_states: int | None) -> np.ndarray:
     """All but the strongest states of each row set to 0; equal ones by position."""
-    if top_states >= q.shape[1]:
+    if top_states is None or top_states >= q.shape[1]:
         return q
     out = np.zeros_like(q)
     best = np.argsort(-q, axis=1, kind="stable")[:, :top_states]
@@ -54,21 +55,28 @@ def keep_top(q: np.ndarray, top_states: int) -> np.ndarray:
     return out
 
 
+def leading_bits(x: np.ndarray) -> np.ndarray:
+    """``x`` rounded to its leading bits, so that rounding is as fine for many items as for few."""
+    part, power = np.frexp(x)
+    return np.ldexp(np.round(np.ldexp(part, TIE_BITS)), power - TIE_BITS)
+
+
 def _best(q: np.ndarray, v: np.ndarray, items: np.ndarray, n: int):
     """Per row of ``q`` the n best items, score descending, then item."""
-    score = np.round(q @ v.T, TIE_DIGITS)
+    score = q @ v.T
+    tie = leading_bits(score)
     n = min(n, len(items))
     if n < len(items):
-        edge = -np.partition(-score, n - 1, axis=1)[:, n - 1 : n]
+        edge = -np.partition(-tie, n - 1, axis=1)[:, n - 1 : n]
     else:
-        edge = score.min(axis=1, keepdims=True)
-    row, col = np.nonzero(score >= edge)
-    order = np.lexsort((items[col], -score[row, col], row))
+        edge = tie.min(axis=1, keepdims=True)
+    row, col = np.nonzero(tie >= edge)
+    order = np.lexsort((items[col], -tie[row, col], row))
     row, col = row[order], col[order]
     begin = np.searchsorted(row, np.arange(len(q)))
     keep = np.arange(len(row)) - begin[row] < n
     row, col = row[keep], col[keep]
-    return row, items[col], score[row, col]
+    return row, items[col], score[row, col], tie[row, col]
 
 
 def _matrix(column, k: int) -> np.ndarray:
@@ -76,24 +84,20 @@ def _matrix(column, k: int) -> np.ndarray:
 
 
 def _rank_batches(batches, shared, n, top_states):
-    v = shared.value
-    items = np.arange(len(v), dtype=np.int32)
+    items, v = shared.value
     rows = max(1, 4_000_000 // max(1, len(v)))
     for b in batches:
         for lo in range(0, b.num_rows, rows):
             part = b.slice(lo, rows)
-            row, item, score = _best(keep_top(_matrix(part.column("q"), v.shape[1]), top_states), v, items, n)
+            row, *best = _best(keep_top(_matrix(part.column("q"), v.shape[1]), top_states), v, items, n)
             ids = part.column("request_id").to_numpy()[row]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(item), pa.array(score)], names=["request_id", "item_ix", "score"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *map(pa.array, best)], names=SCORE_NAMES)
 
 
 def _rank_block(left: pa.Table, right: pa.Table, n: int, k: int, top_states: int) -> pa.Table:
-    names = ["request_id", "item_ix", "score"]
     if left.num_rows == 0 or right.num_rows == 0:
-        types = [pa.int64(), pa.int32(), pa.float64()]
-        return pa.table([pa.array([], t) for t in types], names=names)
+        types = [pa.int64(), pa.int32(), pa.float64(), pa.float64()]
+        return pa.table([pa.array([], t) for t in types], names=SCORE_NAMES)
     v = _matrix(right.column("vec").combine_chunks(), k)
     items = right.column("item_ix").to_numpy().astype(np.int32)
     q = keep_top(_matrix(left.column("q").combine_chunks(), k), top_states)
@@ -102,18 +106,17 @@ def _rank_block(left: pa.Table, right: pa.Table, n: int, k: int, top_states: int
     out = [(lo, *_best(q[lo : lo + rows], v, items, n)) for lo in range(0, len(q), rows)]
     return pa.table(
         [
-            np.concatenate([ids[lo + row] for lo, row, _, _ in out]),
-            np.concatenate([item for _, _, item, _ in out]),
-            np.concatenate([score for *_, score in out]),
+            np.concatenate([ids[lo + row] for lo, row, *_ in out]),
+            *(np.concatenate([part[c] for part in out]) for c in (2, 3, 4)),
         ],
-        names=names,
+        names=SCORE_NAMES,
     )
 
 
 def recommend(
-    states: DataFrame, model: Model, n: int = 10, top_states: int = 10, item_rows: int | None = None
+    states: DataFrame, model: Model, n: int = 10, top_states: int | None = None, item_rows: int | None = None
 ) -> DataFrame:
-    """The ``n`` best items per request, scored over its ``top_states`` strongest states.
+    """The ``n`` best items per request, scored over all states or its ``top_states`` strongest ones.
 
     Scores are never materialised for all pairs: a task multiplies a slice of requests with the
     item matrix and keeps n items per request.  A model too big to copy is cut into item blocks,
@@ -121,7 +124,7 @@ def recommend(
     """
     q = states.select("request_id", "q")
     if model.fits and item_rows is None:
-        shared = q.sparkSession.sparkContext.broadcast(model.dense)
+        shared = q.sparkSession.sparkContext.broadcast((model.items, model.dense[model.items]))
         top = q.mapInArrow(partial(_rank_batches, shared=shared, n=n, top_states=top_states), SCORE_SCHEMA)
     else:
         item_rows = item_rows or max(1, 4_000_000 // model.states)
@@ -145,17 +148,17 @@ def recommend(
             return _rank_block(a, b, n, k, top_states)
 
         top = left.groupBy("rb", "ib").cogroup(right.groupBy("rb", "ib")).applyInArrow(block, SCORE_SCHEMA)
-    w = Window.partitionBy("request_id").orderBy(F.desc("score"), "item_ix")
-    return top.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    w = Window.partitionBy("request_id").orderBy(F.desc("tie"), "item_ix")
+    return top.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("tie")
 
 
 def score_targets(
-    states: DataFrame, model: Model, targets: DataFrame, top_states: int = 10
+    states: DataFrame, model: Model, targets: DataFrame, top_states: int | None = None
 ) -> DataFrame:
     """Scores of given ``(request_id, item_ix)`` pairs only."""
     pairs = targets.join(vectors_side(model.emis), "item_ix").join(states, "request_id")
     score = F.aggregate(
-        top_positions(F.col("q"), top_states),
+        top_positions(F.col("q"), top_states or model.states),
         F.lit(0.0),
         lambda s, x: s + x["p"] * F.element_at("vec", x["state"] + 1),
     )

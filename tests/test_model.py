@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import em, estep, kernel
+from seqloom.operators import em, estep, kernel, scoring
 from seqloom.operators.model import Model, emission_table
 
 PI = np.array([0.5, 0.5])
@@ -197,6 +197,45 @@ def test_models_too_big_to_copy(spark, monkeypatch):
     assert [x[2] for x in lik] == pytest.approx([x[2] for x in other])
 
 
+def test_gaps_between_item_indexes(spark, monkeypatch):
+    """Items 0, 2 and 7 only: no form of the model may give mass to, or recommend, an index without an item."""
+    rows = [(u, 0, t, x, 1) for u in range(6) for t, x in enumerate([0, 2, 7, 7, 2][: 2 + u % 4])]
+    df = spark.createDataFrame(rows, "user_id long, chunk int, t long, item_ix int, n int")
+    prior, items = em.Prior(3, 3, 3), df.select("item_ix").distinct()
+    seqs, start = estep.sequences(df), em.random_model(df.select("item_ix").distinct(), 2, prior, 1)
+    q = spark.createDataFrame([(1, [0.5, 0.5])], "request_id long, q array<double>")
+
+    def both():
+        new = em.fit(seqs, [em.random_model(items, 2, prior, 1)], prior, 3)[0]
+        best = [r.item_ix for r in scoring.recommend(q, new, 10).orderBy("rank").collect()]
+        return {r.item_ix: r.vec for r in new.emis.collect()}, best
+
+    dense, best = both()
+    assert sorted(dense) == sorted(best) == [0, 2, 7] and start.n_items == 3
+    assert np.allclose(np.array(list(dense.values())).sum(axis=0), 1)
+    for module in ("model", "em", "estep"):
+        monkeypatch.setattr(f"seqloom.operators.{module}.DENSE_LIMIT", 1)
+    table, other = both()
+    assert best == other and all(np.allclose(table[i], dense[i], atol=1e-9) for i in dense)
+
+
+@pytest.mark.parametrize("limit", [23, 24, 25, 97])
+def test_one_answer_around_the_limit(spark, monkeypatch, limit):
+    """12 items x 2 states are 24 numbers: just above, at and below the limit, and far below it."""
+    rng = np.random.default_rng(4)
+    rows = [(u, 0, t, int(x), 1) for u in range(10) for t, x in enumerate(rng.permutation(12))]
+    df = spark.createDataFrame(rows, "user_id long, chunk int, t long, item_ix int, n int")
+    prior = em.Prior(2, 2, 2)
+    start = em.random_model(df.select("item_ix").distinct(), 2, prior, 1)
+    want = em.fit(estep.sequences(df), [start], prior, 2)[0]
+    for module in ("model", "em", "estep"):
+        monkeypatch.setattr(f"seqloom.operators.{module}.DENSE_LIMIT", limit)
+    again = em.fit(estep.sequences(df), [em.random_model(df.select("item_ix").distinct(), 2, prior, 1)], prior, 2)[0]
+    expected = {r.item_ix: r.vec for r in want.emis.collect()}
+    assert all(np.allclose(r.vec, expected[r.item_ix], atol=1e-9) for r in again.emis.collect())
+    assert np.allclose(again.trans, want.trans, atol=1e-9)
+
+
 def test_restarts_in_groups(spark, monkeypatch):
     rows = [(u, 0, t, (u + t) % 5, 1) for u in range(9) for t in range(1 + u)]
     df = spark.createDataFrame(rows, "user_id long, chunk int, t long, item_ix int, n int")

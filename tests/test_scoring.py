@@ -173,13 +173,14 @@ def test_restrict_keeps_probabilities_and_fit_lowers_loss(spark, fm, tmp_path):
 
 
 def test_stop_rule():
-    rule = em._Stop(1.0)
-    values = [-100 + i * 0.1 for i in range(20)]
-    assert [rule.seen(x) for x in values].index(True) == 7
-    rule = em._Stop(1.0)
-    assert not any(rule.seen(-100.0 - i) for i in range(20))  # keeps falling
-    rule = em._Stop(0.0)
-    assert not any(rule.seen(-1.0) for _ in range(20))
+    def stops(values, tol):
+        return [em.settled(values[: i + 1], tol) for i in range(len(values))]
+
+    assert stops([-100 + i * 0.1 for i in range(20)], 1.0).index(True) == 7
+    assert not any(stops([-100.0 - i for i in range(20)], 1.0))  # keeps falling
+    assert not any(stops([-1.0] * 20, 0.0))
+    # a fall inside the slow stretch starts the count again
+    assert stops([-1.0, *[-1.0 + i * 0.01 for i in range(4)], *[-1.5 + i * 0.01 for i in range(12)]], 1.0).index(True) == 12
 
 
 def test_history_curve_and_moments(spark, hmm):
