@@ -65,7 +65,7 @@ def encoded_digest(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     pieces = piece_viterbi.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    rows = piece_viterbi.decode(piece_viterbi.encode(docs, pieces), pieces)
+    rows = piece_viterbi.encode(docs, pieces, decoded=True)
     low, high = min(pieces.bytes_ids.values()), max(pieces.bytes_ids.values())
     return rows.select(
         "doc_id",
