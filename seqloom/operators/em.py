@@ -7,10 +7,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import settle
+from . import model as store
 from .estep import Sequences, statistics
 from .model import DENSE_LIMIT, VEC, Model, normalise_columns, sum_vector, vector_rows
 
@@ -221,6 +222,18 @@ def reestimate(seqs: Sequences, model: Model, prior: Prior, sharded=None) -> Mod
     return m_step(model, settle(statistics(seqs, [model], sharded=sharded)), prior)[0]
 
 
+def save(model: Model, prior: Prior, path: str) -> None:
+    """The model's tables and the priors it is fitted with, so that a fit can be taken up again."""
+    store.save(model, path)
+    rows = [(prior.pi, prior.trans, prior.emis, prior.diag)]
+    table = model.emis.sparkSession.createDataFrame(rows, "pi double, trans double, emis double, diag double")
+    table.write.mode("overwrite").parquet(f"{path}/prior")
+
+
+def load(spark: SparkSession, path: str) -> tuple[Model, Prior]:
+    return store.load(spark, path), Prior(*spark.read.parquet(f"{path}/prior").first())
+
+
 def history_table(spark, models: list[Model]) -> DataFrame:
     rows = [(r, i, ll) for r, m in enumerate(models) for i, ll in m.history]
     return spark.createDataFrame(rows, "restart int, iter int, log_lik double")

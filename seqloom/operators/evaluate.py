@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import label, top_positions
-from ..runtime import broadcast_if_small
+from ..runtime import broadcast_if_small, settle
 from . import em, estep, states
 from .model import Model, emission_long, matrix_table
 from .sessions import SEQ, ordered_index
@@ -31,6 +31,7 @@ def popularity(seq: DataFrame, item_dim: DataFrame | None = None) -> DataFrame:
 
 def smoothed_popularity(pop: DataFrame, add: float = 2.0, normalised: bool = True) -> DataFrame:
     """``(c + a) / sum(c + a)``, or ``(c + a) / sum(c)`` which does not sum to 1."""
+    pop = settle(pop)  # one row per item; read for the total and by whoever uses the shares
     weight = F.col("clicks") + F.lit(float(add))
     total = pop.agg(F.sum(weight if normalised else F.col("clicks").cast("double"))).first()[0]
     return pop.select("item_ix", "clicks", (weight / F.lit(total)).alias("p"))
@@ -64,9 +65,14 @@ def rolling_mean(df: DataFrame, order: list, value: str, width: int, block: int
 # ---- series -----------------------------------------------------------------------------------
 
 
-def bands(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Median and 10 % / 90 % bands per group (exact, interpolated)."""
-    q = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+def bands(df: DataFrame, by: list[str], value: str, exact: bool = True) -> DataFrame:
+    """Median and 10 % / 90 % bands per group.
+
+    The exact, interpolated form keeps a count per distinct value of a group; ``exact=False`` keeps a sketch of bounded
+    size, for columns with very many distinct values.
+    """
+    points = F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))
+    q = F.percentile(value, points) if exact else F.percentile_approx(value, points, 10_000)
     return df.groupBy(*by).agg(q.alias("_q")).select(
         *by, F.col("_q")[0].alias("p10"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p90")
     )
@@ -181,8 +187,12 @@ def history_curve(seq: DataFrame, model: Model, lengths: list[int]) -> DataFrame
     )
 
 
-def by_split(seq: DataFrame, test: Column) -> DataFrame:
-    return seq.withColumn("split", F.when(test, "test").otherwise("train"))
+def by_split(seq: DataFrame, test: Column, validation: Column | None = None) -> DataFrame:
+    """Rows with their ``split``: test, validation if asked for, else train."""
+    split = F.when(test, "test")
+    if validation is not None:
+        split = split.when(validation, "validation")
+    return seq.withColumn("split", split.otherwise("train"))
 
 
 def total_log_lik(seq: DataFrame, models: list[Model]) -> list[float]:

@@ -249,7 +249,9 @@ def suffix(seq: DataFrame, lengths: list[int]) -> DataFrame:
     """
     size = seq.groupBy(*SEQ).agg((F.max("t") + 1).alias("len"))
     last_n = F.explode(F.array(*[F.lit(n) for n in lengths]))
-    out = seq.join(size, SEQ).select("*", last_n.alias("last_n"))
+    # what no suffix reaches goes before a row is copied once per length
+    near = seq.join(size, SEQ).where(F.col("t") >= F.col("len") - max(lengths))
+    out = near.select("*", last_n.alias("last_n"))
     start = F.greatest(F.lit(0), F.col("len") - F.col("last_n"))
     return out.where(F.col("t") >= start).select(
         *SEQ, "last_n", (F.col("t") - start).alias("t"), "item_ix", "n"

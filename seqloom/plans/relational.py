@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import skew, sources
 from ..functions import scalars as fn
-from ..operators import binning, evaluate, model, sessions
+from ..operators import binning, em, evaluate, model, sessions
 from ..operators.model import sum_vector
 from ..operators.sessions import SEQ
 from ..runtime import scratch_path
@@ -104,28 +104,33 @@ def test_user() -> Column:
 
 TEST = "CASE WHEN user_id % 5 = 0 THEN 'test' ELSE 'train' END"
 step("split_seq", f"SELECT *, {TEST} AS split FROM seq", "seq")
+step(
+    "split3_seq",
+    "SELECT *, CASE user_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM seq",
+    "seq",
+)
 
 
 @query(
     "S4_split_tables",
     sql(
         """SELECT split, count(*) AS rows, count(DISTINCT user_id) AS users, CAST(sum(item_ix) AS BIGINT) AS ix
-        FROM split_seq GROUP BY split""",
-        "split_seq",
+        FROM split3_seq GROUP BY split""",
+        "split3_seq",
     ),
 )
 def _(v):
     path = scratch_path(v.spark, "split")
-    sources.save_split(evaluate.by_split(v.seq, test_user()), path)
+    sources.save_split(evaluate.by_split(v.seq, test_user(), F.col("user_id") % 5 == 1), path)
     rows = [
         sources.load_split(v.spark, path, s).groupBy("split").agg(
             F.count("*").alias("rows"),
             F.count_distinct("user_id").alias("users"),
             F.sum("item_ix").alias("ix"),
         )
-        for s in ("train", "test")
+        for s in ("train", "validation", "test")
     ]
-    return rows[0].unionByName(rows[1])
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 step(
@@ -154,14 +159,19 @@ def long_model(m, digits: int = 6) -> DataFrame:
 @query(
     "S5_model_store",
     sql(
-        "SELECT part, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(p, 6) AS p FROM hmm_long",
+        "SELECT part, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(p, 6) AS p FROM hmm_long "
+        "UNION ALL SELECT 'prior', CAST(a AS INTEGER), CAST(0 AS INTEGER), CAST(p AS DOUBLE) "
+        "FROM (VALUES (0, 3.0), (1, 2.0), (2, 1.5), (3, 8.0)) AS t(a, p)",
         "hmm_long",
     ),
 )
 def _(v):
     path = scratch_path(v.spark, "model")
-    model.save(v.model, path)
-    return long_model(model.load(v.spark, path))
+    em.save(v.model, em.Prior(3.0, 2.0, 1.5, diag=8.0), path)
+    again, prior = em.load(v.spark, path)
+    rows = [("prior", i, 0, p) for i, p in enumerate((prior.pi, prior.trans, prior.emis, prior.diag))]
+    stored = v.spark.createDataFrame(rows, "part string, a int, b int, p double")
+    return long_model(again).unionByName(stored)
 
 
 @query(

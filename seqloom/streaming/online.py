@@ -181,10 +181,15 @@ def online_sessions(
     )
 
 
-def click_stream(spark: SparkSession, path: str, types: list[str] | None = None) -> DataFrame:
-    """Event files as a stream of clicks ``(user_id, item_id, us, ts, ad_type)``."""
+def click_stream(
+    spark: SparkSession, path: str, types: list[str] | None = None, max_files: int | None = None
+) -> DataFrame:
+    """Event files as a stream of clicks ``(user_id, item_id, us, ts, ad_type)``, ``max_files`` files in a micro-batch."""
     schema = spark.read.parquet(path).schema
-    raw = spark.readStream.schema(schema).parquet(path)
+    reader = spark.readStream.schema(schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    raw = reader.parquet(path)
     if types is not None:
         raw = raw.where(F.col("event_type").isin(types))
     ts = F.col("ts").cast("timestamp")
