@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import em, estep, evaluate, states
-from ..operators.model import vector_table
+from ..operators.model import labelled_model, vector_table
 from ..runtime import scratch_path
 from ..streaming import online
 from .latent import PRIOR, all_transitions, reestimated
 from .registry import GAP, TYPES, query
 from .relational import LENGTHS, SWITCH, test_user, dashboard, spread
-from .sql import evidence_steps, filter_steps, r6, sql, step
+from .sql import ROUNDS, START_PRIORS, evidence_steps, filter_steps, r6, sql, step, trace_sql
 
 # ---- likelihood studies -----------------------------------------------------------------------------
 
@@ -42,18 +42,18 @@ def _(v):
     return evaluate.held_out(rows, v.dim, 3, PRIOR, [1], max_iter=8)
 
 
-@query("D3_restarts")
+@query("D3_restarts", sql(*trace_sql(["em_a", "em_b", "em_c"], ROUNDS)))
 def _(v):
-    """Likelihood per start value after the same number of rounds; all starts run together."""
-    starts = [em.random_model(v.dim, 3, PRIOR, s) for s in (1, 2, 3, 4)]
-    models = em.fit(v.seqs, starts, PRIOR, max_iter=5)
-    return em.history_table(v.spark, models).where("iter = 4")
+    """Likelihood per start and round; all starts run together."""
+    starts = [labelled_model(v.labelled, v.dim, 3, p) for p in START_PRIORS]
+    models = em.fit(v.seqs, starts, PRIOR, max_iter=ROUNDS)
+    return em.history_table(v.spark, models).withColumn("log_lik", F.round("log_lik", 4))
 
 
-@query("D4_convergence")
+@query("D4_convergence", sql(*trace_sql(["em_a"], ROUNDS)))
 def _(v):
-    start = em.random_model(v.dim, 4, PRIOR, 3)
-    return em.history_table(v.spark, em.fit(v.seqs, [start], PRIOR, max_iter=10))
+    models = em.fit(v.seqs, [v.model], PRIOR, max_iter=ROUNDS)
+    return em.history_table(v.spark, models).withColumn("log_lik", F.round("log_lik", 4))
 
 
 @query("D5_entropy_convergence")

@@ -8,11 +8,24 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import top_positions
 from ..operators import em, estep, factor, scoring, state_table, states
-from ..operators.model import emission_long, matrix_table, vector_table
+from ..operators.model import emission_long, labelled_model, matrix_table, vector_table
 from ..runtime import settle
 from .registry import query
 from .relational import test_user, known_dim, long_model, requests, spread
-from .sql import emission_stats, evidence_steps, filter_steps, model_steps, mstep_steps, r6, sql, step
+from .sql import (
+    EM_LAST,
+    ROUNDS,
+    START_PRIORS,
+    emission_stats,
+    evidence_steps,
+    filter_steps,
+    model_steps,
+    mstep_steps,
+    r6,
+    sql,
+    step,
+    trace_sql,
+)
 
 KEYS = ["user_id", "chunk", "t"]
 PRIOR = em.Prior(2.0, 2.0, 2.0)
@@ -225,12 +238,18 @@ def _(v):
     return long_model(em.fit(v.seqs, [v.model], PRIOR, max_iter=1)[0])
 
 
-@query("H16_parallel_em")
+@query("H15_em_rounds", sql(long_sql(EM_LAST), EM_LAST, f"{EM_LAST}_emis"))
+def _(v):
+    """Parameters after some rounds from a counted model."""
+    return long_model(em.fit(v.seqs, [v.model], PRIOR, max_iter=ROUNDS)[0])
+
+
+@query("H16_parallel_em", sql(*trace_sql(["oem_a", "oem_b"], 2)))
 def _(v):
     """All restarts share every pass over the sequences; partitions are the workers."""
-    starts = [em.random_model(v.order_dim, 4, PRIOR, s) for s in (1, 2, 3)]
-    models = em.fit(v.order_seqs, starts, PRIOR, max_iter=4, tol=0.0)
-    return em.history_table(v.spark, models)
+    starts = [labelled_model(v.order_labelled, v.order_dim, 3, p) for p in START_PRIORS[:2]]
+    models = em.fit(v.order_seqs, starts, PRIOR, max_iter=2)
+    return em.history_table(v.spark, models).withColumn("log_lik", F.round("log_lik", 4))
 
 
 @query(

@@ -147,10 +147,10 @@ step(
 )
 
 
-def model_steps(name: str, lab: str, dim: str) -> None:
+def model_steps(name: str, lab: str, dim: str, prior: float = 1.0) -> None:
     """Counting estimate of a three-state model: ``{name}_emis(item_ix, v0..v2)``, ``{name}`` with
     ``p0..p2`` and ``a00..a22`` in one row."""
-    raw = ", ".join(f"1.0 + count(*) FILTER (state = {k}) AS c{k}" for k in range(3))
+    raw = ", ".join(f"{prior} + count(*) FILTER (state = {k}) AS c{k}" for k in range(3))
     step(
         f"{name}_emis",
         f"""SELECT item_ix, c0 / sum(c0) OVER () AS v0, c1 / sum(c1) OVER () AS v1,
@@ -165,11 +165,11 @@ def model_steps(name: str, lab: str, dim: str) -> None:
         lab,
     )
     first = ", ".join(
-        f"(1.0 + count(*) FILTER (i IS NULL AND j = {k})) / (3 + count(*) FILTER (i IS NULL)) AS p{k}"
+        f"({prior} + count(*) FILTER (i IS NULL AND j = {k})) / ({3 * prior} + count(*) FILTER (i IS NULL)) AS p{k}"
         for k in range(3)
     )
     cells = ", ".join(
-        f"(1.0 + count(*) FILTER (i = {i} AND j = {j})) / (3 + count(*) FILTER (i = {i})) AS a{i}{j}"
+        f"({prior} + count(*) FILTER (i = {i} AND j = {j})) / ({3 * prior} + count(*) FILTER (i = {i})) AS a{i}{j}"
         for i in range(3)
         for j in range(3)
     )
@@ -301,6 +301,41 @@ def mstep_steps(name: str, small: str, emis: str, prior: float = 2.0) -> None:
 mstep_steps("ms", "fw_small", "fw_emis")
 
 
+def em_steps(name: str, seq: str, model: str, rounds: int, sessions: bool) -> str:
+    """EM unrolled: ``{name}{r}_small`` holds the likelihood of round r; returns the last model's name."""
+    for r in range(rounds):
+        evidence_steps(f"{name}{r}_ev", seq, f"{model}_emis", sessions)
+        filter_steps(f"{name}{r}", f"{name}{r}_ev", model)
+        emission_stats(f"{name}{r}", f"{name}{r}_sum", seq)
+        mstep_steps(f"{name}{r}_ms", f"{name}{r}_small", f"{name}{r}_sum")
+        model = f"{name}{r}_ms"
+    return model
+
+
+def trace_sql(names: list[str], rounds: int) -> tuple[str, ...]:
+    """Likelihood per start and round, and the steps it needs."""
+    parts = [
+        f"""SELECT CAST({i} AS INTEGER) AS restart, CAST({r} AS INTEGER) AS iter, round(v0, 4) AS log_lik
+        FROM {name}{r}_small WHERE kind = 'lik'"""
+        for i, name in enumerate(names)
+        for r in range(rounds)
+    ]
+    return (" UNION ALL ".join(parts), *[f"{name}{r}_small" for name in names for r in range(rounds)])
+
+
+#: Priors of the counted models that restarts begin with.
+START_PRIORS = (1.0, 2.0, 5.0)
+ROUNDS = 4
+for _i, _p in enumerate(START_PRIORS[1:], 1):
+    model_steps(f"hmm_s{_i}", "lab", "dim", _p)
+    model_steps(f"order_hmm_s{_i}", "order_lab", "order_dim", _p)
+EM_LAST = em_steps("em_a", "seq", "hmm", ROUNDS, False)
+em_steps("em_b", "seq", "hmm_s1", ROUNDS, False)
+em_steps("em_c", "seq", "hmm_s2", ROUNDS, False)
+em_steps("oem_a", "order_seq", "order_hmm", 2, True)
+em_steps("oem_b", "order_seq", "order_hmm_s1", 2, True)
+
+
 def r6(*names: str) -> str:
     """Columns rounded to six decimals."""
     return ", ".join(f"round({n}, 6) AS {n.split('.')[-1]}" for n in names)
