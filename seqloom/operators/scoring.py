@@ -168,9 +168,10 @@ def score_targets(
 def sample_items(weights: DataFrame, n: int, seed: int, by: list[str]) -> DataFrame:
     """Weighted sample of ``n`` items without replacement per group: n smallest exponential keys.
 
-    The draw hashes (seed, row), so it does not change with the partitioning.
+    The draw hashes (seed, row), so it does not change with the partitioning; other engines can repeat it.
     """
-    cells = F.pmod(F.xxhash64(F.lit(seed), *by, "item_ix"), F.lit(1 << 52)).cast("double")
+    row = F.concat_ws(",", F.lit(seed), *[F.col(c).cast("string") for c in [*by, "item_ix"]])
+    cells = F.conv(F.substring(F.md5(row), 1, 13), 16, 10).cast("double")
     unit = (cells + 0.5) / F.lit(float(1 << 52))
     keyed = weights.where(F.col("p") > 0).withColumn("_key", -F.ln(unit) / F.col("p"))
     w = Window.partitionBy(*by).orderBy("_key", "item_ix")

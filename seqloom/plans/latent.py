@@ -772,7 +772,17 @@ def _(v):
     return ranked(scoring.recommend(q, v.order_model, 2))
 
 
-@query("K5_weighted_sample")
+@query(
+    "K5_weighted_sample",
+    sql(
+        "SELECT state, CAST(draw AS INTEGER) AS draw, item_ix FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY "
+        "-ln((('0x' || substr(md5('3,' || state || ',' || item_ix), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0) / v, "
+        "item_ix) AS draw FROM ("
+        + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS state, item_ix, v{k} AS v FROM order_hmm_emis" for k in range(3))
+        + ") WHERE v > 0) WHERE draw <= 20",
+        "order_hmm_emis",
+    ),
+)
 def _(v):
     """Twenty items per state, drawn without replacement by their probability in the state."""
     weights = emission_long(v.order_model.emis).withColumnRenamed("v", "p")
