@@ -1,10 +1,8 @@
 from .scalars import (  # noqa: F401
     digitize,
-    dot,
     label,
     neg_xlogx,
     pair_lists,
     pseudo_user,
-    safe_log,
     top_positions,
 )

@@ -14,10 +14,6 @@ def digitize(x: Column, edges: list[float]) -> Column:
     return F.size(F.filter(grid, lambda e: e <= x))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def top_positions(vec: Column, n: int) -> Column:
     """The ``n`` largest entries as ``struct(state, p)``; equal ones by position."""
     pairs = F.transform(vec, lambda v, i: F.struct((-v).alias("neg"), i.alias("state"), v.alias("p")))
@@ -29,11 +25,6 @@ def neg_xlogx(v: Column) -> Column:
     return F.when(v > 0, -v * F.ln(v)).otherwise(0.0)
 
 
-def safe_log(v: Column) -> Column:
-    """``ln v`` with minus infinity at 0."""
-    return F.when(v > 0, F.ln(v)).otherwise(F.lit(float("-inf")))
-
-
 def label(make: Column, model: Column) -> Column:
     return F.concat_ws(": ", make, model)
 

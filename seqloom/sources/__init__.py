@@ -3,7 +3,6 @@ from .tables import (  # noqa: F401
     clicks,
     dashboard_csv,
     load_split,
-    order_clicks,
     parts_as_items,
     save_result,
     save_split,

@@ -37,24 +37,6 @@ def clicks(
     )
 
 
-def order_clicks(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    """Order lines as clicks; an order is one session, its status the type of the click."""
-    o = orders.select(
-        F.col("o_custkey").alias("user_id"),
-        "o_orderkey",
-        F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"),
-        F.col("o_orderstatus").alias("ad_type"),
-    )
-    li = lineitem.select(
-        F.col("l_orderkey").alias("o_orderkey"),
-        F.col("l_partkey").alias("item_id"),
-        F.col("l_linenumber").alias("line"),
-    )
-    return o.join(li, "o_orderkey").select(
-        "user_id", "item_id", "us", F.col("o_orderkey").alias("session_id"), "line", "ad_type"
-    )
-
-
 def catalogue(
     spark: SparkSession,
     items: DataFrame,
