@@ -26,7 +26,9 @@ from . import kernel
 from .model import DENSE_LIMIT, VEC, Model, joined_vector, sum_vector
 from .sessions import SEQ
 
-SEGMENT = 2048
+# Positions of a segment.  Below it a sequence costs K x K numbers a position; the scan over segment edges, which costs
+# K x K x K, is left to longer ones.  A segment's state vectors take SEGMENT x K numbers.
+SEGMENT = 32_768
 BLOCK_DOUBLES = 20_000_000
 WORK_DOUBLES = 4_000_000
 FAN = 128
@@ -137,8 +139,10 @@ class _Piece:
         out = np.broadcast_to(default, (self.rows, k)).copy()
         if name in self.col:
             column = self.col[name]
-            for i in np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False)):
-                out[i] = column[int(i)].values.to_numpy()[restart * k : (restart + 1) * k]
+            known = column.is_valid().to_numpy(zero_copy_only=False)
+            if known.any():
+                rows = column.drop_null().flatten().to_numpy().reshape(int(known.sum()), -1)
+                out[known] = rows[:, restart * k : (restart + 1) * k]
         return out
 
     def keys(self, times: np.ndarray | None = None, where=None) -> list:
