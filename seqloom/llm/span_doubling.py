@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import stored
+
 _U = np.uint64
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -193,9 +195,10 @@ def repeated(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text
 
     for k in range(len(levels) - 1):
         source = rows if reply is None else _met(rows, reply, "inner")
-        found = source.mapInArrow(counted(k), f"{ids}, at int, h long")
+        # read twice below, hashed once
+        found = stored(source.mapInArrow(counted(k), f"{ids}, at int, h long"))
         twice = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-        reply = found.join(twice, "h").groupBy("_k", "_t").agg(F.collect_list("at").alias("known"))
+        reply = stored(found.join(twice, "h").groupBy("_k", "_t").agg(F.collect_list("at").alias("known")))
 
     led = reply is not None
 
@@ -236,7 +239,7 @@ def repeated(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text
                 )
 
     source = rows if reply is None else _met(rows, reply, "inner")
-    runs = source.mapInArrow(run, f"{ids}, at int, n int, s1 long, s2 int, h1 array<bigint>, h2 array<int>")
+    runs = stored(source.mapInArrow(run, f"{ids}, at int, n int, s1 long, s2 int, h1 array<bigint>, h2 array<int>"))
     me = F.struct("_k", "_t", "at")
     classes = runs.groupBy("s1", "s2").agg(F.count("*").alias("times"), F.min(me).alias("first"))
     known = runs.join(classes, ["s1", "s2"])
@@ -258,7 +261,7 @@ def repeated(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text
     units = known.select("_k", "_t", F.explode(F.concat(settled, single)).alias("u")).select("_k", "_t", "u.*")
     twice = units.filter("weight > 0").groupBy("w1", "w2").agg(F.sum("weight").alias("met")).filter("met > 1")
     found = units.filter("weight < 2").join(twice, ["w1", "w2"], "left").filter("weight = 0 OR met IS NOT NULL")
-    return found.groupBy("_k", "_t").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    return stored(found.groupBy("_k", "_t").agg(F.collect_list(F.struct("at", "n")).alias("spans")))
 
 
 def dedup(
