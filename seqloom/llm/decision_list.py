@@ -147,7 +147,7 @@ def learn(
     features = [c for c in stats.columns if c.startswith("f_")]
     lab = labels.filter(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(key)
     lab = lab.agg((F.min("quality") == 0).cast("int").alias("bad"))
-    rows = stats.select(key, *features).join(lab, key)
+    rows = settle(stats.select(key, *features).join(lab, key))
     cuts = rows.approxQuantile(features, [k / (n_cuts + 1) for k in range(1, n_cuts + 1)], 0.002)
     if not any(cuts):
         return []
