@@ -225,5 +225,7 @@ def passed(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     rules = learn(statistics(docs, text, (key,)), labels, key, **options)
     names = docs.columns
     whole = docs.select(F.struct(*[F.col(c) for c in names]).alias("_row"), F.col(text).alias("_text"))
-    judged = statistics(whole, "_text", ("_row",)).filter(~base_failed() & verdict(rules))
+    # a filter would be moved below the statistics and compute them once for each mention
+    stays = F.when(~base_failed() & verdict(rules), F.array("_row"))
+    judged = statistics(whole, "_text", ("_row",)).select(F.explode(stays).alias("_row"))
     return judged.select(*[F.col("_row")[c].alias(c) for c in names])
