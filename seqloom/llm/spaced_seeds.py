@@ -7,7 +7,8 @@ where single words were replaced. Around each hit the texts are compared token b
 contaminated by the item if ``percent`` of the tokens of one stretch agree.
 
 Items with fewer tokens than a span have no seed and find nothing; so do null and empty texts on either side. An item
-or document id that comes more than once is reported once, with its best stretch. The benchmark's seeds are sent to
+or document id that comes more than once is reported once, with its best stretch; documents without an id are told
+apart by a hash of their text. ``clean`` judges every row by its own text, whatever its id. The benchmark's seeds are sent to
 all tasks only after they were counted (``broadcast_if_small``); then no document is shuffled at all. A larger
 benchmark is met by an equi-join of hashes, and only documents with a hit are read again to be compared.
 """
@@ -91,17 +92,10 @@ def _compared(hits: DataFrame, percent: int) -> DataFrame:
     return out.filter(100 * F.col("_best.n") >= percent * F.col("_len"))
 
 
-def leaks(
-    docs: DataFrame,
-    items: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    item: str = "item_id",
-    item_text: str = "text",
-    window: int = 24,
-    percent: int = 80,
+def _found(
+    docs: DataFrame, items: DataFrame, key: str, text: str, item: str, item_text: str, window: int, percent: int
 ) -> DataFrame:
-    """``key``, ``item``, ``n_matched`` of ``n_compared`` tokens and ``start`` (token in the document) of each leak."""
+    """``_best`` and ``_len`` of each document (``_key``, ``_id``), item and place that is a leak."""
     test = _benchmark_seeds(items, item, item_text, window)
     limit = BROADCAST_BYTES // (128 + 16 * window)  # a seed carries fewer than 2 * window tokens
     small = test.limit(limit + 1).count() <= limit
@@ -113,7 +107,22 @@ def leaks(
         bare = seeds(held, "_t").select("_key", "_id", "at", "seed").join(test, "seed")
         same = F.col("a._key").eqNullSafe(F.col("b._key")) & (F.col("a._id") == F.col("b._id"))
         hits = bare.alias("a").join(rows.alias("b"), same).select("a.*", _tokens(F.col("b._x")).alias("_t"))
-    best = _compared(_beside(hits), percent).groupBy("_key", "_item").agg(
+    return _compared(_beside(hits), percent)
+
+
+def leaks(
+    docs: DataFrame,
+    items: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    window: int = 24,
+    percent: int = 80,
+) -> DataFrame:
+    """``key``, ``item``, ``n_matched`` of ``n_compared`` tokens and ``start`` (token in the document) of each leak."""
+    one = F.when(F.col("_key").isNull(), F.col("_id")).alias("_one")
+    best = _found(docs, items, key, text, item, item_text, window, percent).groupBy("_key", one, "_item").agg(
         F.max(F.struct("_best.n", "_best.at", "_len")).alias("best")
     )
     return best.select(
@@ -125,10 +134,20 @@ def leaks(
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def clean(
+    docs: DataFrame,
+    items: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    window: int = 24,
+    percent: int = 80,
+) -> DataFrame:
     """The rows of ``docs`` no item leaks into, unchanged."""
-    bad = leaks(docs, items, key, **options).select(key).distinct()
-    return docs.alias("d").join(bad.alias("bad"), F.col(f"d.{key}").eqNullSafe(F.col(f"bad.{key}")), "left_anti")
+    bad = _found(docs, items, key, text, item, item_text, window, percent).select("_key", "_id").distinct()
+    same = F.col(f"d.{key}").eqNullSafe(F.col("bad._key")) & (F.xxhash64(F.col(f"d.{text}")) == F.col("bad._id"))
+    return docs.alias("d").join(bad.alias("bad"), same, "left_anti")
 
 
 def _sql() -> str:

@@ -226,6 +226,17 @@ def test_leaks(spark, odd, empty):
     assert spaced_seeds.leaks(odd, items).count() == 0
 
 
+def test_rows_are_cleaned_by_their_own_text(spark):
+    """A leaking and a clean row under one id and under none."""
+    item = " ".join(f"q{i}" for i in range(30))
+    rows = [(k, t) for k in (1, None) for t in (item, "a " + item, "clean text", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(100, item)], "item_id long, text string")
+    expected = sorted([(1, "clean text"), (1, None), (None, "clean text"), (None, None)], key=repr)
+    assert plain(spaced_seeds.clean(docs, items), "doc_id", "text") == expected
+    assert plain(spaced_seeds.leaks(docs, items), "doc_id", "start") == [(1, 0), (None, 0), (None, 1)]
+
+
 def test_large_benchmarks_give_the_same_leaks(spark, monkeypatch):
     docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
     items = queries.table(spark, "/root/testdata/sf0.001", "benchmark")
