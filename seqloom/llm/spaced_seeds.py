@@ -69,8 +69,10 @@ def _beside(hits: DataFrame) -> DataFrame:
     cut = hits.select(
         "_key", "_id", "_item", "at", "_off", "_len", "_near", (low - start).alias("_lead"), F.slice("_t", low + 1, high - low).alias("_part")
     )
-    names = ["_len", "_near", "_lead", "_part"]
-    return cut.groupBy("_key", "_id", "_item", "at", "_off").agg(*[F.first(c).alias(c) for c in names])
+    names = ["_near", "_lead", "_part"]
+    # one place of a document may lie beside several places of an item: these differ in ``_near``
+    place = F.xxhash64("_near").alias("_place")
+    return cut.groupBy("_key", "_id", "_item", "at", "_off", "_len", place).agg(*[F.first(c).alias(c) for c in names])
 
 
 def _compared(hits: DataFrame, percent: int) -> DataFrame:

@@ -237,6 +237,18 @@ def test_rows_are_cleaned_by_their_own_text(spark):
     assert plain(spaced_seeds.leaks(docs, items), "doc_id", "start") == [(1, 0), (None, 0), (None, 1)]
 
 
+def test_every_place_of_a_repeated_phrase_is_compared(spark):
+    """A phrase comes several times in an item; the document has it with what follows one of them, whichever that is."""
+    phrase = [f"p{i}" for i in range(12)]
+    after = [[f"a{k}x{i}" for i in range(12)] for k in range(3)]
+    item = " ".join(["intro"] * 12 + sum((phrase + a for a in after), []))
+    rows = [(k, " ".join([*phrase, "w", "x", "y", "z", *a[4:]])) for k, a in enumerate(after)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(100, item)], "item_id long, text string")
+    got = plain(spaced_seeds.leaks(docs, items), "doc_id", "n_matched", "n_compared", "start")
+    assert got == [(k, 20, 24, 0) for k in range(3)]
+
+
 def test_large_benchmarks_give_the_same_leaks(spark, monkeypatch):
     docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
     items = queries.table(spark, "/root/testdata/sf0.001", "benchmark")
