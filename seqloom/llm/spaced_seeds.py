@@ -1,60 +1,112 @@
 """Benchmark decontamination by spaced seeds.
 
-Texts become lower-case runs of letters and digits. A seed is a span of ``SPAN`` tokens of which a fixed mask ignores
-some positions; the hashes of the masked spans of benchmark items and documents are joined, so a passage is met even
-where single words were replaced. Around each hit the texts are compared token by token without gaps: every stretch of
-``window`` tokens (of the whole item, if that is shorter) that holds the seed is tried, and the document is
-contaminated by the item if ``percent`` of the tokens of one stretch agree.
-
-Items with fewer tokens than a span have no seed and find nothing; so do null and empty texts on either side. An item
-or document id that comes more than once is reported once, with its best stretch; documents without an id are told
-apart by a hash of their text. ``clean`` judges every row by its own text, whatever its id. The benchmark's seeds are sent to
+Texts become lower-case runs of letters and digits. A document is contaminated by an item if ``percent`` of the tokens
+of some stretch of ``window`` tokens (of the whole item, if that is shorter) agree, compared one by one without gaps.
+To find all such stretches, a stretch is cut into more equal blocks than tokens may differ, so that some blocks are
+untouched in every leak: each choice of that many blocks is a mask (``masks``), and the hashes of the masked tokens of
+items and documents are joined. Masks that differ only by their place are one shape. Around each hit every stretch that
+holds the seed is compared, so no leak is missed, whatever the length of the item, and the best stretch is the best of
+all.
+
+Null and empty texts on either side find nothing; an item of four tokens or less is found where it stands word by word. An item or
+document id that comes more than once is reported once, with its best stretch; documents without an id are told apart
+by a hash of their text. ``clean`` judges every row by its own text, whatever its id. The benchmark's seeds are sent to
 all tasks only after they were counted (``broadcast_if_small``); then no document is shuffled at all. A larger
 benchmark is met by an equi-join of hashes, and only documents with a hit are read again to be compared.
 """
 
 from __future__ import annotations
 
+import json
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import BROADCAST_BYTES
+from .text import stored
 
+#: Of the SQL counterpart, which finds a part of the leaks only.
 MASKS = ("110110101101", "111010011011", "101110110011")
 SPAN = 12
 
+#: Tokens a mask should hold at least, and at most.
+LIGHT, HEAVY = 6, 12
+_MASKS = "array<struct<shape int, first int, span int, o array<int>>>"
+
+
+def masks(length: int, percent: int) -> list[tuple[int, ...]]:
+    """Places in a stretch; two stretches of which ``percent`` agree are equal at all places of one mask at least."""
+    if percent <= 0:
+        raise ValueError("percent must be positive")
+    wrong = length * (100 - percent) // 100
+    best: list[tuple[int, ...]] = []
+    for kept in range(1, length - wrong + 1):
+        if math.comb(wrong + kept, kept) > 1000 and best:
+            break
+        size = min(length // (wrong + kept), -(-HEAVY // kept))
+        if not best or kept * size > len(best[0]):
+            chosen = combinations(range(wrong + kept), kept)
+            best = [tuple(k * size + i for k in c for i in range(size)) for c in chosen]
+        if len(best[0]) >= LIGHT:
+            break
+    return best
+
+
+def shapes(lengths: list[int], percent: int) -> dict[tuple[int, ...], int]:
+    """A number for each mask of these lengths, moved to start at 0."""
+    found = {tuple(o - m[0] for o in m) for n in lengths for m in masks(n, percent)}
+    return {m: k for k, m in enumerate(sorted(found))}
+
+
+def _literal(rows: list[tuple[int, int, tuple[int, ...]]]) -> Column:
+    made = [{"shape": k, "first": first, "span": m[-1] + 1, "o": m} for k, first, m in rows]
+    return F.from_json(F.lit(json.dumps(made)), _MASKS)
+
+
+def _seed(tokens: str, weight: int) -> Column:
+    """Hash of the tokens that mask ``_m`` holds at ``at``; places a lighter mask lacks are null and not hashed."""
+    held = [F.get(F.col(tokens), F.col("at") + F.get(F.col("_m.o"), F.lit(k))) for k in range(weight)]
+    return F.xxhash64(F.col("_m.shape"), *held)
+
 
 def _tokens(text: Column) -> Column:
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
     return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seeds(rows: DataFrame, tokens: str) -> DataFrame:
-    """All columns plus ``at`` (start of a span) and ``seed`` (hash of its masked tokens and the mask)."""
+def seeds(rows: DataFrame, tokens: str, found: dict[tuple[int, ...], int]) -> DataFrame:
+    """All columns plus ``at`` (start of a mask) and ``seed`` (hash of its tokens and its shape)."""
     size = F.size(tokens)
+    shortest = min(m[-1] + 1 for m in found)
     # a condition on the size would be moved before the tokens and compute them twice
-    starts = F.when(size >= SPAN, F.sequence(F.lit(0), size - SPAN))
+    starts = F.when(size >= shortest, F.sequence(F.lit(0), size - shortest))
     spans = rows.select("*", F.explode(starts).alias("at"))
-    hashes = [
-        F.xxhash64(F.lit(k), *[F.col(tokens)[F.col("at") + o] for o, c in enumerate(mask) if c == "1"])
-        for k, mask in enumerate(MASKS)
-    ]
-    return spans.select("*", F.explode(F.array(*hashes)).alias("seed"))
-
-
-def _benchmark_seeds(items: DataFrame, item: str, text: str, window: int) -> DataFrame:
-    """Seeds with the item's tokens as far as a stretch around the seed can reach."""
-    rows = seeds(items.select(F.col(item).alias("_item"), _tokens(F.col(text)).alias("_b")), "_b")
-    length = F.least(F.size("_b"), F.lit(window))
-    low = F.greatest(F.lit(0), F.col("at") + SPAN - length)
-    high = F.least(F.size("_b"), F.col("at") + length)
-    return rows.select(
+    each = spans.select("*", F.explode(_literal([(k, 0, m) for m, k in found.items()])).alias("_m"))
+    seed = F.when(F.col("at") + F.col("_m.span") <= size, _seed(tokens, max(map(len, found))))
+    return each.select(*spans.columns, seed.alias("seed"))
+
+
+def _benchmark_seeds(items: DataFrame, lengths: list[int], found: dict[tuple[int, ...], int], percent: int) -> DataFrame:
+    """Seeds of rows of ``_item``, ``_b`` and ``_len`` with the tokens as far as a stretch around the seed can reach."""
+    each = F.lit(None).cast(_MASKS)
+    for n in lengths:
+        moved = [(m[0], tuple(o - m[0] for o in m)) for m in masks(n, percent)]
+        each = F.when(F.col("_len") == n, _literal([(found[m], first, m) for first, m in moved])).otherwise(each)
+    rows = items.select("*", F.explode(each).alias("_m"))
+    first = F.col("_m.first")
+    rows = rows.select("*", F.explode(F.sequence(first, F.size("_b") - F.col("_len") + first)).alias("at"))
+    low = F.greatest(F.lit(0), F.col("at") + F.col("_m.span") - F.col("_len"))
+    high = F.least(F.size("_b"), F.col("at") + F.col("_len"))
+    made = rows.select(
         "_item",
-        "seed",
-        length.alias("_len"),
+        _seed("_b", max(map(len, found))).alias("seed"),
+        "_len",
         (F.col("at") - low).alias("_off"),
         F.slice("_b", low + 1, high - low).alias("_near"),
     )
+    return made.distinct()  # masks of one shape meet at the same places
 
 
 def _beside(hits: DataFrame) -> DataFrame:
@@ -67,12 +119,12 @@ def _beside(hits: DataFrame) -> DataFrame:
     low = F.greatest(start, F.lit(0))
     high = F.least(F.size("_t"), start + F.size("_near"))
     cut = hits.select(
-        "_key", "_id", "_item", "at", "_off", "_len", "_near", (low - start).alias("_lead"), F.slice("_t", low + 1, high - low).alias("_part")
+        "_key", "_id", "_item", start.alias("_from"), "_len", "_near", (low - start).alias("_lead"), F.slice("_t", low + 1, high - low).alias("_part")
     )
     names = ["_near", "_lead", "_part"]
     # one place of a document may lie beside several places of an item: these differ in ``_near``
     place = F.xxhash64("_near").alias("_place")
-    return cut.groupBy("_key", "_id", "_item", "at", "_off", "_len", place).agg(*[F.first(c).alias(c) for c in names])
+    return cut.groupBy("_key", "_id", "_item", "_from", "_len", place).agg(*[F.first(c).alias(c) for c in names])
 
 
 def _compared(hits: DataFrame, percent: int) -> DataFrame:
@@ -87,7 +139,7 @@ def _compared(hits: DataFrame, percent: int) -> DataFrame:
         F.sequence(F.lit(0), F.size("_near") - F.col("_len")),
         lambda s: F.when(
             (s >= F.col("_lead")) & (s + F.col("_len") - F.col("_lead") <= F.size("_part")),
-            F.struct(same(s).cast("long").alias("n"), (-(F.col("at") - F.col("_off") + s)).cast("long").alias("at")),
+            F.struct(same(s).cast("long").alias("n"), (-(F.col("_from") + s)).cast("long").alias("at")),
         ),
     )
     out = hits.withColumn("_best", F.array_max(tried))
@@ -98,15 +150,19 @@ def _found(
     docs: DataFrame, items: DataFrame, key: str, text: str, item: str, item_text: str, window: int, percent: int
 ) -> DataFrame:
     """``_best`` and ``_len`` of each document (``_key``, ``_id``), item and place that is a leak."""
-    test = _benchmark_seeds(items, item, item_text, window)
+    tokens = items.select(F.col(item).alias("_item"), _tokens(F.col(item_text)).alias("_b"))
+    tokens = tokens.select("*", F.least(F.size("_b"), F.lit(window)).alias("_len"))
+    lengths = sorted(r[0] for r in tokens.select("_len").distinct().collect() if r[0])
+    found = shapes(lengths or [window], percent)
+    test = stored(_benchmark_seeds(tokens, lengths, found, percent))
     limit = BROADCAST_BYTES // (128 + 16 * window)  # a seed carries fewer than 2 * window tokens
     small = test.limit(limit + 1).count() <= limit
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_id"), F.col(text).alias("_x"))
     held = rows.select("_key", "_id", _tokens(F.col("_x")).alias("_t"))
     if small:
-        hits = seeds(held, "_t").join(F.broadcast(test), "seed")
+        hits = seeds(held, "_t", found).join(F.broadcast(test), "seed")
     else:
-        bare = seeds(held, "_t").select("_key", "_id", "at", "seed").join(test, "seed")
+        bare = seeds(held, "_t", found).select("_key", "_id", "at", "seed").join(test, "seed")
         same = F.col("a._key").eqNullSafe(F.col("b._key")) & (F.col("a._id") == F.col("b._id"))
         hits = bare.alias("a").join(rows.alias("b"), same).select("a.*", _tokens(F.col("b._x")).alias("_t"))
     return _compared(_beside(hits), percent)

@@ -249,6 +249,54 @@ def test_every_place_of_a_repeated_phrase_is_compared(spark):
     assert got == [(k, 20, 24, 0) for k in range(3)]
 
 
+def all_leaks(docs, items, window, percent):
+    """Every stretch of every item at every place of every document."""
+    found = {}
+    for d, text in docs:
+        t = text.split()
+        for i, item in items:
+            b = item.split()
+            n = min(len(b), window)
+            for s in range(len(b) - n + 1):
+                for p in range(len(t) - n + 1):
+                    same = sum(x == y for x, y in zip(t[p : p + n], b[s : s + n]))
+                    if 100 * same >= percent * n:
+                        found[d, i] = max(found.get((d, i), (0, 0, 0)), (same, -p, n))
+    return sorted(((*k, n, length, -p) for k, (n, p, length) in found.items()), key=repr)
+
+
+def test_leaks_equal_brute_force(spark):
+    """Items of any length with as many words replaced, anywhere, as the rule allows, and with one more."""
+    import random
+
+    r = random.Random(7)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 31)]
+    docs = []
+    for n, item in items:
+        part = item.split()[r.randrange(max(1, n - 23)) :][:24]
+        for extra in (0, 0, 0, 0, 0, 0, 1):
+            w = list(part)
+            for k in r.sample(range(len(w)), min(len(w), len(w) // 5 + extra)):
+                w[k] = "other"
+            docs.append((len(docs), " ".join(["before"] * r.randrange(4) + w + ["after"] * r.randrange(4))))
+    got = spaced_seeds.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    expected = all_leaks(docs, items, 24, 80)
+    assert len(expected) >= 180
+    assert plain(got, "doc_id", "item_id", "n_matched", "n_compared", "start") == expected
+
+
+def test_every_leak_keeps_a_mask():
+    """All ways to replace as many words as the rule allows leave one mask untouched."""
+    from itertools import combinations
+
+    for n in range(1, 26):
+        masks = [set(m) for m in spaced_seeds.masks(n, 80)]
+        assert masks and all(m <= set(range(n)) for m in masks)
+        assert all(any(m.isdisjoint(c) for m in masks) for c in combinations(range(n), n // 5))
+
+
 def test_large_benchmarks_give_the_same_leaks(spark, monkeypatch):
     docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
     items = queries.table(spark, "/root/testdata/sf0.001", "benchmark")
