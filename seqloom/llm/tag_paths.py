@@ -6,7 +6,9 @@ long, punctuated and hold few links. Ratios are smoothed along the page, so a sh
 as they are, and fused upwards: every ancestor gathers the ratios below it, and the walk from the root to the
 ancestor that holds nearly all of it finds the content node. Paths below that node stay unless their ratio is under a
 threshold, which depends on the spread of ratios on the page. Elements that are no content by their meaning (navigation,
-footers, forms, scripts) and by names in class, id or role (adverts, sidebars, notices, comments) have ratio zero.
+footers, forms, scripts, roles) have ratio zero. Names in class or id (adverts, sidebars, notices, comments) lower the
+ratio of the blocks below to ``NAMED`` of it; they say nothing on html, body, main and article, nor on an element that
+holds more than half of the page's text.
 
 Null and empty pages, and pages without text, give an empty text. Broken markup is read as browsers read it: unclosed
 elements end with their parent, an unfinished tag or comment at the end of the page is dropped. Repeated rows are
@@ -34,6 +36,8 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 RAW = frozenset("script style noscript template iframe svg math textarea title select button object canvas head".split())
 NEVER = frozenset("nav footer aside form menu dialog fieldset search".split())
 ROOTS = frozenset("article main".split())
+HOLDERS = ROOTS | {"html", "body"}
+NAMED = 0.01
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion menu nav navbar navigation "
@@ -57,25 +61,29 @@ class Block:
     linked: int
     out: bool
     root: bool
+    named: tuple[int, ...]  # elements around it whose names are none of content
 
 
-def _named(attributes: str, inside: bool) -> tuple[str, bool]:
-    """Name added to the tag in the path, and whether the element is none of the content."""
-    label, out = "", False
+def _named(attributes: str, inside: bool) -> tuple[str, bool, bool]:
+    """Name added to the tag in the path, whether the element is none of the content, and whether its names say so."""
+    label, out, named = "", False, False
     for m in _ATTRIBUTE.finditer(attributes):
         kind, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if kind == "hidden" and (not m[2] or value in ("", "hidden")) or kind == "aria-hidden" and value == "true":
             out = True
         elif kind in ("class", "id", "role") and value:
             words = set(re.split(r"[^a-z]+", value))
-            out |= bool(words & NAMES) or not inside and value in ("header", "contentinfo", "complementary")
+            hit = bool(words & NAMES) or not inside and value in ("header", "contentinfo", "complementary")
+            out |= hit and kind == "role"
+            named |= hit and kind != "role"
             label += f".{value}"
-    return label, out
+    return label, out, named
 
 
 def blocks(page: str) -> list[Block]:
     found: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, its part of the path, no content, below an article
+    # tag, its part of the path, no content, below an article, elements with names of no content
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []
     parts: list[str] = []
     linked = links = 0
 
@@ -94,8 +102,8 @@ def blocks(page: str) -> list[Block]:
         if parts:
             joined = " ".join("".join(parts).split())
             if joined:
-                out, root = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-                found.append(Block(tuple(s[1] for s in stack), joined, linked, out, root))
+                out, root, named = stack[-1][2:] if stack else (False, False, ())
+                found.append(Block(tuple(s[1] for s in stack), joined, linked, out, root, named))
             parts.clear()
         linked = 0
 
@@ -136,10 +144,11 @@ def blocks(page: str) -> list[Block]:
             pop({"p"}, frozenset(("td", "th", "table")))
         if tag in VOID or rest.endswith("/"):
             continue
-        above = stack[-1] if stack else ("", "", False, False)
-        label, out = _named(rest, above[3])
+        above = stack[-1] if stack else ("", "", False, False, ())
+        label, out, hit = _named(rest, above[3])
+        named = (*above[4], at) if hit and tag not in HOLDERS else above[4]
         out |= tag in NEVER or tag == "header" and not above[3]
-        stack.append((tag, tag + label, above[2] or out, above[3] or tag in ROOTS or ".main" in label))
+        stack.append((tag, tag + label, above[2] or out, above[3] or tag in ROOTS or ".main" in label, named))
     text(len(page))
     flush()
     return found
@@ -154,27 +163,47 @@ def _smoothed(values: list[float], radius: int = 2) -> list[float]:
     return out
 
 
+def _doubtful(live: list[Block]) -> list[bool]:
+    """Whether a block lies in an element with a name of no content that holds half of the text at most."""
+    size: dict[int, int] = {}
+    for b in live:
+        for k in b.named:
+            size[k] = size.get(k, 0) + len(b.text)
+    total = sum(len(b.text) for b in live)
+    doubt = [any(2 * size[k] <= total for k in b.named) for b in live]
+    return [False] * len(live) if all(doubt) else doubt
+
+
 def select(found: list[Block], share: float = 0.8, spread: float = 0.05) -> list[Block]:
     """The blocks of the main text, in page order."""
     live = [b for b in found if not b.out]
+    doubt = dict(zip(map(id, live), _doubtful(live)))
+    clear = [b for b in live if not doubt[id(b)]]
     rooted = [b for b in live if b.root]
-    if rooted and 4 * sum(len(b.text) for b in rooted) >= sum(len(b.text) for b in live):
-        live = rooted
+    if 4 * sum(len(b.text) for b in rooted if not doubt[id(b)]) >= sum(len(b.text) for b in clear) > 0:
+        live, clear = rooted, [b for b in clear if b.root]
     if not live:
         return []
-    sums: dict[tuple[str, ...], list[float]] = {}
+    sums: dict[tuple[bool, tuple[str, ...]], list[float]] = {}
     for b in live:
-        s = sums.setdefault(b.path, [0, 0, 0, 0])
+        s = sums.setdefault((doubt[id(b)], b.path), [0, 0, 0, 0])
         for k, v in enumerate((len(b.text), len(PUNCTUATION.findall(b.text)), 1, b.linked)):
             s[k] += v
     ratio = {p: chars / n * (1 + marks / n) * max(0.0, 1 - links / chars) for p, (chars, marks, n, links) in sums.items()}
-    smooth = _smoothed([ratio[b.path] for b in live])
+    smooth = _smoothed([ratio[False, b.path] for b in clear])
     mass: dict[tuple[str, ...], float] = {}
     own: dict[tuple[str, ...], list[float]] = {}
-    for b, r in zip(live, smooth):
-        own.setdefault(b.path, []).append(r)
+
+    def gather(b: Block, r: float) -> None:
         for k in range(len(b.path) + 1):
             mass[b.path[:k]] = mass.get(b.path[:k], 0.0) + r * len(b.text)
+
+    for b, r in zip(clear, smooth):
+        own.setdefault(b.path, []).append(r)
+        gather(b, r)
+    for b in live:
+        if doubt[id(b)]:
+            gather(b, NAMED * ratio[True, b.path])
     below: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
     for p in mass:
         if p:
@@ -186,13 +215,16 @@ def select(found: list[Block], share: float = 0.8, spread: float = 0.05) -> list
             break
         node = best
     mean = {p: sum(v) / len(v) for p, v in own.items() if p[: len(node)] == node}
-    centre = sum(mean.values()) / len(mean)
-    deviation = math.sqrt(sum((v - centre) ** 2 for v in mean.values()) / len(mean))
+    centre = sum(mean.values()) / max(len(mean), 1)
+    deviation = math.sqrt(sum((v - centre) ** 2 for v in mean.values()) / max(len(mean), 1))
 
     def stays(b: Block) -> bool:
-        if b.path not in mean:
+        if b.path[: len(node)] != node:
             return False
-        chars, _, _, links = sums[b.path]
+        named = doubt[id(b)]
+        chars, _, _, links = sums[named, b.path]
+        if named:
+            return 2 * links < chars and NAMED * ratio[True, b.path] >= spread * max(centre, deviation)
         return 2 * links < chars and (len(b.path) <= len(node) + 1 or mean[b.path] >= spread * deviation)
 
     return [b for b in live if stays(b)]

@@ -80,6 +80,35 @@ def test_pages():
     ]
 
 
+STORY = ["The first paragraph of the story, with a comma.", "The second one is here. It goes on, and on.", "The end."]
+
+
+@pytest.mark.parametrize(
+    "holder",
+    [
+        '<body class="home has-sidebar"><div>{}</div>',
+        '<html class="no-menu"><body><div>{}</div>',
+        '<body><div id="content" class="no-sidebar">{}</div>',
+        '<body><article class="post comments-open">{}</article>',
+        '<body><main class="with-ads">{}</main>',
+        '<body><div class="page has-sidebar"><div class="social-story">{}</div></div>',
+        '<body><div class="a">Short.</div><article class="post comments-open">{}</article>',
+    ],
+)
+def test_names_of_containers_do_not_cut_the_story(holder):
+    story = "".join(f"<p>{x}</p>" for x in STORY)
+    ad = '<div class="ad"><p>Buy this, now.</p></div><div class="share">Tell a friend.</div>'
+    got = tag_paths.main_text(holder.format(story + ad)).split("\n\n")
+    assert [x for x in got if x != "Short."] == STORY
+
+
+def test_long_prose_stays_whatever_its_name():
+    """A name lowers the ratio of a block, and does not remove it."""
+    long = "A long part of the story, with commas, and with more than one sentence. It goes on, and on. " * 6
+    page = "<body><div>" + "<p>Short words here.</p>" * 40 + f'<div class="related-story"><p>{long}</p></div></div>'
+    assert long.strip() in tag_paths.main_text(page)
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<p>", "<!--", "<a href='", "</p></div>", "<nav>x</nav>", "<script>x"])
 def test_pages_without_text(page):
     assert tag_paths.main_text(page) == ""
