@@ -4,8 +4,9 @@ Smoothed Markov models of variable order, one of accepted and one of rejected UR
 difference per character; a cut calibrated on held-back URLs decides. A character's probability at order k is its count
 after the last k characters, smoothed towards order k-1, so contexts never seen fall back to shorter ones.
 
-Counts cover all labelled URLs. They live in a table of ``2 ** bits`` hashed slots: tasks emit sums per slot, Spark adds
-them, and the model that goes to the tasks has that size whatever the input (two numbers per slot). Labels come from
+Counts cover all labelled URLs and are a table with a row per (order, context, character) and per context, told apart
+by 64 bits, that grows with the input. If its rows are few (counted, ``BROADCAST_BYTES``), they go to the tasks as sorted
+arrays; beyond that, the distinct texts' n-grams are joined to the table and scored with just the rows they meet. Labels come from
 host and path rules, of which the longest that fits wins; a URL no rule fits gets the models' verdict.
 
 Null URLs and those without ``://`` have an empty host and path and fit no rule; the models judge their text as it is.
@@ -22,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import lower_ascii
+from .. import runtime
+from .text import lower_ascii, stored
 
 ALLOW, BLOCK = "allow", "block"
 
@@ -79,31 +81,37 @@ def _encoded(column: pa.Array) -> list[bytes]:
 
 
 def _count(rows: DataFrame, hashing: Hashing) -> DataFrame:
-    """``slot``, ``allow``, ``block``: counts over rows of (text, accepted)."""
+    """``slot``, ``allow``, ``block``: counts over rows of (text, accepted), added up per slice before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, 1 << hashing.bits), np.int64)
-        for b in batches:
+        for b in (b.slice(at, 4096) for b in batches for at in range(0, b.num_rows, 4096)):
             texts, good = _encoded(b.column(0)), np.array(b.column(1).to_pylist(), bool)
-            if not texts:
-                continue
             owner, joint, alone = hashing.slots(texts)
-            for c in (0, 1):
-                mine = good[owner] == bool(c)
-                for s in (joint, alone):
-                    n[c] += np.bincount(s[:, mine].ravel(), minlength=n.shape[1])
-        slot = np.flatnonzero(n.any(axis=0))
-        for at in range(0, len(slot), 1 << 16):
-            s = slot[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n[1][s]), pa.array(n[0][s])], ["slot", ALLOW, BLOCK])
+            both = np.concatenate([joint, alone]).ravel()
+            slot, at, n = np.unique(both, return_inverse=True, return_counts=True)
+            allowed = np.bincount(at, np.tile(good[owner], 2 * hashing.order + 2), len(slot)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(allowed), pa.array(n - allowed)], ["slot", ALLOW, BLOCK])
 
     parts = rows.mapInArrow(run, f"slot long, {ALLOW} long, {BLOCK} long")
     return parts.groupBy("slot").agg(F.sum(ALLOW).alias(ALLOW), F.sum(BLOCK).alias(BLOCK))
 
 
-def log_ratio(texts: list[bytes], counts: np.ndarray, hashing: Hashing, smooth: float) -> np.ndarray:
-    """Log-likelihood of the accepted model less that of the rejected one, per character; 0 for empty texts."""
+def _located(known: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Places of slots among the known ones, which are sorted; the place behind the last for others."""
+    at = np.searchsorted(known, slots)
+    return np.where(np.append(known, 0)[at] == slots, at, len(known)) if len(known) else np.zeros_like(at)
+
+
+def log_ratio(
+    texts: list[bytes], counts: np.ndarray, hashing: Hashing, smooth: float, known: np.ndarray | None = None
+) -> np.ndarray:
+    """Log-likelihood of the accepted model less that of the rejected one, per character; 0 for empty texts.
+
+    ``counts`` are by slot, or by place among the ``known`` slots, with a zero behind the last.
+    """
     owner, joint, alone = hashing.slots(texts)
+    if known is not None:
+        joint, alone = _located(known, joint), _located(known, alone)
     logs = []
     for n in counts:
         p = np.full(len(owner), 1 / 256)
@@ -114,15 +122,28 @@ def log_ratio(texts: list[bytes], counts: np.ndarray, hashing: Hashing, smooth:
     return total / np.maximum(np.array([len(t) for t in texts]), 1)
 
 
-def scored(rows: DataFrame, text: str, counts: np.ndarray, hashing: Hashing, smooth: float) -> DataFrame:
+def _arrays(slot, allow, block) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct slots in order, and the counts at their places."""
+    known, first = np.unique(slot.to_numpy(), return_index=True)
+    n = np.zeros((2, len(known) + 1))
+    n[0, :-1], n[1, :-1] = allow.to_numpy()[first], block.to_numpy()[first]
+    return known, n
+
+
+def scored(rows: DataFrame, text: str, table: DataFrame, hashing: Hashing, smooth: float) -> DataFrame:
     """All columns plus ``score``."""
-    model = rows.sparkSession.sparkContext.broadcast(counts)
+    limit = runtime.BROADCAST_BYTES // 24
+    if table.limit(limit + 1).count() > limit:
+        return _joined(rows, text, table, hashing, smooth)
+    held = table.toArrow()
+    model = rows.sparkSession.sparkContext.broadcast(_arrays(held["slot"], held[ALLOW], held[BLOCK]))
     names = rows.columns
     place = names.index(text)
 
     def run(batches):
         for b in batches:
-            s = log_ratio(_encoded(b.column(place)), model.value, hashing, smooth) if b.num_rows else np.zeros(0)
+            known, counts = model.value
+            s = log_ratio(_encoded(b.column(place)), counts, hashing, smooth, known) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*names, "score"])
 
     from pyspark.sql.types import DoubleType, StructType
@@ -130,6 +151,31 @@ def scored(rows: DataFrame, text: str, counts: np.ndarray, hashing: Hashing, smo
     return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("score", DoubleType()))
 
 
+def _joined(rows: DataFrame, text: str, table: DataFrame, hashing: Hashing, smooth: float) -> DataFrame:
+    """``scored`` with a table of any size. A text that meets no row scores 0, as both models are alike for it."""
+
+    def grams(batches):
+        for b in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+            owner, joint, alone = hashing.slots(_encoded(b.column(0)))
+            pairs = np.stack([np.tile(owner, 2 * hashing.order + 2), np.concatenate([joint, alone]).ravel()])
+            pairs = np.unique(pairs, axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pairs[0])), pa.array(pairs[1])], ["_text", "slot"])
+
+    def score(batches):
+        for b in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+            met = b.column(1).flatten()
+            known, counts = _arrays(*[met.field(c) for c in ("slot", ALLOW, BLOCK)])
+            s = log_ratio(_encoded(b.column(0)), counts, hashing, smooth, known)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], ["_text", "score"])
+
+    texts = rows.select(F.col(text).alias("_text")).distinct()
+    met = texts.mapInArrow(grams, "_text string, slot long").join(table, "slot")
+    met = met.groupBy("_text").agg(F.collect_list(F.struct("slot", ALLOW, BLOCK)).alias("_met"))
+    scores = met.mapInArrow(score, "_text string, score double")
+    out = rows.join(scores, F.col(text) == F.col("_text"), "left")
+    return out.select(*[rows[c] for c in rows.columns], F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def calibrated_cut(scores: DataFrame, bins: int = 4000, reach: float = 8.0) -> float | None:
     """The score from which on a URL is accepted: best mean of both classes' hit rates on (score, accepted) rows."""
     b = F.floor(F.least(F.greatest(F.col("score"), F.lit(-reach)), F.lit(reach)) * (bins / (2 * reach)))
@@ -155,7 +201,6 @@ def judge(
     key: str = "page_id",
     url: str = "url",
     order: int = 5,
-    bits: int = 19,
     smooth: float = 2.0,
 ) -> DataFrame:
     """``key``, ``host``, ``path``, ``rule``, ``verdict`` and ``score`` of every row."""
@@ -165,16 +210,14 @@ def judge(
     text = F.when(F.col("_url").contains("://"), F.concat("host", "path")).otherwise(F.coalesce("_url", F.lit("")))
     rows = rows.withColumn("_seen", text)
     rows = rows.select(key, "host", "path", rule.alias("rule"), ruled.alias("_ruled"), "_seen")
-    hashing = Hashing(order, bits)
+    hashing = Hashing(order, 64)
     labelled = rows.filter(F.col("_ruled").isNotNull()).withColumn("accepted", F.col("_ruled") == ALLOW)
     held = F.crc32("_seen") % 5 == 0
-    table = _count(labelled.filter(~held).select("_seen", "accepted"), hashing).toArrow()
-    counts = np.zeros((2, 1 << bits), np.float32)
-    slot = table.column("slot").to_numpy()
-    counts[0, slot], counts[1, slot] = table.column(ALLOW).to_numpy(), table.column(BLOCK).to_numpy()
+    table = stored(_count(labelled.filter(~held).select("_seen", "accepted"), hashing))
     cut = None
-    if counts[0].any() and counts[1].any():
-        cut = calibrated_cut(scored(labelled.filter(held).select("_seen", "accepted"), "_seen", counts, hashing, smooth))
-    out = scored(rows, "_seen", counts, hashing, smooth)
+    total = table.agg(F.sum(ALLOW), F.sum(BLOCK)).first()
+    if total[0] and total[1]:
+        cut = calibrated_cut(scored(labelled.filter(held).select("_seen", "accepted"), "_seen", table, hashing, smooth))
+    out = scored(rows, "_seen", table, hashing, smooth)
     judged = F.lit(ALLOW) if cut is None else F.when(F.col("score") >= cut, ALLOW).otherwise(BLOCK)
     return out.select(key, "host", "path", "rule", F.coalesce("_ruled", judged).alias("verdict"), "score")

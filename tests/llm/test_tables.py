@@ -346,6 +346,40 @@ def test_urls(spark):
     assert learned.filter("rule IS NULL").select("verdict").distinct().count() == 2
 
 
+def test_url_scores_equal_counts_of_strings(spark, monkeypatch):
+    """Both ways to score, next to counts kept by the strings themselves."""
+    import math
+    import random
+    import zlib
+
+    r = random.Random(5)
+    made = ["http://" + "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=24)) + e for e in (".com/a", ".net/es/") for _ in range(2000)]
+    pages = spark.createDataFrame([*enumerate([*made, made[0], "", "none", None])], "page_id long, url string")
+    seen = {k: (u or "").split("://")[-1] for k, u in enumerate([*made, made[0], "", "none", None])}
+    n = Counter()
+    for k in seen:
+        if k < 4001 and zlib.crc32(seen[k].encode()) % 5:
+            text = "\0" * 5 + seen[k]
+            for at in range(5, len(text)):
+                for o in range(6):
+                    n.update([(".com" in text, text[at - o : at + 1], 1), (".com" in text, text[at - o : at], 0)])
+
+    def score(text):
+        total, padded = 0.0, "\0" * 5 + text
+        for at in range(5, len(padded)):
+            p = {c: 1 / 256 for c in (True, False)}
+            for o in range(6):
+                p = {c: (n[c, padded[at - o : at + 1], 1] + 2 * p[c]) / (n[c, padded[at - o : at], 0] + 2) for c in p}
+            total += math.log(p[True] / p[False])
+        return total / max(len(text), 1)
+
+    expected = {k: score(t) for k, t in seen.items()}
+    for size in (url_models.runtime.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(url_models.runtime, "BROADCAST_BYTES", size)
+        got = {x.page_id: x.score for x in url_models.judge(pages, queries.URL_RULES).collect()}
+        assert got.keys() == expected.keys() and max(abs(got[k] - expected[k]) for k in got) < 1e-9
+
+
 def test_pages(spark):
     rows = [(1, "u", "<p>Some text, here.</p>"), (2, None, None), (3, "u", ""), (3, "u", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
