@@ -122,6 +122,51 @@ def _(v):
     return out.select("user_id", F.lit(0).cast("bigint").alias("t"), "state", F.round("g", 6).alias("g"))
 
 
+# ---- one-step set operations over all positions ----------------------------------------------------
+
+
+def at_all(v, **names: str) -> list[DataFrame]:
+    """Long tables (user, chunk, t, state, name) of columns of the posterior, stored once."""
+    rows = settle(estep.posterior(v.seqs, v.model).select(*KEYS, *names))
+    return [rows.select(*KEYS, F.posexplode(c).alias("state", name)) for c, name in names.items()]
+
+
+def moved(rows: DataFrame, by: int) -> DataFrame:
+    return rows.withColumn("t", F.col("t") + by)
+
+
+@query("H4_update_all", sql(three("q", "q{k}", "fw"), "fw"))
+def _(v):
+    (p,) = at_all(v, pred="p")
+    out = state_table.update(p, state_table.item_log_lik(v.seq, v.model.emis, KEYS), KEYS)
+    return out.select("user_id", "t", "state", F.round("q", 6).alias("q"))
+
+
+AFTER = "(SELECT user_id, t + 1 AS t, n0, n1, n2 FROM fw_end)"
+
+
+@query(
+    "H5_predict_all",
+    sql(three("p", "r{k}", "fw", "WHERE t > 0") + " UNION ALL " + three("p", "n{k}", AFTER), "fw", "fw_end"),
+)
+def _(v):
+    """The state after every position, the last included."""
+    (q,) = at_all(v, filt="q")
+    out = moved(state_table.predict(q, matrix_table(v.spark, v.model.trans), KEYS), 1)
+    return out.select("user_id", "t", "state", F.round("p", 6).alias("p"))
+
+
+@query("H6_backward_all", sql(three("g", "g{k}", "fw_g"), "fw_g"))
+def _(v):
+    """Every position from the one after it; the last one is smoothed as it is filtered."""
+    q, p, g = at_all(v, filt="q", pred="p", smooth="g")
+    p, g = moved(p.where("t > 0"), -1), moved(g.where("t > 0"), -1)
+    back = state_table.backward(q, p, g, matrix_table(v.spark, v.model.trans), KEYS)
+    last = q.join(g, [*KEYS, "state"], "left_anti").withColumnRenamed("q", "g")
+    out = back.select(*KEYS, "state", "g").unionByName(last)
+    return out.select("user_id", "t", "state", F.round("g", 6).alias("g"))
+
+
 # ---- forward-backward -------------------------------------------------------------------------------
 
 

@@ -25,3 +25,10 @@ def con():
 @pytest.mark.parametrize("name", [n for n in queries() if any(n.startswith(c) for c in CHOSEN)])
 def test_query_equals_sql(spark, con, name):
     assert compare(queries()[name](spark, SMALL), con, oracle()[name]) in ("", "no rows")
+
+
+@pytest.mark.parametrize("name", ["H4_update_all", "H5_predict_all", "H6_backward_all"])
+def test_one_step_forms_take_all_positions(spark, con, name):
+    out = queries()[name](spark, SMALL)
+    assert out.agg({"t": "max"}).first()[0] > 1
+    assert compare(out, con, oracle()[name]) == ""
