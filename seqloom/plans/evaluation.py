@@ -8,7 +8,7 @@ from ..operators import em, estep, evaluate, states
 from ..operators.model import labelled_model, vector_table
 from ..runtime import scratch_path
 from ..streaming import online
-from .latent import PRIOR, all_transitions, reestimated
+from .latent import BUDGET, PRIOR, all_transitions, reestimated
 from .registry import GAP, TYPES, query
 from .relational import LENGTHS, SWITCH, test_user, dashboard, spread
 from .sql import ROUNDS, START_PRIORS, evidence_steps, filter_steps, r6, sql, step, trace_sql
@@ -56,6 +56,21 @@ def _(v):
     return em.history_table(v.spark, models).withColumn("log_lik", F.round("log_lik", 4))
 
 
+@query("D3_restarts_to_the_end")
+def _(v):
+    """``D3_restarts`` by the stop rule; ``BUDGET`` rounds at most."""
+    starts = [labelled_model(v.labelled, v.dim, 3, p) for p in START_PRIORS]
+    models = em.fit(v.seqs, starts, PRIOR, max_iter=BUDGET, tol=5.0)
+    return em.history_table(v.spark, models)
+
+
+@query("D4_convergence_to_the_end")
+def _(v):
+    """``D4_convergence`` by the stop rule; ``BUDGET`` rounds at most."""
+    models = em.fit(v.seqs, [v.model], PRIOR, max_iter=BUDGET, tol=5.0)
+    return em.history_table(v.spark, models)
+
+
 @query("D5_entropy_convergence")
 def _(v):
     starts = evaluate.entropy_starts(v.dim, 3, PRIOR, 4, known=v.model)

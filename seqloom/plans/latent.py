@@ -29,6 +29,8 @@ from .sql import (
 
 KEYS = ["user_id", "chunk", "t"]
 PRIOR = em.Prior(2.0, 2.0, 2.0)
+#: Rounds of a fit that ends by the stop rule.
+BUDGET = 90
 
 
 def three(name: str, fmt: str, table: str, where: str = "") -> str:
@@ -297,6 +299,13 @@ def _(v):
     return em.history_table(v.spark, models).withColumn("log_lik", F.round("log_lik", 4))
 
 
+@query("H16_parallel_em_to_the_end")
+def _(v):
+    """``H16_parallel_em`` with all starts by the stop rule; ``BUDGET`` rounds at most."""
+    starts = [labelled_model(v.order_labelled, v.order_dim, 3, p) for p in START_PRIORS]
+    return em.history_table(v.spark, em.fit(v.order_seqs, starts, PRIOR, max_iter=BUDGET, tol=5.0))
+
+
 @query(
     "H17_log_likelihood",
     sql("SELECT user_id, round(sum(c), 6) AS log_lik, count(*) AS positions FROM ofw GROUP BY user_id", "ofw"),

@@ -3,7 +3,9 @@ import re
 import pytest
 from oracle_check import compare, connect
 
+from seqloom.operators import em
 from seqloom.plans import oracle, queries
+from seqloom.plans.latent import BUDGET
 
 SMALL = "/root/testdata/sf0.001"
 FAMILIES = {"S": 6, "P": 13, "J": 9, "A": 18, "W": 14, "K": 6, "U": 1, "E": 9, "H": 26, "M": 9, "R": 6, "D": 13, "F": 8, "T": 4}
@@ -32,3 +34,12 @@ def test_one_step_forms_take_all_positions(spark, con, name):
     out = queries()[name](spark, SMALL)
     assert out.agg({"t": "max"}).first()[0] > 1
     assert compare(out, con, oracle()[name]) == ""
+
+
+@pytest.mark.parametrize("name", ["D3_restarts", "D4_convergence", "H16_parallel_em"])
+def test_fits_end_by_the_stop_rule(spark, name):
+    traces = {}
+    for r in sorted(queries()[f"{name}_to_the_end"](spark, SMALL).collect()):
+        traces.setdefault(r.restart, []).append(r.log_lik)
+    assert len(traces) == (1 if name == "D4_convergence" else 3)
+    assert all(len(t) < BUDGET and em.settled(t, 5.0) for t in traces.values())
