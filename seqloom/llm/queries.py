@@ -12,10 +12,12 @@ from . import (
     decision_list,
     line_windows,
     piece_viterbi,
+    removal_ranks,
     signature_join,
     spaced_seeds,
     span_doubling,
     string_kernel,
+    subvector_codes,
     tag_paths,
     token_resync,
     url_models,
@@ -129,3 +131,15 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_near_duplicates", signature_join.SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return signature_join.near_duplicates(table(spark, folder, "documents"), width=2, percent=80)
+
+
+@query("op11_filter_interactions", removal_ranks.SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return removal_ranks.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op13_centroid_clusters", subvector_codes.SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    out = subvector_codes.cluster(table(spark, folder, "embeddings"), k=40, rounds=5)
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256")
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest)
