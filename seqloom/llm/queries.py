@@ -18,6 +18,7 @@ from . import (
     span_doubling,
     string_kernel,
     subvector_codes,
+    suffix_radix,
     tag_paths,
     token_resync,
     url_models,
@@ -138,6 +139,12 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return removal_ranks.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op12_suffix_dedup", suffix_radix.SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix_radix.dedup(table(spark, folder, "documents"), width=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op13_centroid_clusters", subvector_codes.SQL)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     out = subvector_codes.cluster(table(spark, folder, "embeddings"), k=40, rounds=5)
