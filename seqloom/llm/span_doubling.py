@@ -14,7 +14,8 @@ by map-side aggregates, and its members never meet in pairs.
 
 Windows are hashed by 64 bits where they are candidates, by 96 bits where they decide. Words are the runs of characters
 other than space, tab, \\n, \\v, \\f and \\r. Null and empty texts have no words. Rows that repeat a key and text count
-as two documents, so each window of such a row starts elsewhere too. The hashes of a text are held by one task; memory
+as two documents, so each window of such a row starts elsewhere too; rows with one key and different texts are told
+apart by 64 bits of the text. The hashes of a text are held by one task; memory
 is linear in the longest text.
 """
 
@@ -156,7 +157,7 @@ def _lists(values: list[np.ndarray], kind) -> pa.ListArray:
 
 
 def _with_ids(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("_k"), F.shiftright(F.xxhash64(F.coalesce(text, F.lit(""))), 32).cast("int").alias("_t"), F.col(text).alias("_x"))
+    return docs.select(F.col(key).alias("_k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_t"), F.col(text).alias("_x"))
 
 
 def _met(rows: DataFrame, reply: DataFrame, how: str) -> DataFrame:
@@ -168,7 +169,7 @@ def _met(rows: DataFrame, reply: DataFrame, how: str) -> DataFrame:
 def repeated(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text", shortest: int = 18) -> DataFrame:
     """``_k``, ``_t`` (key and hash of the text) and ``spans``: starts and sizes of runs of repeated windows."""
     rows = _with_ids(docs, key, text)
-    ids = f"_k {rows.schema['_k'].dataType.simpleString()}, _t int"
+    ids = f"_k {rows.schema['_k'].dataType.simpleString()}, _t long"
     levels = lengths(width, shortest)
     reply = None
 
@@ -195,9 +196,9 @@ def repeated(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text
 
     for k in range(len(levels) - 1):
         source = rows if reply is None else _met(rows, reply, "inner")
-        # read twice below, hashed once
-        found = stored(source.mapInArrow(counted(k), f"{ids}, at int, h long"))
-        twice = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+        # hashed twice, as the rows would take as much disk as the texts; stored hashes, so that Spark can split the join
+        found = source.mapInArrow(counted(k), f"{ids}, at int, h long")
+        twice = stored(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
         reply = stored(found.join(twice, "h").groupBy("_k", "_t").agg(F.collect_list("at").alias("known")))
 
     led = reply is not None
