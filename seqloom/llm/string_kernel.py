@@ -6,7 +6,7 @@ span the feature space (Nyström): a text becomes its kernel values against the
 matrix, and one ridge regression per language gives the scores. Batches of texts are scored by two matrix products.
 
 The classifier is fitted on a bounded sample: the ``per_language`` labelled texts of each language with the smallest
-hashed id, of which the first ``landmarks`` are landmarks; at most ``languages`` languages, the most frequent ones.
+hashed id (repeated rows are one text), of which the first ``landmarks`` are landmarks; at most ``languages`` languages, the most frequent ones.
 Tasks send the driver packed n-gram sets of ``2 ** bits / 8`` bytes, whatever the length of a text. Prediction reads
 whole texts and nothing else.
 
@@ -17,16 +17,16 @@ that sorts first.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"\P{L}+")
 _STEP = np.uint32(0x9E3779B1)
 
 
@@ -128,11 +128,14 @@ def fit(
     """A model of the labelled rows, or None if there are none."""
     named = rows.filter(F.col(lang).isNotNull() & F.col(key).isNotNull())
     top = named.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(languages)
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    ids = named.select(key, lang).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_language)
-    ids = ids.join(F.broadcast(top.select(lang)), lang).select(key, "_rank").dropDuplicates([key])
-    # at most languages * per_language ids
-    sample = named.select(key, text, lang).join(F.broadcast(ids), key)
+    named = named.select(F.col(key).alias("_k"), F.col(text).alias("_x"), F.col(lang).alias("_l"), F.xxhash64(text).alias("_t"))
+    top = top.select(F.col(lang).alias("_l"))
+    # texts are ranked, not ids: rows that repeat an id, a language and a text are one, and one id may have several
+    order = Window.partitionBy("_l").orderBy(F.xxhash64("_k"), "_k", "_t")
+    ids = named.select("_k", "_l", "_t").distinct().join(F.broadcast(top), "_l")
+    ids = ids.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_language)
+    # at most languages * per_language ids, and as many texts
+    sample = named.join(F.broadcast(ids), ["_k", "_l", "_t"]).groupBy("_l", "_rank").agg(F.first("_x").alias("_x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,7 +147,7 @@ def fit(
                     [part.column(1), part.column(2), pa.array(packed, pa.binary())], ["lang", "rank", "set"]
                 )
 
-    found = sample.select(text, lang, F.col("_rank").cast("long")).mapInArrow(run, "lang string, rank long, set binary")
+    found = sample.select("_x", "_l", F.col("_rank").cast("long")).mapInArrow(run, "lang string, rank long, set binary")
     rows_ = found.filter(F.col("set").isNotNull()).toArrow().to_pylist()
     per: dict[str, list] = {}
     for r in sorted(rows_, key=lambda r: (r["lang"], r["rank"], r["set"])):

@@ -5,10 +5,13 @@ punctuation are added up per path and divided by the number of its blocks; a pat
 long, punctuated and hold few links. Ratios are smoothed along the page, so a short paragraph among long ones is read
 as they are, and fused upwards: every ancestor gathers the ratios below it, and the walk from the root to the
 ancestor that holds nearly all of it finds the content node. Paths below that node stay unless their ratio is under a
-threshold, which depends on the spread of ratios on the page. Elements that are no content by their meaning (navigation,
-footers, forms, scripts, roles) have ratio zero. Names in class or id (adverts, sidebars, notices, comments) lower the
-ratio of the blocks below to ``NAMED`` of it; they say nothing on html, body, main and article, nor on an element that
-holds more than half of the page's text.
+threshold, which depends on the spread of ratios on the page; paths that are mostly links stay if text of the content
+came before them. Elements that are no content by their meaning (navigation, footers, forms, scripts, roles) have ratio
+zero, as have those whose class or id is the name of such a part as a whole (``comments``, ``comment-list``), whatever
+their size, unless nothing else is left. A name that is a part of a longer one (``has-sidebar``) lowers the ratio of the
+blocks below to ``NAMED`` of it; it says nothing on html, body, main and article, nor on an element that holds more than
+half of the page's text. An article or main element is the content if its blocks hold at least half of all ratios, each
+weighted by the block's length; else its paths are judged like any other.
 
 Null and empty pages, and pages without text, give an empty text. Broken markup is read as browsers read it: unclosed
 elements end with their parent, an unfinished tag or comment at the end of the page is dropped. Repeated rows are
@@ -33,7 +36,7 @@ BLOCKS = frozenset(
     "search hgroup center".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea title select button object canvas head".split())
+RAW = frozenset("script style noscript template iframe textarea title select button canvas head annotation metadata".split())
 NEVER = frozenset("nav footer aside form menu dialog fieldset search".split())
 ROOTS = frozenset("article main".split())
 HOLDERS = ROOTS | {"html", "body"}
@@ -45,6 +48,9 @@ NAMES = frozenset(
     "disqus respond reply replies share sharing social related recommended newsletter subscribe signup popup modal "
     "overlay pagination pager toolbar masthead copyright disclaimer".split()
 )
+#: What may follow or precede one of the names in the name of the same part.
+PARTS = frozenset("list section area box wrapper wrap container block thread body text content item items holder inner outer panel widget the".split())
+REPLIES = frozenset("comment comments reply replies respond disqus".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _TAG = re.compile(
     r"""<!--(?:.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
@@ -60,12 +66,21 @@ class Block:
     text: str
     linked: int
     out: bool
-    root: bool
-    named: tuple[int, ...]  # elements around it whose names are none of content
+    roots: tuple[int, ...]  # article and main elements around it
+    named: tuple[int, ...]  # elements around it whose names hold one of no content
+
+
+def _whole(value: str, names: frozenset[str]) -> bool:
+    """Whether one of the names in a class or id is a listed one as a whole, but for numbers and words for parts."""
+    for token in value.split():
+        words = [w for w in re.split(r"[^a-z]+", token) if w and w not in PARTS]
+        if words and all(w in names for w in words):
+            return True
+    return False
 
 
 def _named(attributes: str, inside: bool) -> tuple[str, bool, bool]:
-    """Name added to the tag in the path, whether the element is none of the content, and whether its names say so."""
+    """Name added to the tag in the path, whether the element is none of the content, and whether names hint at it."""
     label, out, named = "", False, False
     for m in _ATTRIBUTE.finditer(attributes):
         kind, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
@@ -75,15 +90,23 @@ def _named(attributes: str, inside: bool) -> tuple[str, bool, bool]:
             words = set(re.split(r"[^a-z]+", value))
             hit = bool(words & NAMES) or not inside and value in ("header", "contentinfo", "complementary")
             out |= hit and kind == "role"
-            named |= hit and kind != "role"
+            if kind != "role":
+                named |= hit
             label += f".{value}"
     return label, out, named
 
 
+def _part(attributes: str, tag: str) -> bool:
+    """Whether class or id name a part that is no content; an article can only be a reader's comment."""
+    names = REPLIES if tag in HOLDERS else NAMES
+    values = [(m[2] or "").strip("\"'").lower() for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id")]
+    return tag not in ("html", "body", "main") and any(_whole(v, names) for v in values)
+
+
 def blocks(page: str) -> list[Block]:
     found: list[Block] = []
-    # tag, its part of the path, no content, below an article, elements with names of no content
-    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []
+    # tag, its part of the path, no content, article and main elements, elements with names of no content, below an article
+    stack: list[tuple[str, str, bool, tuple[int, ...], tuple[int, ...], bool]] = []
     parts: list[str] = []
     linked = links = 0
 
@@ -102,8 +125,8 @@ def blocks(page: str) -> list[Block]:
         if parts:
             joined = " ".join("".join(parts).split())
             if joined:
-                out, root, named = stack[-1][2:] if stack else (False, False, ())
-                found.append(Block(tuple(s[1] for s in stack), joined, linked, out, root, named))
+                out, roots, named = stack[-1][2:5] if stack else (False, (), ())
+                found.append(Block(tuple(s[1] for s in stack), joined, linked, out, roots, named))
             parts.clear()
         linked = 0
 
@@ -144,11 +167,13 @@ def blocks(page: str) -> list[Block]:
             pop({"p"}, frozenset(("td", "th", "table")))
         if tag in VOID or rest.endswith("/"):
             continue
-        above = stack[-1] if stack else ("", "", False, False, ())
-        label, out, hit = _named(rest, above[3])
-        named = (*above[4], at) if hit and tag not in HOLDERS else above[4]
-        out |= tag in NEVER or tag == "header" and not above[3]
-        stack.append((tag, tag + label, above[2] or out, above[3] or tag in ROOTS or ".main" in label, named))
+        above = stack[-1] if stack else ("", "", False, (), (), False)
+        label, out, hit = _named(rest, above[5])
+        part = _part(rest, tag)
+        named = (*above[4], -at if part else at) if part or hit and tag not in HOLDERS else above[4]
+        out |= tag in NEVER or tag == "header" and not above[5]
+        main = tag in ROOTS or ".main" in label
+        stack.append((tag, tag + label, above[2] or out, (*above[3], at) if main else above[3], named, above[5] or main))
     text(len(page))
     flush()
     return found
@@ -163,27 +188,53 @@ def _smoothed(values: list[float], radius: int = 2) -> list[float]:
     return out
 
 
-def _doubtful(live: list[Block]) -> list[bool]:
-    """Whether a block lies in an element with a name of no content that holds half of the text at most."""
+def _doubtful(live: list[Block]) -> list[int]:
+    """2: in an element named as a part that is no content; 1: in one whose name hints at it and that holds half of the
+    text at most; 0: neither. If no block is left at 0, hints are void; if then none is, so are names."""
     size: dict[int, int] = {}
     for b in live:
         for k in b.named:
             size[k] = size.get(k, 0) + len(b.text)
     total = sum(len(b.text) for b in live)
-    doubt = [any(2 * size[k] <= total for k in b.named) for b in live]
-    return [False] * len(live) if all(doubt) else doubt
+    doubt = [2 if any(k < 0 for k in b.named) else int(any(2 * size[k] <= total for k in b.named)) for b in live]
+    if all(doubt):
+        doubt = [x if x == 2 else 0 for x in doubt]
+    return [0] * len(live) if all(doubt) else doubt
+
+
+def _content_root(clear: list[Block], weight: list[float]) -> int | None:
+    """The innermost article or main element that holds at least half of the weight, if any does."""
+    per: dict[int, float] = {}
+    for b, w in zip(clear, weight):
+        for k in b.roots:
+            per[k] = per.get(k, 0.0) + w
+    return max((k for k, w in per.items() if 2 * w >= sum(weight) > 0), default=None)
+
+
+def _ratios(live: list[Block]) -> list[float]:
+    """The ratio of each block's path, links counted against it."""
+    sums: dict[tuple[str, ...], list[float]] = {}
+    for b in live:
+        t = sums.setdefault(b.path, [0, 0, 0, 0])
+        for k, v in enumerate((len(b.text), len(PUNCTUATION.findall(b.text)), 1, b.linked)):
+            t[k] += v
+    ratio = {p: chars / n * (1 + marks / n) * max(0.0, 1 - links / chars) for p, (chars, marks, n, links) in sums.items()}
+    return [ratio[b.path] for b in live]
 
 
 def select(found: list[Block], share: float = 0.8, spread: float = 0.05) -> list[Block]:
     """The blocks of the main text, in page order."""
     live = [b for b in found if not b.out]
-    doubt = dict(zip(map(id, live), _doubtful(live)))
-    clear = [b for b in live if not doubt[id(b)]]
-    rooted = [b for b in live if b.root]
-    if 4 * sum(len(b.text) for b in rooted if not doubt[id(b)]) >= sum(len(b.text) for b in clear) > 0:
-        live, clear = rooted, [b for b in clear if b.root]
+    level = _doubtful(live)
+    live = [b for b, x in zip(live, level) if x < 2]
+    doubt = {id(b): bool(x) for b, x in zip(live, (x for x in level if x < 2))}
     if not live:
         return []
+    first = [b for b in live if not doubt[id(b)]]
+    root = _content_root(first, [r * len(b.text) for b, r in zip(first, _ratios(first))])
+    if root is not None:
+        live = [b for b in live if root in b.roots]
+    clear = [b for b in live if not doubt[id(b)]]
     sums: dict[tuple[bool, tuple[str, ...]], list[float]] = {}
     for b in live:
         s = sums.setdefault((doubt[id(b)], b.path), [0, 0, 0, 0])
@@ -218,14 +269,21 @@ def select(found: list[Block], share: float = 0.8, spread: float = 0.05) -> list
     centre = sum(mean.values()) / max(len(mean), 1)
     deviation = math.sqrt(sum((v - centre) ** 2 for v in mean.values()) / max(len(mean), 1))
 
+    begun = False
+
     def stays(b: Block) -> bool:
+        nonlocal begun
         if b.path[: len(node)] != node:
             return False
         named = doubt[id(b)]
         chars, _, _, links = sums[named, b.path]
         if named:
             return 2 * links < chars and NAMED * ratio[True, b.path] >= spread * max(centre, deviation)
-        return 2 * links < chars and (len(b.path) <= len(node) + 1 or mean[b.path] >= spread * deviation)
+        if 2 * links >= chars:
+            return begun or root is not None
+        good = len(b.path) <= len(node) + 1 or mean[b.path] >= spread * deviation
+        begun |= good
+        return good
 
     return [b for b in live if stays(b)]
 

@@ -168,3 +168,83 @@ def test_url_counts_and_scores():
             np.add.at(counts[c], s.ravel(), 1)
     score = url_models.log_ratio([b"abab", b"cdcd", b""], counts, hashing, 2.0)
     assert score[0] > 0 > score[1] and score[2] == 0
+
+
+LONG = [f"Sentence {k} of the story goes on for a while, with a comma, and then it ends. Another one follows it." for k in range(3)]
+
+
+def as_paragraphs(lines):
+    return "".join(f"<p>{x}</p>" for x in lines)
+
+
+def test_reader_comments_longer_than_the_story_go():
+    said = [f"Comment {k}: I have read this, and I do not agree with it at all, as I said before. It is wrong." for k in range(30)]
+    for name in ('class="comments"', 'id="comments"', 'class="comment-list"', 'id="disqus_thread"'):
+        page = f'<body><div class="story">{as_paragraphs(LONG)}</div><div {name}>{as_paragraphs(said)}</div>'
+        assert tag_paths.main_text(page).split("\n\n") == LONG
+
+
+def test_comments_marked_up_as_articles_go():
+    said = "".join(f'<article class="comment c{k}"><p>I like it, and I say so. Thanks, number {k}.</p></article>' for k in range(4))
+    page = f"<body><main><section>{as_paragraphs(LONG)}{said}</section></main>"
+    assert tag_paths.main_text(page).split("\n\n") == LONG
+
+
+def test_a_story_beside_teasers_in_articles_stays():
+    teasers = "".join(f"<article><h3>Teaser {k}</h3><p><a href=x>Read what happened next, here.</a></p></article>" for k in range(2))
+    page = f'<body><div class="story">{as_paragraphs(LONG)}</div><div class="more">{teasers}</div>'
+    got = tag_paths.main_text(page).split("\n\n")
+    assert got[:3] == LONG
+
+
+def test_linked_paragraphs_and_references_stay():
+    linked = "<p><a href=x>A paragraph that is one link, from its start to its end.</a></p>"
+    refs = "<ol>" + "".join(f"<li><a href=x>Reference number {k}, a title.</a></li>" for k in range(6)) + "</ol>"
+    for holder in ("<body><article>{}</article>", '<body><div class="story">{}</div>'):
+        got = tag_paths.main_text(holder.format(as_paragraphs(LONG) + linked + refs)).split("\n\n")
+        assert len(got) == 10 and got[:3] == LONG and got[3].startswith("A paragraph") and got[-1].startswith("Reference number 5")
+
+
+def test_formulas_and_drawings_inside_a_sentence_stay():
+    page = "<body><article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <svg><text>a curve</text></svg>, or <object>a film</object>.</p></article>"
+    assert tag_paths.main_text(page) == "Let x=2 and a curve, or a film."
+
+
+def test_menus_of_links_before_the_story_go():
+    menu = "<ul>" + "".join(f"<li><a href=x>Section {k}</a></li>" for k in range(12)) + "</ul>"
+    page = f'<body><div class="top">{menu}</div><div class="story">{as_paragraphs(LONG * 3)}</div>'
+    assert tag_paths.main_text(page).split("\n\n") == LONG * 3
+
+
+def test_numerals_are_no_letters():
+    spectrum = string_kernel.Spectrum()
+    assert spectrum.sets(["½ ²", "Ⅷ", "①②", "a½", "漢"])[1].tolist() == [False, False, False, True, True]
+
+
+def test_kernel_and_ridge_equal_plain_sets():
+    """Scores next to kernels of Python sets, a whitened landmark map and ridge equations, all written out."""
+    spectrum = string_kernel.Spectrum()
+    r = random.Random(9)
+    words = {"en": "the of and river stone winter market".split(), "fr": "le la les rivière hiver marché jardin".split()}
+    texts, langs = [], []
+    for k in range(40):
+        a = ("en", "fr")[k % 2]
+        texts.append(" ".join(r.choice(words[a]) for _ in range(8)))
+        langs.append(a)
+    order = sorted(range(40), key=lambda i: langs[i])
+    texts, langs = [texts[i] for i in order], [langs[i] for i in order]
+    sets, _ = spectrum.sets(texts)
+    model = string_kernel.fit_sets(spectrum, np.packbits(sets, axis=1), langs, 5, 1.0)
+    grams = [set(spectrum.places(t).tolist()) for t in texts]
+    marks = [i for a in ("en", "fr") for i in [j for j in range(40) if langs[j] == a][:5]]
+    kernel = lambda x, y: len(x & y) / np.sqrt(len(x) * len(y))
+    plain = np.array([[kernel(g, grams[m]) for m in marks] for g in grams])
+    assert np.allclose(model.kernel(sets), plain)
+    values, vectors = np.linalg.eigh(plain[marks])
+    features = np.c_[plain @ (vectors / np.sqrt(values)), np.ones(40)]
+    for name, column in zip(model.langs, model.weights.T):
+        y = np.array([1.0 if a == name else -1.0 for a in langs])
+        beta = np.linalg.inv(features.T @ features + np.eye(11)) @ features.T @ y
+        assert np.allclose(np.c_[plain, np.ones(40)] @ column, features @ beta)
+    fresh = ["the river and the stone", "la rivière et le jardin", "of winter", "les hiver"]
+    assert model.predict(fresh)[0] == ["en", "fr", "en", "fr"]
