@@ -62,6 +62,10 @@ def main() -> None:
     run("H13_H14_em_round_sharded", lambda: em.fit(seqs, [start], prior, 1, sharded=True)[0].emis)
     run("H15_em_5_rounds", lambda: em.fit(seqs, [start], prior, 5)[0].emis)
     run("D3_4_restarts_round", lambda: em.fit(seqs, [start] * 4, prior, 1)[0].emis)
+    wide = {n: em.random_model(dim, n, prior, 1) for n in (100, 200)}
+    for n, m in wide.items():
+        m.dense
+        run(f"H13_H14_em_round_{n}_states", lambda m=m: em.fit(seqs, [m], prior, 1)[0].emis)
     run("H17_log_likelihood", lambda: estep.log_likelihood(seqs, [start]))
 
     def score():

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import settle
+from . import draws
 from . import model as store
 from .estep import Sequences, statistics
-from .model import DENSE_LIMIT, VEC, Model, normalise_columns, sum_vector, vector_rows
+from .model import DENSE_LIMIT, VEC, Model, normalise_columns, vector_rows
+from .vectors import constants, lists, matrix, vector_total
 
 
 @dataclass(frozen=True)
@@ -32,6 +34,10 @@ class Prior:
         return m
 
 
+#: First counter of the draws for each part of a model.
+PARTS = {"emis": 0, "trans": 1, "pi": 2}
+
+
 def row_shares(weights: np.ndarray, previous: np.ndarray) -> np.ndarray:
     """Rows scaled to sum 1; a row without mass keeps its previous values."""
     total = weights.sum(axis=-1, keepdims=True)
@@ -42,26 +48,26 @@ def random_model(items: DataFrame, states: int, prior: Prior, seed: int, weight=
     """Start values: each row drawn from its Dirichlet prior.
 
     A Dirichlet row is a row of gamma draws scaled to sum 1, so every item draws its own K numbers
-    from a generator seeded by (seed, item): independent of the partitioning, and no row of N
+    as functions of (seed, part, item, state): independent of the partitioning, and no row of N
     numbers ever sits in one task.  ``weight`` optionally replaces the flat item prior by a column
     of K prior values per item.
     """
-    rng = np.random.default_rng(seed)
     k = states
-    trans = np.stack([rng.dirichlet(row) for row in prior.matrix(k)])
-    pi = rng.dirichlet(np.full(k, prior.pi))
+    row, col = np.arange(k)[:, None], np.arange(k)[None, :]
+    trans = draws.gamma(prior.matrix(k), seed, PARTS["trans"], row, col)
+    pi = draws.gamma(np.full(k, float(prior.pi)), seed, PARTS["pi"], 0, np.arange(k))
+    pi, trans = row_shares(pi, np.full(k, 1 / k)), row_shares(trans, np.full((k, k), 1 / k))
     source = items.select("item_ix", (weight if weight is not None else F.array(
         *[F.lit(float(prior.emis))] * k)).alias("w"))
 
-    def draw(frames):
-        for pdf in frames:
-            pdf["vec"] = [
-                np.random.default_rng((seed, int(ix))).gamma(w)
-                for ix, w in zip(pdf["item_ix"], pdf["w"])
-            ]
-            yield pdf[["item_ix", "vec"]]
+    def draw(batches):
+        for b in batches:
+            if b.num_rows:
+                ix = b.column("item_ix").to_numpy()[:, None]
+                vec = draws.gamma(matrix(b.column("w")), seed, PARTS["emis"], ix, col)
+                yield pa.RecordBatch.from_arrays([b.column("item_ix"), lists(vec)], names=["item_ix", "vec"])
 
-    raw = settle(source.mapInPandas(draw, f"item_ix int, vec {VEC}"))
+    raw = settle(source.mapInArrow(draw, f"item_ix int, vec {VEC}"))
     return Model(pi, trans, settle(normalise_columns(raw, k)))
 
 
@@ -120,11 +126,11 @@ def _emission_table(model: Model, sums: DataFrame, prior: Prior) -> DataFrame:
             F.transform(F.coalesce("vec", zero), lambda v: v + F.lit(prior.emis - 1.0)),
         )
     )
-    total = both.agg(*sum_vector("w", k)).first()
-    new = [
-        F.col("w")[i] / F.lit(total[i]) if total[i] > 0 else F.col("old")[i] for i in range(k)
-    ]
-    return both.select("item_ix", F.array(*new).alias("vec"))
+    total = vector_total(both, "w")
+    sums = constants(total)
+    # a state without mass keeps its probabilities
+    new = F.transform("w", lambda w, i: F.when(F.get(sums, i) > 0, w / F.get(sums, i)).otherwise(F.get("old", i)))
+    return both.select("item_ix", new.alias("vec"))
 
 
 def log_prior(model: Model, prior: Prior) -> dict[str, float]:

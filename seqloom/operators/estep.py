@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from ..runtime import settle
 from . import kernel
-from .model import DENSE_LIMIT, VEC, Model, joined_vector, sum_vector
+from .model import DENSE_LIMIT, VEC, Model
 from .sessions import SEQ
+from .vectors import vector_sums
 
 # Positions of a segment.  Below it a sequence costs K x K numbers a position; the scan over segment edges, which costs
 # K x K x K, is left to longer ones.  A segment's state vectors take SEGMENT x K numbers.
@@ -455,13 +456,7 @@ def _hand_down(table: pa.Table, k: int) -> pa.Table:
 
 def statistics(seqs: Sequences, models: list[Model], kind: str = "stats", sharded=None) -> DataFrame:
     """Expected counts summed over all sequences: ``(restart, kind, ix, vec)``."""
-    k = models[0].states
-    rows = run(seqs, models, kind, sharded)
-    return (
-        rows.groupBy("restart", "kind", "ix")
-        .agg(*sum_vector("vec", k))
-        .select("restart", "kind", "ix", joined_vector(k).alias("vec"))
-    )
+    return vector_sums(run(seqs, models, kind, sharded), ["restart", "kind", "ix"], summed=True)
 
 
 def log_likelihood(seqs: Sequences, models: list[Model], sharded=None) -> DataFrame:

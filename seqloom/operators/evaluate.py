@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from ..runtime import broadcast_if_small, settle
 from . import em, estep, states
 from .model import Model, emission_long, matrix_table
 from .sessions import SEQ, ordered_index
+from .vectors import constants, lists, matrix, vector_total
 
 # ---- popularity -------------------------------------------------------------------------------
 
@@ -234,6 +234,7 @@ def grid_study(
     prior: em.Prior,
     max_iter: int,
     sink: Callable[[DataFrame], None],
+    tol: float = 0.0,
 ) -> None:
     """Held-out study over a grid of state counts and user shares; results are handed to ``sink``.
 
@@ -244,7 +245,7 @@ def grid_study(
         if c.get("share", 1.0) < 1:
             slot = F.pmod(F.xxhash64("user_id"), F.lit(1000))
             rows = seq.where(slot < int(c["share"] * 1000))
-        out = held_out(rows, item_dim, c["states"], prior, c.get("seeds", [0]), max_iter)
+        out = held_out(rows, item_dim, c["states"], prior, c.get("seeds", [0]), max_iter, tol)
         sink(out.select(F.lit(c["states"]).alias("states"), F.lit(float(c.get("share", 1.0))).alias("share"), "*"))
 
 
@@ -277,18 +278,19 @@ def entropy_starts(
     return out
 
 
-def entropy_trace(seqs, starts: dict[str, Model], prior: em.Prior, rounds: int) -> DataFrame:
-    """State entropies before the fit and after every round, for all kinds of start at once."""
+def entropy_trace(seqs, starts: dict[str, Model], prior: em.Prior, rounds: int, tol: float = 0.0) -> DataFrame:
+    """State entropies before the fit and after every round a start still takes, for all kinds of start at once."""
     names = list(starts)
     rows = []
 
     def note(it, models):
         for name, m in zip(names, models):
-            for r in states.entropy(m.emis).collect():
-                rows.append((name, it + 1, int(r["state"]), float(r["entropy"])))
+            if len(m.history) == it + 1:  # a fit that has ended keeps its last round
+                for r in states.entropy(m.emis).collect():
+                    rows.append((name, it + 1, int(r["state"]), float(r["entropy"])))
 
     note(-1, list(starts.values()))
-    em.fit(seqs, list(starts.values()), prior, rounds, on_round=note)
+    em.fit(seqs, list(starts.values()), prior, rounds, tol, on_round=note)
     spark = seqs.df.sparkSession
     return spark.createDataFrame(rows, "start string, iter int, state int, entropy double")
 
@@ -342,12 +344,44 @@ def spline_fit(df: DataFrame, x: str, y: str, grid: list[float], df_spline: int
     distinct = df.select(F.col(x).cast("double").alias("x")).distinct()
     knots = distinct.agg(F.percentile("x", F.array(*[F.lit(q) for q in levels]))).first()[0]
 
-    def features(frame):
-        cols = [c.alias(f"b{i}") for i, c in enumerate(_spline_columns(F.col("x"), knots))]
-        wide = frame.select("*", *cols)
-        return VectorAssembler(inputCols=[f"b{i}" for i in range(len(cols))], outputCol="features").transform(wide)
-
-    data = features(df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("label")))
-    model = GeneralizedLinearRegression(family="gaussian", maxIter=50).fit(data.select("features", "label"))
+    columns = _spline_columns(F.col("x"), knots)
+    row = F.array(F.lit(1.0), *columns)
+    data = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    beta = least_squares(data.select(row.alias("row"), "y"))
     points = df.sparkSession.createDataFrame([(float(g),) for g in grid], "x double")
-    return model.transform(features(points)).select("x", "prediction")
+    terms = F.zip_with(row, constants(beta), lambda a, b: a * b)
+    return points.select("x", F.aggregate(terms, F.lit(0.0), lambda s, t: s + t).alias("prediction"))
+
+
+def least_squares(rows: DataFrame) -> np.ndarray:
+    """Coefficients of ``y`` on the design ``row`` by normal equations.
+
+    A task turns its rows into one matrix of products of all columns; only those are summed.  Columns are scaled to
+    length 1 before the equations are solved; columns that depend on others get the smallest coefficients.
+    """
+
+    def run(batches):
+        total = None
+        for b in batches:
+            if b.num_rows:
+                m = np.c_[matrix(b.column("row")), b.column("y").to_numpy()]
+                total = m.T @ m if total is None else total + m.T @ m
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([lists(total.reshape(1, -1))], names=["vec"])
+
+    found = vector_total(rows.select("row", "y").mapInArrow(run, "vec array<double>"), summed=True)
+    if found is None:
+        raise ValueError("no rows to fit")
+    size = int(round(np.sqrt(len(found))))
+    gram, right = np.split(found.reshape(size, size)[:-1], [size - 1], axis=1)
+    scale = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
+    return np.linalg.lstsq(gram / np.outer(scale, scale), right[:, 0] / scale, rcond=1e-14)[0] / scale
+
+
+def restart_transitions(truth: DataFrame, models: list[Model]) -> DataFrame:
+    """``restart``, ``i``, ``j``, ``p``: transitions of each fit, states matched one to one with the reference's."""
+    rows = []
+    for r, m in enumerate(models):
+        trans = states.relabel(m, truth, one_to_one=True).trans
+        rows += [(r, i, j, float(p)) for (i, j), p in np.ndenumerate(trans)]
+    return truth.sparkSession.createDataFrame(rows, "restart int, i int, j int, p double")

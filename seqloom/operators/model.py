@@ -11,11 +11,12 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import skew
 from ..runtime import broadcast_if_small, settle
+from .vectors import constants, vector_total
 
 DENSE_LIMIT = 4_000_000
 VEC = "array<double>"
@@ -172,20 +173,12 @@ def labelled_model(
     return Model(pi / pi.sum(), trans / trans.sum(1, keepdims=True), normalise_columns(table, states))
 
 
-def sum_vector(col: str, k: int) -> list[Column]:
-    """One JVM sum per entry, so that vectors combine before the shuffle inside generated code."""
-    return [F.sum(F.col(col)[i]).alias(f"s{i}") for i in range(k)]
-
-
-def joined_vector(k: int) -> Column:
-    return F.array(*[F.col(f"s{i}") for i in range(k)])
-
-
 def normalise_columns(emis: DataFrame, k: int) -> DataFrame:
-    """Scale every state's item weights to sum 1 (one K-number aggregate reaches the driver)."""
-    total = emis.agg(*sum_vector("vec", k)).first()
-    scale = [F.col("vec")[i] / F.lit(total[i]) for i in range(k)]
-    return emis.select("item_ix", F.array(*scale).alias("vec"))
+    """Scale every state's item weights to sum 1 (one K-number vector reaches the driver)."""
+    total = vector_total(emis)
+    if total is None:
+        return emis.select("item_ix", "vec")
+    return emis.select("item_ix", F.zip_with("vec", constants(total), lambda x, t: x / t).alias("vec"))
 
 
 def emission_long(emis: DataFrame) -> DataFrame:

@@ -64,19 +64,17 @@ def leading_bits(x: np.ndarray) -> np.ndarray:
 def _best(q: np.ndarray, v: np.ndarray, items: np.ndarray, n: int):
     """Per row of ``q`` the n best items, score descending, then item."""
     score = q @ v.T
-    tie = leading_bits(score)
     n = min(n, len(items))
-    if n < len(items):
-        edge = -np.partition(-tie, n - 1, axis=1)[:, n - 1 : n]
-    else:
-        edge = tie.min(axis=1, keepdims=True)
-    row, col = np.nonzero(tie >= edge)
-    order = np.lexsort((items[col], -tie[row, col], row))
-    row, col = row[order], col[order]
+    edge = np.partition(score, len(items) - n, axis=1)[:, len(items) - n, None]
+    # rounding moves a score by less than this share of it, so only scores near the edge need be rounded
+    row, col = np.nonzero(score >= edge - np.abs(edge) * 2.0 ** (2 - TIE_BITS))
+    tie = leading_bits(score[row, col])
+    order = np.lexsort((items[col], -tie, row))
+    row, col, tie = row[order], col[order], tie[order]
     begin = np.searchsorted(row, np.arange(len(q)))
     keep = np.arange(len(row)) - begin[row] < n
     row, col = row[keep], col[keep]
-    return row, items[col], score[row, col], tie[row, col]
+    return row, items[col], score[row, col], tie[keep]
 
 
 def _matrix(column, k: int) -> np.ndarray:

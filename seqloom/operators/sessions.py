@@ -21,9 +21,12 @@ SESSION_SHIFT = 1 << 31
 
 
 def frequent_items(clicks: DataFrame, min_item: int) -> DataFrame:
-    """Clicks on items with more than ``min_item`` clicks; counts are combined before the shuffle."""
-    keep = clicks.groupBy("item_id").count().where(F.col("count") > min_item)
-    return clicks.join(keep.select("item_id"), "item_id", "left_semi")
+    """Clicks on items with more than ``min_item`` clicks; counts are combined before the shuffle.
+
+    The kept items are counted: as far as they fit they are sent to the clicks, which then are not shuffled by item.
+    """
+    keep = settle(clicks.groupBy("item_id").count().where(F.col("count") > min_item).select("item_id"))
+    return clicks.join(broadcast_if_small(keep, 64), "item_id", "left_semi")
 
 
 def active_users(clicks: DataFrame, min_user: int, blocks: skew.Blocks) -> DataFrame:

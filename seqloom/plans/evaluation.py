@@ -8,7 +8,7 @@ from ..operators import em, estep, evaluate, states
 from ..operators.model import labelled_model, vector_table
 from ..runtime import scratch_path
 from ..streaming import online
-from .latent import BUDGET, PRIOR, all_transitions, reestimated
+from .latent import BUDGET, PRIOR, all_transitions, assigned_sql, matches_sql, reestimated
 from .registry import GAP, TYPES, query
 from .relational import LENGTHS, SWITCH, test_user, dashboard, spread
 from .sql import ROUNDS, START_PRIORS, evidence_steps, filter_steps, r6, sql, step, trace_sql
@@ -39,7 +39,7 @@ def _(v):
 def _(v):
     """Fit on the train users; fitted and baseline likelihood on both splits."""
     rows = evaluate.by_split(v.seq, test_user())
-    return evaluate.held_out(rows, v.dim, 3, PRIOR, [1], max_iter=8)
+    return evaluate.held_out(rows, v.dim, 3, PRIOR, [1], max_iter=BUDGET, tol=5.0)
 
 
 @query("D3_restarts", sql(*trace_sql(["em_a", "em_b", "em_c"], ROUNDS)))
@@ -64,6 +64,42 @@ def _(v):
     return em.history_table(v.spark, models)
 
 
+RESTARTS = {"em_a": "a", "em_b": "b", "em_c": "c"}
+for _n, _s in RESTARTS.items():
+    step(f"matches_{_s}", matches_sql("hmm_emis", f"{_n}{ROUNDS - 1}_ms_emis"), "hmm_emis", f"{_n}{ROUNDS - 1}_ms_emis")
+    step(f"assigned_{_s}", assigned_sql(f"matches_{_s}"), f"matches_{_s}")
+
+
+@query(
+    "D3_restart_transitions",
+    sql(
+        " UNION ALL ".join(
+            f"""SELECT {r}::INTEGER AS restart, {i}::INTEGER AS i, {j}::INTEGER AS j,
+            round([[a00, a01, a02], [a10, a11, a12], [a20, a21, a22]][assigned_{s}.p{i} + 1][assigned_{s}.p{j} + 1], 6) AS p
+            FROM {n}{ROUNDS - 1}_ms, assigned_{s}"""
+            for r, (n, s) in enumerate(RESTARTS.items())
+            for i in range(3)
+            for j in range(3)
+        ),
+        *[f"{n}{ROUNDS - 1}_ms" for n in RESTARTS],
+        *[f"assigned_{s}" for s in RESTARTS.values()],
+    ),
+)
+def _(v):
+    """Transitions of every restart, its states matched one to one with those of the counted model."""
+    starts = [labelled_model(v.labelled, v.dim, 3, p) for p in START_PRIORS]
+    models = em.fit(v.seqs, starts, PRIOR, max_iter=ROUNDS)
+    return evaluate.restart_transitions(v.model.emis, models).withColumn("p", F.round("p", 6))
+
+
+@query("D3_restart_transitions_to_the_end")
+def _(v):
+    """The same after fits by the stop rule."""
+    starts = [labelled_model(v.labelled, v.dim, 3, p) for p in START_PRIORS]
+    models = em.fit(v.seqs, starts, PRIOR, max_iter=BUDGET, tol=5.0)
+    return evaluate.restart_transitions(v.model.emis, models)
+
+
 @query("D4_convergence_to_the_end")
 def _(v):
     """``D4_convergence`` by the stop rule; ``BUDGET`` rounds at most."""
@@ -74,7 +110,7 @@ def _(v):
 @query("D5_entropy_convergence")
 def _(v):
     starts = evaluate.entropy_starts(v.dim, 3, PRIOR, 4, known=v.model)
-    return evaluate.entropy_trace(v.seqs, starts, PRIOR, 3)
+    return evaluate.entropy_trace(v.seqs, starts, PRIOR, BUDGET, tol=5.0)
 
 
 @query("D6_grid")
@@ -83,7 +119,7 @@ def _(v):
     path = scratch_path(v.spark, "grid")
     rows = evaluate.by_split(v.seq, test_user())
     configs = [{"states": 2}, {"states": 4}, {"states": 2, "share": 0.5}]
-    evaluate.grid_study(rows, v.dim, configs, PRIOR, 3, lambda df: df.write.mode("append").parquet(path))
+    evaluate.grid_study(rows, v.dim, configs, PRIOR, BUDGET, lambda df: df.write.mode("append").parquet(path), tol=5.0)
     return v.spark.read.parquet(path)
 
 
@@ -156,13 +192,37 @@ def _(v):
     )
 
 
-@query("D10_spline_regression")
+def spline_sql() -> str:
+    """Least squares by orthogonalising the five columns one after the other, on data and grid points alike."""
+    cube = lambda j: f"greatest(0.0, x - k[{j}]) ** 3"
+    d = lambda j: f"({cube(j)} - {cube(5)}) / (k[5] - k[{j}])"
+    body = "SELECT x, y, grid, 1.0::DOUBLE AS r0, x AS c1, " + ", ".join(f"{d(j)} - {d(4)} AS c{j + 1}" for j in (1, 2, 3)) + " FROM points, knots"
+    steps = [f"o0 AS ({body})"]
+    for j in range(1, 5):
+        less = " - ".join(f"(SELECT sum(c{j} * r{i}) / sum(r{i} * r{i}) FROM o{j - 1} WHERE NOT grid) * r{i}" for i in range(j))
+        steps.append(f"o{j} AS (SELECT *, c{j} - {less} AS r{j} FROM o{j - 1})")
+    total = " + ".join(f"(SELECT sum(y * r{i}) / sum(r{i} * r{i}) FROM o4 WHERE NOT grid) * r{i}" for i in range(5))
+    return f"WITH {', '.join(steps)} SELECT round(x, 6) AS x, round({total}, 4) AS prediction FROM o4 WHERE grid"
+
+
+step(
+    "xy",
+    """SELECT ln(clicks) AS x, ln(greatest(v0, v1, v2) / (v0 + v1 + v2)) AS y FROM order_hmm_emis JOIN pop USING (item_ix)""",
+    "order_hmm_emis",
+    "pop",
+)
+step("knots", "SELECT quantile_cont(x, [0.0, 0.25, 0.5, 0.75, 1.0]) AS k FROM (SELECT DISTINCT x FROM xy)", "xy")
+step("points", "SELECT x, y, false AS grid FROM xy UNION ALL SELECT 2 + 8 * i / 100.0, 0, true FROM (SELECT unnest(range(101)) AS i)", "xy")
+step("spline", spline_sql(), "points", "knots")
+
+
+@query("D10_spline_regression", sql("SELECT * FROM spline", "spline"))
 def _(v):
     """Log concentration on log popularity, predicted on a grid of 101 points from 2 to 10."""
     rows = states.concentration(v.order_model.emis, evaluate.popularity(v.order_seq))
     rows = rows.select(F.ln("clicks").alias("x"), F.ln("concentration").alias("y"))
     grid = [2 + 8 * i / 100 for i in range(101)]
-    return evaluate.spline_fit(rows, "x", "y", grid)
+    return evaluate.spline_fit(rows, "x", "y", grid).select(F.round("x", 6).alias("x"), F.round("prediction", 4).alias("prediction"))
 
 
 @query(
@@ -334,6 +394,53 @@ def _(v):
     return closed(v).groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("items").alias("items"))
 
 
+# a purchase ends the session it belongs to
+step(
+    "ended",
+    """SELECT *, sum(split) OVER (PARTITION BY user_id ORDER BY us) AS s FROM (
+    SELECT *, CASE WHEN us - lag(us) OVER w > 21600000000 OR lag(ad_type) OVER w = 'purchase' THEN 1 ELSE 0 END AS split
+    FROM clicks JOIN dim USING (item_id) WINDOW w AS (PARTITION BY user_id ORDER BY us))""",
+    "clicks",
+    "dim",
+)
+step(
+    "ended_sessions",
+    """SELECT user_id, s, min(us) AS start_us, max(us) AS end_us, count(*) AS items, bool_or(ad_type = 'purchase') AS done
+    FROM ended GROUP BY user_id, s""",
+    "ended",
+)
+step(
+    "ended_seq",
+    """SELECT user_id, CAST(0 AS INTEGER) AS chunk, CAST(s AS BIGINT) AS t, item_ix, count(*) AS n
+    FROM ended GROUP BY user_id, s, item_ix""",
+    "ended",
+)
+evidence_steps("end_ev", "ended_seq", "hmm_emis", True)
+filter_steps("efw", "end_ev", "hmm")
+
+
+@query(
+    "T3_ended_sessions",
+    sql(
+        """SELECT f.user_id, start_us, end_us, items, round(f.q0 * a00 + f.q1 * a10 + f.q2 * a20, 6) AS n0,
+        round(f.q0 * a01 + f.q1 * a11 + f.q2 * a21, 6) AS n1, round(f.q0 * a02 + f.q1 * a12 + f.q2 * a22, 6) AS n2
+        FROM efw f JOIN ended_sessions r ON r.user_id = f.user_id AND r.s = f.t, hmm
+        WHERE done OR f.t < (SELECT max(s) FROM ended_sessions x WHERE x.user_id = f.user_id) OR """
+        + CLOSED,
+        "efw",
+        "ended_sessions",
+        "hmm",
+    ),
+)
+def _(v):
+    """Closed by a control row after each purchase, by a gap, or by the watermark."""
+    known = stream(v).join(v.dim, "item_id", "left_semi")
+    end = F.when(F.col("ad_type") == "purchase", F.array("item_id", F.lit(None))).otherwise(F.array("item_id"))
+    rows = known.withColumn("item_id", F.explode(end))
+    live = online.replay(online.online_sessions(rows, v.model, v.dim, GAP))
+    return live.select("user_id", "start_us", "end_us", "items", *spread("next", "n"))
+
+
 @query("T4_running_popularity", sql("SELECT item_id, count(*) AS clicks FROM clicks GROUP BY item_id", "clicks"))
 def _(v):
     """Counts after the last update of each item."""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import top_positions
-from ..operators import em, estep, factor, scoring, state_table, states
+from ..operators import draws, em, estep, factor, scoring, solver, state_table, states, topn
 from ..operators.model import emission_long, labelled_model, matrix_table, vector_table
 from ..runtime import settle
 from .registry import query
@@ -31,6 +33,9 @@ KEYS = ["user_id", "chunk", "t"]
 PRIOR = em.Prior(2.0, 2.0, 2.0)
 #: Rounds of a fit that ends by the stop rule.
 BUDGET = 90
+#: Iterations of a fit of the factor model by itself, and within one round of EM (a round need not end its fit).
+FIT_BUDGET = 500
+ROUND_BUDGET = 3
 
 
 def three(name: str, fmt: str, table: str, where: str = "") -> str:
@@ -276,7 +281,7 @@ def _(v):
 def _(v):
     """EM from a random start with the stop rule; the likelihood after each round."""
     start = em.random_model(v.dim, 3, PRIOR, 7)
-    models = em.fit(v.seqs, [start], PRIOR, max_iter=12, tol=5.0)
+    models = em.fit(v.seqs, [start], PRIOR, max_iter=BUDGET, tol=5.0)
     return em.history_table(v.spark, models)
 
 
@@ -344,7 +349,19 @@ def _(v):
     return matrix_table(v.spark, em.Prior(3, 3, 3, diag=8).matrix(k))
 
 
-@query("H20_random_start")
+def random_start_sql(states: int, seed: int) -> str:
+    """Each part's gamma draws of shape 2 (sums of two exponential draws), scaled to sum 1 within ``g``."""
+    k = f"(SELECT unnest(range({states}))::INTEGER AS b)"
+    cells = f"""SELECT 'emis' AS part, 0 AS p, item_ix AS a, b, b AS g FROM order_dim, {k} UNION ALL
+    SELECT 'trans', 1, x.b, y.b, x.b FROM {k} x, {k} y UNION ALL SELECT 'pi', 2, 0, b, 0 FROM {k}"""
+    drawn = draws.uniform_sql(f"({cells}), (SELECT unnest(range(2)) AS r)", ["p", "a", "b", "r"], seed)
+    summed = f"SELECT part, a, b, g, sum(-ln(u)) AS w FROM ({drawn}) GROUP BY ALL"
+    share = f"SELECT part, a, b, w / sum(w) OVER (PARTITION BY part, g) AS p FROM ({summed})"
+    return f"""SELECT part, CAST(CASE WHEN part = 'pi' THEN b ELSE a END AS INTEGER) AS a,
+    CAST(CASE WHEN part = 'pi' THEN 0 ELSE b END AS INTEGER) AS b, round(p, 6) AS p FROM ({share})"""
+
+
+@query("H20_random_start", sql(random_start_sql(5, 11), "order_dim"))
 def _(v):
     return long_model(em.random_model(v.order_dim, 5, PRIOR, 11))
 
@@ -507,6 +524,37 @@ def _(v):
     return states.match_states(train.emis, test.emis)
 
 
+def assigned_sql(matches: str) -> str:
+    """``p0..p2``: fitted state of each reference state in the best of all one-to-one matchings."""
+    fit = lambda i, j: f"max(fit) FILTER (true_state = {i} AND fit_state = {j})"
+    each = " UNION ALL ".join(
+        f"SELECT {p[0]} AS p0, {p[1]} AS p1, {p[2]} AS p2, " + " + ".join(f"round({fit(i, j)}, 9)" for i, j in enumerate(p)) + f" AS total FROM {matches}"
+        for p in permutations(range(3))
+    )
+    return f"SELECT p0, p1, p2 FROM ({each}) ORDER BY total DESC LIMIT 1"
+
+
+def matches_sql(truth: str, est: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {i} AS true_state, {j} AS fit_state, sum(a.v{i} * ln(b.v{j})) AS fit FROM {truth} a JOIN {est} b USING (item_ix)"
+        for i in range(3)
+        for j in range(3)
+    )
+
+
+step("assigned", assigned_sql("matches"), "matches")
+
+
+@query(
+    "H25_assign_states",
+    sql(" UNION ALL ".join(f"SELECT {i}::INTEGER AS true_state, p{i}::INTEGER AS fit_state, false AS duplicate FROM assigned" for i in range(3)), "assigned"),
+)
+def _(v):
+    """One fitted state for each reference state, none twice."""
+    train, test = split_models(v)
+    return states.match_states(train.emis, test.emis, one_to_one=True)
+
+
 def tree(m: str) -> str:
     """Stationary weights of a three-state chain by the spanning trees into each state."""
     w = [
@@ -675,12 +723,41 @@ def _(v):
 
 @query("M6_gradient_fit")
 def _(v):
-    """Loss before and after a few full-data gradient steps."""
+    """Loss before and after a fit that ends by the stop rule, and why it ended."""
     fm, weights = factor_model(v, penalty=0.001)
-    before = factor.loss(fm, weights) + factor.penalty(fm)
-    after = factor.FactorFit(fm).run(weights, 4)
-    end = factor.loss(after, weights) + factor.penalty(after)
-    return v.spark.createDataFrame([(float(before), float(end))], "before double, after double")
+    fit = solver.solve(fm, weights, budget=FIT_BUDGET)
+    row = (fit.losses[0], fit.losses[-1], len(fit.losses) - 1, fit.ended)
+    return v.spark.createDataFrame([row], "before double, after double, iterations int, ended string")
+
+
+step(
+    "off",
+    "SELECT item_ix, " + ", ".join(f"exp(l{k}) * (SELECT sum(c{k}) FROM soft) - c{k} AS d{k}" for k in range(3)) + " FROM soft",
+    "soft",
+)
+
+
+@query(
+    "M6_gradient",
+    sql(
+        """SELECT 'item' AS side, item_ix AS ix, """
+        + ", ".join(f"round({' + '.join(f'd{k} * s{k}{e}' for k in range(3))}, 6) AS g{e}" for e in range(2))
+        + """, round(d0 + d1 + d2, 6) AS g2 FROM off, side UNION ALL """
+        + " UNION ALL ".join(
+            f"SELECT 'state', {e}::INT, {', '.join(f'round(sum(d{k} * b{e}), 6)' for k in range(3))} FROM off JOIN linear USING (item_ix)"
+            for e in range(2)
+        ),
+        "off",
+        "side",
+        "linear",
+    ),
+)
+def _(v):
+    """Gradient of the loss: by item over its vector and bias, by vector entry over the states."""
+    items, (states_, _), _ = solver.gradient(*factor_model(v))
+    rows = items.select(F.lit("item").alias("side"), F.col("item_ix").alias("ix"), *spread("g", "g"))
+    side = [("state", e, *[round(float(x), 6) for x in states_[:, e]]) for e in range(states_.shape[1])]
+    return rows.unionByName(v.spark.createDataFrame(side, "side string, ix int, g0 double, g1 double, g2 double"))
 
 
 def level_items(v) -> DataFrame:
@@ -691,7 +768,17 @@ def level_items(v) -> DataFrame:
     return settle(coded.select("item_ix", F.array("l0", "l1").alias("levels")))
 
 
-@query("M7_start_values")
+@query(
+    "M7_start_values",
+    sql(
+        "SELECT item_ix, "
+        + ", ".join(f"round(max(CASE WHEN e = {e} THEN (2 * u - 1) * 0.1 * sqrt(6.0 / ((SELECT count(*) FROM order_dim) + 3)) END), 6) AS e{e}" for e in range(3))
+        + ", 0.0::DOUBLE AS e3 FROM ("
+        + draws.uniform_sql("(SELECT item_ix, 0 AS part FROM order_dim), (SELECT unnest(range(3)) AS e)", ["part", "item_ix", "e"], 5)
+        + ") GROUP BY item_ix",
+        "order_dim",
+    ),
+)
 def _(v):
     fm = factor.start(level_items(v), 4, 3, 5)
     return fm.items.select("item_ix", *spread("par", "e", 4))
@@ -699,13 +786,13 @@ def _(v):
 
 @query("M8_factorised_em")
 def _(v):
-    """EM whose item probabilities are refitted by a few warm-started gradient steps per round."""
+    """EM to the stop rule, whose item probabilities are solved anew in every round from those of the one before."""
     fm = factor.start(level_items(v), 3, 3, 5, penalty=0.001)
     prior = em.Prior(3, 3, 3, diag=8)
     small = em.random_model(v.order_dim, 3, prior, 5)
     start = factor.initial_model(small.pi, small.trans, fm)
-    hook = factor.emission_step([factor.FactorFit(fm)], steps=2)
-    models = em.fit(v.order_seqs, [start], prior, max_iter=3, emission_step=hook)
+    hook = solver.emission_step([fm], budget=ROUND_BUDGET)
+    models = em.fit(v.order_seqs, [start], prior, max_iter=BUDGET, tol=5.0, emission_step=hook)
     return em.history_table(v.spark, models)
 
 
@@ -754,6 +841,19 @@ def _(v):
     return ranked(scoring.recommend(user_states(v), v.model, 10, top_states=2, item_rows=30))
 
 
+@query("R2_item_scores_pruned", sql(top_sql("fw_end", "hmm_emis", 10, keep=2), "fw_end", "hmm_emis"))
+def _(v):
+    """Blocks of like items, seen only where their bound reaches the request's n-th best score."""
+    blocks = topn.item_blocks(v.model, block_items=8)
+    return ranked(topn.recommend(user_states(v), v.model, 10, top_states=2, blocks=blocks))
+
+
+@query("R2_pruned_share")
+def _(v):
+    """How many of all request x item scores the pruned search makes."""
+    return topn.search(user_states(v), v.model, 10, blocks=topn.item_blocks(v.model, block_items=8))[1]
+
+
 step("target", "SELECT DISTINCT user_id AS request_id, item_ix FROM seq", "seq")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import skew, sources
 from ..functions import scalars as fn
 from ..operators import binning, em, evaluate, model, sessions
-from ..operators.model import sum_vector
+from ..operators.vectors import vector_sums
 from ..operators.sessions import SEQ
 from ..runtime import scratch_path
 from .registry import GAP, TYPES, query
@@ -768,8 +768,8 @@ def _(v):
     rows = v.table("lineitem").select(
         F.col("l_partkey").alias("item_id"), F.array("l_quantity", "l_discount", "l_tax").alias("vec")
     )
-    out = rows.groupBy("item_id").agg(*sum_vector("vec", 3))
-    return out.select("item_id", *[F.round(f"s{i}", 4).alias(f"s{i}") for i in range(3)])
+    out = vector_sums(rows.withColumn("vec", F.col("vec").cast("array<double>")), ["item_id"])
+    return out.select("item_id", *[F.round(F.col("vec")[i], 4).alias(f"s{i}") for i in range(3)])
 
 
 # ---- windows ------------------------------------------------------------------------------------------

@@ -98,10 +98,13 @@ def online_states(clicks: DataFrame, model: Model, item_dim: DataFrame, ttl_ms:
 
 
 class _SessionState(StatefulProcessor):
-    """Collects the evidence of the open session; closing it moves the state one step on."""
+    """Collects the evidence of the open session; closing it moves the state one step on.
 
-    def __init__(self, pi: np.ndarray, trans: np.ndarray, gap_us: int):
-        self.pi, self.trans, self.gap_us = pi, trans, gap_us
+    A batch of clicks is cut into sessions and their evidence summed as arrays; only sessions are stepped through.
+    """
+
+    def __init__(self, pi: np.ndarray, trans: np.ndarray, gap_us: int, keep_us: int | None):
+        self.pi, self.trans, self.gap_us, self.keep_us = pi, trans, gap_us, keep_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -119,38 +122,72 @@ class _SessionState(StatefulProcessor):
         # a click exactly one gap later still belongs, hence the first whole millisecond after it
         return (last + self.gap_us) // 1000 + 1
 
+    def _forget(self, last: int) -> int:
+        return self._expiry(last + self.keep_us)
+
+    def _timers(self, last: int, n: int, act) -> None:
+        """The session's end, if one is open, and the end of the state itself."""
+        if n:
+            act(self._expiry(last))
+        if self.keep_us is not None:
+            act(self._forget(last))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        batch = pd.concat(list(rows)).sort_values("us")
-        out = []
+        batch = pd.concat(list(rows))
+        batch["ends"] = batch["vec"].isna()
+        batch = batch.sort_values(["us", "ends"], kind="stable")
+        us, ends = batch["us"].to_numpy(), batch["ends"].to_numpy()
+        k, out = len(self.pi), []
         if self.state.exists():
             q, f, start, last, n = self.state.get()
             q, f = np.array(q), np.array(f)
-            if n:
-                self.handle.deleteTimer(self._expiry(last))
+            self._timers(last, n, self.handle.deleteTimer)
+        elif ends.all():
+            # nothing is known of the user: there is no session to end
+            yield pd.DataFrame(out, columns=["user_id", "start_us", "end_us", "items", "next"])
+            return
         else:
-            q, f, start, last, n = self.pi, np.zeros(len(self.pi)), 0, 0, 0
-        for us, vec in zip(batch["us"], batch["vec"]):
-            us = int(us)
-            if n and us - last > self.gap_us:
+            q, f, start, last, n = self.pi, np.zeros(k), 0, int(us[0]), 0
+        evidence = np.zeros((len(us), k))
+        if not ends.all():
+            with np.errstate(divide="ignore"):
+                evidence[~ends] = np.log(np.stack(batch["vec"].to_numpy()[~ends]))
+        new = np.diff(us, prepend=last) > self.gap_us
+        new[1:] |= ends[:-1]
+        new[0] = True
+        first = np.flatnonzero(new)
+        sums, clicks = np.add.reduceat(evidence, first, axis=0), np.add.reduceat(~ends, first)
+        stop = np.append(first[1:], len(us)) - 1
+        for s, (a, b) in enumerate(zip(first, stop)):
+            c = int(clicks[s])
+            if n and (s or us[a] - last > self.gap_us):
                 q = self._close(q, f)
                 out.append(self._row(key, start, last, n, q))
-                f, n = np.zeros(len(q)), 0
-            start = us if n == 0 else start
-            with np.errstate(divide="ignore"):
-                f = f + np.log(np.asarray(vec, dtype=float))
-            last, n = max(last, us), n + 1
-        self.state.update((q.tolist(), f.tolist(), start, last, n))
-        self.handle.registerTimer(self._expiry(last))
+                f, n = np.zeros(k), 0
+            if c:
+                start = start if n else int(us[a])
+                last = max(last, int(us[b - 1] if ends[b] else us[b]))
+            f, n = f + sums[s], n + c
+            if ends[b]:
+                q = self._close(q, f)
+                at = int(us[b])
+                out.append(self._row(key, start if n else at, last if n else at, n, q))
+                f, n, last = np.zeros(k), 0, max(last, at)
+        self.state.update((q.tolist(), f.tolist(), int(start), int(last), n))
+        self._timers(last, n, self.handle.registerTimer)
         yield pd.DataFrame(out, columns=["user_id", "start_us", "end_us", "items", "next"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         out = []
         if self.state.exists():
             q, f, start, last, n = self.state.get()
-            if n and expiredTimerInfo.getExpiryTimeInMs() == self._expiry(last):
-                q = self._close(np.array(q), np.array(f))
+            at = expiredTimerInfo.getExpiryTimeInMs()
+            if n and at == self._expiry(last):
+                q = self._close(np.array(q), np.array(f)).tolist()
                 out.append(self._row(key, start, last, n, q))
-                self.state.update((q.tolist(), [0.0] * len(q), 0, 0, 0))
+                self.state.update((q, [0.0] * len(q), start, last, 0))
+            if self.keep_us is not None and at == self._forget(last):
+                self.state.clear()
         yield pd.DataFrame(out, columns=["user_id", "start_us", "end_us", "items", "next"])
 
     def close(self) -> None:
@@ -158,22 +195,26 @@ class _SessionState(StatefulProcessor):
 
 
 def online_sessions(
-    clicks: DataFrame, model: Model, item_dim: DataFrame, gap_us: int, late: str = "1 hour"
+    clicks: DataFrame, model: Model, item_dim: DataFrame, gap_us: int, late: str = "1 hour", keep_us: int | None = None
 ) -> DataFrame:
     """State after every closed session of a click stream ``(user_id, ts, us, item_id)``.
 
-    A session closes when a later click is more than a gap away or when the watermark is; rows
-    behind the watermark are dropped.
+    A session closes when a later click is more than a gap away, when the watermark is, or at a row without an item:
+    such a control row ends the user's open session at once (clicks of the same instant belong to it), and without an
+    open one moves the state a step on, reported as a session of no items.  A control row of a user of whom nothing is
+    known has no effect.  With ``keep_us`` a user's state is dropped once the watermark is that much beyond the end of
+    the last session, and a later click starts anew.  Unknown items are dropped, as are rows behind the watermark.
     """
     clicks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     static = item_dim.join(model.emis, "item_ix").select("item_id", "vec")
     return (
         clicks.withWatermark("ts", late)
-        .join(static, "item_id")
+        .join(static, "item_id", "left")
+        .where(F.col("vec").isNotNull() | F.col("item_id").isNull())
         .select("user_id", "ts", "us", "vec")
         .groupBy("user_id")
         .transformWithStateInPandas(
-            _SessionState(model.pi, model.trans, gap_us),
+            _SessionState(model.pi, model.trans, gap_us, keep_us),
             outputStructType=SESSION_SCHEMA,
             outputMode="Append",
             timeMode="EventTime",

@@ -102,3 +102,77 @@ def test_live_sessions_and_popularity(source, dim):
     counts = online.replay(online.running_popularity(stream()), "update")
     last = {r.item_id: r.c for r in counts.groupBy("item_id").agg(F.max_by("clicks", "epoch").alias("c")).collect()}
     assert last == {r.item_id: r["count"] for r in whole.groupBy("item_id").count().collect()}
+
+
+def one_user(spark, path, batches):
+    """A stream with one file, and so one micro-batch, for each list of (user, item, minute)."""
+    schema = "user_id long, item_id int, us long"
+    for rows in batches:
+        spark.createDataFrame([(u, i, m * 60_000_000) for u, i, m in rows], schema).coalesce(1).write.mode("append").parquet(path)
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return raw.withColumn("ts", F.timestamp_micros("us"))
+
+
+def walk(hmm, clicks, gap=30):
+    """Sessions of one user's (item, minute), None as item ending a session, one click after the other."""
+    q, f, n, start, last, out = hmm.pi, np.zeros(3), 0, 0, None, []
+
+    def close():
+        p = q * np.exp(f - f.max())
+        return p / p.sum() @ hmm.trans
+
+    for item, minute in clicks:
+        if n and minute - last > gap:
+            q = close()
+            out.append((start, last, n, q))
+            f, n = np.zeros(3), 0
+        if item is None:
+            q = close()
+            out.append((start if n else minute, last if n else minute, n, q))
+            f, n, last = np.zeros(3), 0, minute
+            continue
+        start = start if n else minute
+        f, n, last = f + np.log(hmm.dense[item - 10]), n + 1, minute
+    return out
+
+
+def sessions_of(df):
+    rows = [(r.start_us // 60_000_000, r.end_us // 60_000_000, r["items"], np.array(r.next)) for r in df.collect() if r.user_id == 1]
+    return sorted(rows, key=lambda r: r[:2])
+
+
+def test_control_rows_end_sessions_of_a_hot_user_in_any_batches(spark, hmm, dim, tmp_path):
+    r = np.random.default_rng(6)
+    clicks, minute = [], 1000
+    for _ in range(150):
+        minute += int(r.integers(1, 45))
+        clicks.append((None if r.random() < 0.15 else int(r.integers(10, 16)), minute))
+    clicks = [(11, 990), *clicks, (None, minute + 1), (None, minute + 9)]
+    rows = [(1, i, m) for i, m in clicks]
+    want = walk(hmm, clicks)
+    for k, cuts in enumerate(([0, 153], [0, 40, 41, 100, 153])):
+        batches = [rows[a:b] for a, b in zip(cuts, cuts[1:])]
+        got = sessions_of(online.replay(online.online_sessions(one_user(spark, str(tmp_path / f"in{k}"), batches), hmm, dim, GAP, "1000 days")))
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        assert all(np.allclose(g[3], w[3]) for g, w in zip(got, want))
+
+
+def test_state_is_dropped_after_its_time(spark, hmm, dim, tmp_path):
+    """The watermark passes user 1's session and the time their state is kept; their next click starts anew."""
+    far = 100_000
+    batches = [[(1, 11, 1000), (1, 12, 1010), (3, None, 1010)], [(2, 11, far)], [(2, 11, far + 1)], [(1, 13, far + 2), (1, None, far + 3)]]
+    rows = {}
+    for keep in (None, 60 * 60_000_000):
+        stream = online.online_sessions(one_user(spark, str(tmp_path / f"in{keep}"), batches), hmm, dim, GAP, "1 hour", keep)
+        out, states = str(tmp_path / f"out{keep}"), []
+        query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"ckpt{keep}")).option("path", out)
+        query = query.outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        rows[keep] = sessions_of(spark.read.schema(stream.schema).parquet(out)), states
+    first = walk(hmm, [(11, 1000), (12, 1010), (None, 1040)])[0][3]
+    kept, dropped = rows[None][0], rows[60 * 60_000_000][0]
+    assert [g[:3] for g in kept] == [g[:3] for g in dropped] == [(1000, 1010, 2), (far + 2, far + 2, 1)]
+    anew = walk(hmm, [(13, far + 2), (None, far + 3)])[0][3]
+    assert np.allclose(kept[0][3], first) and np.allclose(dropped[1][3], anew) and not np.allclose(kept[1][3], anew)
+    assert min(rows[60 * 60_000_000][1][1:-1]) < max(rows[None][1])
