@@ -35,7 +35,7 @@ PRIOR = em.Prior(2.0, 2.0, 2.0)
 BUDGET = 90
 #: Iterations of a fit of the factor model by itself, and within one round of EM (a round need not end its fit).
 FIT_BUDGET = 500
-ROUND_BUDGET = 3
+ROUND_BUDGET = 1
 
 
 def three(name: str, fmt: str, table: str, where: str = "") -> str:
@@ -792,7 +792,7 @@ def _(v):
     small = em.random_model(v.order_dim, 3, prior, 5)
     start = factor.initial_model(small.pi, small.trans, fm)
     hook = solver.emission_step([fm], budget=ROUND_BUDGET)
-    models = em.fit(v.order_seqs, [start], prior, max_iter=BUDGET, tol=5.0, emission_step=hook)
+    models = em.fit(v.order_seqs, [start], prior, max_iter=BUDGET, tol=50.0, emission_step=hook)
     return em.history_table(v.spark, models)
 
 
