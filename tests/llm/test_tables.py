@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from seqloom.llm import (
@@ -213,6 +214,22 @@ def test_near_duplicate_chains(spark):
     assert plain(got, "doc_id", "n_shingles", "component_id", "kept") == components(made, 2, 80)
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_loose_copies_of_one_text(spark, rounds):
+    """One large group on both sides of the similarity, whose deviations recur; without stars the bitmaps see all pairs."""
+    import random
+
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(90)]
+    made = [(k, " ".join(w if r.random() > 0.07 else f"v{r.randrange(12)}" for w in base)) for k in range(150)]
+    made += [(200 + k, made[k][1]) for k in range(5)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    got = signature_join.near_duplicates(docs, width=2, rounds=rounds)
+    want = components(made, 2, 80)
+    assert 20 < sum(row[3] for row in want) < 150
+    assert plain(got, "doc_id", "n_shingles", "component_id", "kept") == want
+
+
 def test_leaks(spark, odd, empty):
     item = " ".join(f"Q{i}," for i in range(30))
     changed = item.replace("Q5,", "other").replace("Q17,", "words")
