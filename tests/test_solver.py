@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from seqloom.operators import factor, solver
+from seqloom.operators import vectors
 from seqloom.operators.vectors import vector_sums, vector_total
 
 
@@ -107,3 +108,33 @@ def test_vector_sums(spark):
         assert vec == pytest.approx(v[mine].sum(axis=0))
     assert vector_total(df) == pytest.approx(v.sum(axis=0))
     assert vector_total(df.where("false")) is None and vector_sums(df.where("false"), ["ix"]).count() == 0
+
+
+@pytest.mark.parametrize("fold, hold", [(1, 1), (7, 40), (1_000_000, 4_000_000)])
+def test_vector_sums_in_parts(monkeypatch, fold, hold):
+    """Sums that are passed on early, and those of sorted rows, are whole whatever is held at a time."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(vectors, "FOLD", fold)
+    monkeypatch.setattr(vectors, "HOLD", hold)
+    r = np.random.default_rng(2)
+    ix, v = r.integers(0, 30, 400), r.random((400, 3))
+    kind = [None if i % 7 == 3 else f"k{i % 4}" for i in ix]
+    table = pa.table({"ix": ix, "kind": kind, "vec": vectors.lists(v)})
+    found, most = {}, 0
+    fold_ = vectors._Fold(["ix", "kind"], "vec")
+    for b in table.to_batches(max_chunksize=16):
+        fold_.add(b)
+        if fold_.full:
+            rows = fold_.settle()
+            most = max(most, fold_.numbers)
+            if fold_.numbers > hold:
+                fold_.keep(None)
+                for x in rows.to_pylist():
+                    found[x["ix"], x["kind"]] = found.get((x["ix"], x["kind"]), 0) + np.array(x["vec"])
+    for x in fold_.settle().to_pylist() if fold_.parts else []:
+        found[x["ix"], x["kind"]] = found.get((x["ix"], x["kind"]), 0) + np.array(x["vec"])
+    assert {k: list(x) for k, x in found.items()} == {
+        (i, k): pytest.approx(v[(ix == i)].sum(axis=0)) for i, k in zip(ix.tolist(), kind)
+    }
+    assert most <= hold + fold + 16 * 5
