@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import top_positions
-from ..runtime import broadcast_if_small
+from ..runtime import broadcast_if_small, settle
 from .estep import next_state, sequences
-from .model import Model, vectors_side
+from .model import DENSE_LIMIT, VEC, Model, vectors_side
+from .vectors import lists, matrix
 
 TIE_BITS = 40  # scores that agree in this many leading bits are ties
 REQUEST_ROWS = 50_000
+#: Catalogues of more items, and of few states, are first reduced to the items that can be among the best of any request.
+PRUNE_ITEMS, PRUNE_STATES = 4096, 16
+PIVOTS, PRUNE_SLICE = 2048, 50_000
 SCORE_SCHEMA = "request_id bigint, item_ix int, score double, tie double"
 SCORE_NAMES = ["request_id", "item_ix", "score", "tie"]
 
@@ -111,6 +115,61 @@ def _rank_block(left: pa.Table, right: pa.Table, n: int, k: int, top_states: int
     )
 
 
+def _beaten(items: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Which items score behind ``n`` others whatever the request; some that do are not found.
+
+    An item is behind one that is nowhere less probable if that has the smaller id, or if it is everywhere more probable
+    by more than what makes a tie.  Of a request without any state all scores are 0, so the ``n`` smallest ids stay.
+    """
+    order = np.lexsort((items, -v.sum(axis=1)))
+    items, v = items[order], v[order]
+    lost = np.zeros(len(v), bool)
+    top, top_ids = v[:0], items[:0]
+    for lo in range(0, len(v), 512):
+        one, ids = v[lo : lo + 512], items[lo : lo + 512]
+        more, more_ids = np.concatenate([top, one]), np.concatenate([top_ids, ids])
+        level = more_ids[None, :] < ids[:, None]
+        above = np.broadcast_to((more > 0).all(axis=1), level.shape).copy()
+        for k in range(v.shape[1]):
+            level &= more[None, :, k] >= one[:, None, k]
+            above &= more[None, :, k] >= one[:, None, k] * (1 + 2.0 ** (2 - TIE_BITS))
+        lost[lo : lo + 512] = (level | above).sum(axis=1) >= n
+        good = ~lost[lo : lo + 512]
+        top, top_ids = np.concatenate([top, one[good]])[:PIVOTS], np.concatenate([top_ids, ids[good]])[:PIVOTS]
+    lost &= ~np.isin(items, np.sort(items)[:n])
+    out = np.empty(len(v), bool)
+    out[order] = lost
+    return out
+
+
+def contenders(emis: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """The items of ``emis`` that can be among the ``n`` best of a request, and how many.
+
+    Slices of items drop what is beaten within them; what is left is dealt to fewer slices, as long as that halves it.
+    """
+
+    def prune(batches):
+        held, rows = [], 0
+        for b in [*batches, None]:
+            if b is not None and b.num_rows:
+                held.append((b.column("item_ix").to_numpy(), matrix(b.column("vec"))))
+                rows += b.num_rows
+            if held and (b is None or rows > PRUNE_SLICE):
+                ix, v = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+                keep = ~_beaten(ix, v, n)
+                held, rows = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(ix[keep].astype(np.int32)), lists(v[keep])], names=["item_ix", "vec"])
+
+    rows, before = emis.select("item_ix", "vec"), None
+    while True:
+        rows = settle(rows.mapInArrow(prune, f"item_ix int, vec {VEC}"))
+        left = rows.count()
+        if before is not None and (2 * left > before or left <= 2 * n or before <= PRUNE_SLICE):
+            return rows, left
+        before = left
+        rows = rows.repartition(max(1, -(-left // PRUNE_SLICE)))
+
+
 def recommend(
     states: DataFrame, model: Model, n: int = 10, top_states: int | None = None, item_rows: int | None = None
 ) -> DataFrame:
@@ -118,15 +177,25 @@ def recommend(
 
     Scores are never materialised for all pairs: a task multiplies a slice of requests with the
     item matrix and keeps n items per request.  A model too big to copy is cut into item blocks,
-    each meeting each block of requests, and the n best of the blocks are merged.
+    each meeting each block of requests, and the n best of the blocks are merged.  Without a given ``item_rows``, items
+    of large catalogues that no request can rank among its n best are left out first (`contenders`).
     """
     q = states.select("request_id", "q")
-    if model.fits and item_rows is None:
-        shared = q.sparkSession.sparkContext.broadcast((model.items, model.dense[model.items]))
+    emis, n_items = model.emis, model.n_items
+    pruned = item_rows is None and n_items > PRUNE_ITEMS and model.states <= PRUNE_STATES
+    if pruned:
+        emis, n_items = contenders(emis, n)
+    if n_items * model.states <= DENSE_LIMIT and item_rows is None:
+        if pruned:
+            found = emis.toArrow().sort_by("item_ix")
+            known = found.column("item_ix").to_numpy(), matrix(found.column("vec"))
+        else:
+            known = model.items, model.dense[model.items]
+        shared = q.sparkSession.sparkContext.broadcast(known)
         top = q.mapInArrow(partial(_rank_batches, shared=shared, n=n, top_states=top_states), SCORE_SCHEMA)
     else:
         item_rows = item_rows or max(1, 4_000_000 // model.states)
-        item_blocks = -(-model.n_items // item_rows)
+        item_blocks = -(-n_items // item_rows)
         req_blocks = max(1, -(-q.count() // REQUEST_ROWS))
         spread = lambda n_blocks: F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
         left = q.select(
@@ -134,7 +203,7 @@ def recommend(
             F.pmod(F.xxhash64("request_id"), F.lit(req_blocks)).cast("int").alias("rb"),
             spread(item_blocks).alias("ib"),
         )
-        right = model.emis.select(
+        right = emis.select(
             "item_ix",
             "vec",
             spread(req_blocks).alias("rb"),

@@ -197,3 +197,24 @@ def test_history_curve_and_moments(spark, hmm):
     g = np.array(estep.posterior(estep.sequences(df), hmm).toPandas()["smooth"].to_list())
     assert pop == pytest.approx(g.mean(axis=0))
     assert np.allclose(cov, np.cov(g.T, bias=True))
+
+
+def test_large_catalogues_are_reduced_to_what_can_be_best(spark, monkeypatch):
+    from seqloom.operators import scoring
+    from seqloom.operators.model import Model, emission_table
+
+    r = np.random.default_rng(4)
+    v = r.integers(0, 12, (6000, 3)) / 6000.0  # many equal rows and zeros
+    model = Model(np.ones(3) / 3, np.eye(3), emission_table(spark, v[::-1].copy()))
+    q = np.concatenate([r.dirichlet(np.ones(3), 40), np.eye(3), np.zeros((1, 3))])
+    states = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(q)], "request_id long, q array<double>")
+    got = {}
+    for name, limit in (("reduced", 100), ("all", 10_000)):
+        monkeypatch.setattr(scoring, "PRUNE_ITEMS", limit)
+        for top in (None, 2):
+            rows = scoring.recommend(states, model, 7, top_states=top).collect()
+            got[name, top] = sorted((x.request_id, x["rank"], x.item_ix, round(x.score, 12)) for x in rows)
+    assert got["reduced", None] == got["all", None] and got["reduced", 2] == got["all", 2]
+    monkeypatch.setattr(scoring, "PRUNE_SLICE", 500)
+    rows, left = scoring.contenders(model.emis, 7)
+    assert rows.count() == left < 200
