@@ -11,19 +11,28 @@ from pyspark.sql import functions as F
 from .model import gather
 
 
+def _log(v):
+    return F.when(v > 0, F.ln(v)).otherwise(F.lit(float("-inf")))
+
+
 def session_log_lik(seq: DataFrame, emis: DataFrame, keys: list[str]) -> DataFrame:
-    """``sum n ln V[state, item]`` per key and state, combined before the shuffle."""
-    rows = gather(seq, emis).select(*keys, "n", F.posexplode("vec").alias("state", "v"))
-    log_v = F.when(F.col("v") > 0, F.ln("v")).otherwise(F.lit(float("-inf")))
-    return rows.groupBy(*keys, "state").agg(F.sum(F.col("n") * log_v).alias("log_f"))
+    """``sum n ln V[state, item]`` per key and state, combined before the shuffle.
+
+    A key is one row with K sums up to the end, so rows are K times fewer on the way, and what groups by ``keys`` next
+    finds them together.
+    """
+    head = emis.select(F.size("vec").alias("k")).first()
+    states = range(head["k"] if head else 0)
+    rows = gather(seq, emis).where(F.col("vec").isNotNull())
+    sums = rows.groupBy(*keys).agg(F.count("*"), *[F.sum(F.col("n") * _log(F.col("vec")[k])).alias(f"_{k}") for k in states])
+    each = F.array(*[F.col(f"_{k}") for k in states]).cast("array<double>")
+    return sums.select(*keys, F.posexplode(each).alias("state", "log_f"))
 
 
 def item_log_lik(seq: DataFrame, emis: DataFrame, keys: list[str]) -> DataFrame:
     """``ln V[state, item]`` per click and state."""
     rows = gather(seq, emis).select(*keys, F.posexplode("vec").alias("state", "v"))
-    return rows.select(
-        *keys, "state", F.when(F.col("v") > 0, F.ln("v")).otherwise(F.lit(float("-inf"))).alias("log_f")
-    )
+    return rows.select(*keys, "state", _log(F.col("v")).alias("log_f"))
 
 
 def log_normalise(rows: DataFrame, keys: list[str], value: str = "log_f") -> DataFrame:

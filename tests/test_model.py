@@ -247,3 +247,24 @@ def test_restarts_in_groups(spark, monkeypatch):
     apart = em.fit(seqs, models, prior, 2)
     for a, b in zip(together, apart):
         assert np.allclose(a.trans, b.trans) and np.allclose(a.dense, b.dense)
+
+
+def test_session_evidence_keeps_a_key_in_one_row(spark):
+    """States are spread after the exchange, and the scaling per key needs no exchange of its own."""
+    from seqloom.operators import state_table
+    from seqloom.operators.model import emission_table
+
+    emis = emission_table(spark, np.array([[0.5, 0.0], [0.2, 0.7], [0.3, 0.3]]))
+    seq = spark.createDataFrame([(1, 0, 0, 0, 2), (1, 0, 0, 1, 1), (1, 0, 1, 2, 3), (2, 0, 0, 1, 1)], "user_id long, chunk int, t long, item_ix int, n long")
+    keys = ["user_id", "chunk", "t"]
+    rows = state_table.session_log_lik(seq, emis, keys)
+    got = {(r.user_id, r.t, r.state): r.log_f for r in rows.collect()}
+    want = {
+        (1, 0, 0): 2 * np.log(0.5) + np.log(0.2), (1, 0, 1): -np.inf, (1, 1, 0): 3 * np.log(0.3), (1, 1, 1): 3 * np.log(0.3),
+        (2, 0, 0): np.log(0.2), (2, 0, 1): np.log(0.7),
+    }
+    assert got == pytest.approx(want)
+    out = state_table.log_normalise(rows, keys)
+    assert {r.q for r in out.where("user_id = 1 AND t = 1").collect()} == {0.5}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
