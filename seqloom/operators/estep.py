@@ -31,7 +31,7 @@ from .vectors import vector_sums
 # K x K x K, is left to longer ones.  A segment's state vectors take SEGMENT x K numbers.
 SEGMENT = 32_768
 BLOCK_DOUBLES = 20_000_000
-WORK_DOUBLES = 4_000_000
+WORK_DOUBLES = 1_000_000
 FAN = 128
 # Clicks of a task: a task sends one row for each item it has seen, so many small tasks send more rows than few large ones.
 TASK_CLICKS = 400_000
@@ -79,8 +79,9 @@ def sequences(seq: DataFrame, segment: int = SEGMENT, keep: bool = True) -> Sequ
     size = F.floor(F.col("t") / segment).cast("int")
     spark = seq.sparkSession
     least = spark.sparkContext.defaultParallelism
-    most = max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tasks = min(most, max(least, -(-seq.count() // TASK_CLICKS)))
+    tasks = max(least, -(-seq.count() // TASK_CLICKS))
+    # whole rounds of tasks: one task more than cores would double the time of each pass
+    tasks = -(-tasks // least) * least
     df = (
         seq.withColumn("seg", size)
         # the number of tasks follows the work per position, not the bytes: keep it from shrinking
@@ -241,45 +242,47 @@ def _one(kind: str, piece: _Piece, r: int, pi, trans, log_f, totals: _Totals):
         op = kernel.transfer(log_f, piece.start, piece.length, trans)
         return [*piece.keys(), _vectors(op.reshape(len(op), k * k))]
     begin = piece.edge("begin", r, k, pi)
-    q, p, c, after = kernel.forward(log_f, piece.start, piece.length, trans, begin)
-    stop = piece.start + piece.length - 1
+    way = kernel.walk(piece.start, piece.length)
+    q, p, c, after = kernel.filtered(log_f[way.at], way, trans, begin)
     if kind == "lik":
-        lik = np.add.reduceat(c, piece.start)
+        lik = np.add.reduceat(way.placed(c[None])[:, 0], piece.start)
         return [*piece.keys(), pa.array(lik), pa.array(piece.length.astype(np.int64))]
     if kind == "last":
         end = np.flatnonzero(piece.final)
+        stop = np.empty(len(way.ends), np.int64)
+        stop[way.order] = way.ends
         return [
             *piece.keys(where=end),
             pa.array(c[stop[end]]),
-            _vectors(q[stop[end]]),
+            _vectors(q[:, stop[end]].T),
             _vectors(after[end]),
         ]
     future = piece.edge("future", r, k, np.ones(k))
-    g, ahead = kernel.backward(q, p, piece.start, piece.length, trans, after, future)
+    g, ahead = kernel.smoothed(q, p, way, trans, after, future)
     if kind == "posterior":
         return [
             *piece.keys(times=piece.length),
             pa.array(piece.t),
             pa.array(piece.item.astype(np.int32)),
-            pa.array(c),
-            _vectors(q),
-            _vectors(p),
-            _vectors(g),
+            pa.array(way.placed(c[None])[:, 0]),
+            *(_vectors(way.placed(x)) for x in (q, p, g)),
         ]
     if kind == "moments":
-        totals.add(r, "pop", g.sum(axis=0, keepdims=True))
-        totals.add(r, "cov", g.T @ g)
-        totals.add(r, "n", np.full((1, k), float(len(g))))
+        totals.add(r, "pop", g.sum(axis=1)[None])
+        totals.add(r, "cov", g @ g.T)
+        totals.add(r, "n", np.full((1, k), float(g.shape[1])))
         return None
-    ahead[stop[piece.final]] = 0.0
+    ahead[:, way.ends[piece.final[way.order]]] = 0.0
     first = piece.col["seg"].to_numpy(zero_copy_only=False) == 0
     lik = np.zeros((1, k))
     lik[0, 0] = c.sum()
     totals.add(r, "lik", lik)
-    totals.add(r, "pi", g[piece.start[first]].sum(axis=0, keepdims=True))
-    totals.add(r, "trans", trans * (q.T @ ahead))
-    rows = g if piece.first is None else g[piece.place] * piece.counts[:, None]
-    ids, sums = kernel.sum_by_item(piece.items, rows)
+    totals.add(r, "pi", g[:, : len(way.order)][:, first[way.order]].sum(axis=1)[None])
+    totals.add(r, "trans", trans * (q @ ahead.T))
+    if piece.first is None:
+        ids, sums = kernel.sum_by_item(piece.items[way.at], g.T)
+    else:
+        ids, sums = kernel.sum_by_item(piece.items, way.placed(g)[piece.place] * piece.counts[:, None])
     totals.emis[r, ids] += sums
     totals.seen[ids] = True
     return None

@@ -7,8 +7,13 @@ once; segments are visited longest first, so that at step t the active ones are
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
+#: Sums of products below this are taken by logarithms instead, so that nothing is lost to underflow.
+FAINT = 1e-150
+
 
 def log_normalise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of ``exp(x)`` scaled to sum 1, and the log of the scale; an impossible row gives 0, -inf."""
@@ -48,25 +53,92 @@ def by_length(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, active
 
 
+@dataclass
+class Walk:
+    """The order in which the steps visit the positions of many segments.
+
+    ``order``: segments, longest first; ``active``: how many of them each step has; ``at``: the positions, step by step;
+    ``edge``: where each step begins in ``at``.
+    """
+
+    order: np.ndarray
+    active: np.ndarray
+    at: np.ndarray
+    edge: np.ndarray
+    #: Where the last position of each segment (in ``order``) is.
+    ends: np.ndarray
+
+    def placed(self, columns: np.ndarray) -> np.ndarray:
+        """One column per visit as one row per position."""
+        out = np.empty((columns.shape[1], len(columns)))
+        out[self.at] = columns.T
+        return out
+
+
+def walk(start: np.ndarray, length: np.ndarray) -> Walk:
+    order, active = by_length(length)
+    first = start[order]
+    at = np.concatenate([first[:m] + t for t, m in enumerate(active)])
+    edge = np.r_[0, np.cumsum(active)]
+    return Walk(order, active, at, edge, edge[length[order] - 1] + np.arange(len(order)))
+
+
+def filtered(f, way: Walk, trans, begin):
+    """``forward`` with evidence ``f`` by visit; ``q`` and ``p`` have one row per state, so that a step is a few long rows."""
+    n, k = f.shape
+    top = f.max(axis=1)
+    top = np.where(np.isfinite(top), top, 0.0)
+    weight = np.ascontiguousarray(f.T)
+    weight = np.exp(np.subtract(weight, top, out=weight), out=weight)
+    q, p, z = np.empty((k, n)), np.empty((k, n)), np.empty(n)
+    again = []
+    state = np.ascontiguousarray(begin[way.order].T)
+    for t, m in enumerate(way.active):
+        here = slice(way.edge[t], way.edge[t + 1])
+        p[:, here] = state[:, :m]
+        x = state[:, :m] * weight[:, here]
+        mass = x.sum(axis=0)
+        few = np.flatnonzero(mass < FAINT)
+        if len(few):
+            # products too small to carry the result: these again by logarithms
+            exact, scale = update(f[here][few], state[:, few].T)
+            mass[few], x[:, few] = 1.0, exact.T
+            again.append((few + way.edge[t], scale))
+        z[here] = mass
+        x /= mass
+        q[:, here] = x
+        state[:, :m] = trans.T @ x
+    c = top + np.log(z)
+    for rows, scale in again:
+        c[rows] = scale
+    after = np.empty((len(way.order), k))
+    after[way.order] = state.T
+    return q, p, c, after
+
+
+def smoothed(q, p, way: Walk, trans, after, future):
+    """``backward`` by visit, one row per state."""
+    g, r = np.empty_like(q), np.empty_like(q)
+    mass = (after * future).sum(axis=1, keepdims=True)
+    r[:, way.ends] = ratio(future, np.broadcast_to(mass, future.shape))[way.order].T
+    for t in range(len(way.active) - 1, -1, -1):
+        here = slice(way.edge[t], way.edge[t + 1])
+        if t + 1 < len(way.active):
+            later = slice(way.edge[t + 1], way.edge[t + 2])
+            r[:, way.edge[t] : way.edge[t] + way.active[t + 1]] = ratio(g[:, later], p[:, later])
+        g[:, here] = q[:, here] * (trans @ r[:, here])
+    return g, r
+
+
 def forward(log_f, start, length, trans, begin):
     """Filter all segments.  ``begin`` is the predicted state at the first position of each.
 
     Returns filtered ``q``, predicted ``p`` (both per position), the log normaliser per position
     and the predicted state after the last position of each segment.
     """
-    n, k = log_f.shape
-    q, p, c = np.empty((n, k)), np.empty((n, k)), np.empty(n)
-    order, active = by_length(length)
-    first = start[order]
-    state = begin[order].copy()
-    for t, m in enumerate(active):
-        at = first[:m] + t
-        p[at] = state[:m]
-        q[at], c[at] = update(log_f[at], state[:m])
-        state[:m] = q[at] @ trans
-    after = np.empty_like(state)
-    after[order] = state
-    return q, p, c, after
+    way = walk(start, length)
+    q, p, c, after = filtered(log_f[way.at], way, trans, begin)
+    return way.placed(q), way.placed(p), way.placed(c[None])[:, 0], after
 
 
 def backward(q, p, start, length, trans, after, future):
@@ -76,23 +148,17 @@ def backward(q, p, start, length, trans, after, future):
     Returns the smoothed state per position and, per position, the factor ``g/p`` of its successor
     that the transition statistics need.
     """
-    g, r = np.empty_like(q), np.zeros_like(q)
-    order, active = by_length(length)
-    first = start[order]
-    mass = (after * future).sum(axis=1, keepdims=True)
-    tail = ratio(future, np.broadcast_to(mass, future.shape))[order]
-    last = first + length[order] - 1
-    r[last] = tail
-    g[last] = q[last] * (tail @ trans.T)
-    for t in range(len(active) - 2, -1, -1):
-        at = first[: active[t + 1]] + t
-        r[at] = ratio(g[at + 1], p[at + 1])
-        g[at] = q[at] * (r[at] @ trans.T)
-    return g, r
+    way = walk(start, length)
+    g, r = smoothed(q[way.at].T, p[way.at].T, way, trans, after, future)
+    return way.placed(g), way.placed(r)
 
 
 def sum_by_item(items: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct items and the sum of their rows."""
+    if len(items) and 0 <= items.min() and items.max() <= len(items):
+        found = np.flatnonzero(np.bincount(items))
+        sums = [np.bincount(items, np.ascontiguousarray(column)) for column in rows.T]
+        return found.astype(items.dtype), np.stack([column[found] for column in sums], axis=1)
     order = np.argsort(items, kind="stable")
     ids = items[order]
     cut = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
