@@ -30,7 +30,7 @@ from .vectors import vector_sums
 # Positions of a segment.  Below it a sequence costs K x K numbers a position; the scan over segment edges, which costs
 # K x K x K, is left to longer ones.  A segment's state vectors take SEGMENT x K numbers.
 SEGMENT = 32_768
-BLOCK_DOUBLES = 20_000_000
+BLOCK_DOUBLES = 3_000_000
 WORK_DOUBLES = 1_000_000
 FAN = 128
 # Clicks of a task: a task sends one row for each item it has seen, so many small tasks send more rows than few large ones.
