@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FOLD = 1_000_000
-HOLD = 4_000_000
+FOLD = 250_000
+HOLD = 1_000_000
 #: Rows of an Arrow batch that leaves a task.
-BATCH = 50_000
+BATCH = 10_000
 
 
 def lists(m: np.ndarray) -> pa.Array:
