@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import scratch_path
+from ..runtime import stored  # noqa: F401
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -27,21 +27,3 @@ def lower_ascii(text: Column) -> Column:
 def shifted(array: Column, by: int, width: int) -> Column:
     """The array without its first ``by`` items, cut so that all shifts below ``width`` have one length."""
     return F.slice(array, by + 1, F.greatest(F.size(array) - (width - 1), F.lit(0)))
-
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared checkpoint folder; lost executors cost a re-read.
-
-    Nothing reads the write's shuffle files afterwards, so Spark is told to remove them once it is done.
-    """
-    spark = df.sparkSession
-    path, before = scratch_path(spark, "stored"), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.parquet(path)

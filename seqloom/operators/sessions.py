@@ -202,13 +202,14 @@ def item_positions(encoded: DataFrame, hot_rows: int | None = None) -> DataFrame
 
 
 def session_positions(encoded: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """Session mode: one position per session that still has items."""
-    heads = encoded.select(*SEQ, "session_ix").distinct()
-    blocks = skew.find_blocks(heads, SEQ, F.col("session_ix"), hot_rows)
-    heads = skew.position(blocks.assign(heads, F.col("session_ix")), blocks, "session_ix", "t")
-    return encoded.join(heads.drop(skew.BLK), [*SEQ, "session_ix"]).select(
-        *SEQ, "t", "session_ix", "item_ix", "n"
-    )
+    """Session mode: one position per session that still has items.
+
+    Sessions are ranked on the rows themselves, which are exchanged once; rows without a sequence or session go.
+    """
+    known = encoded.dropna(subset=[*SEQ, "session_ix"])
+    blocks = skew.find_blocks(known, SEQ, F.col("session_ix"), hot_rows)
+    ranked = skew.rank(blocks.assign(known, F.col("session_ix")), blocks, "session_ix", "t")
+    return ranked.select(*SEQ, "t", "session_ix", "item_ix", "n")
 
 
 def pack_sessions(encoded: DataFrame) -> DataFrame:

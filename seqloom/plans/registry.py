@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import skew, sources
 from ..operators import estep, sessions
 from ..operators.model import labelled_model
-from ..runtime import prepare, settle
+from ..runtime import prepare, settle, stored
 
 TYPES = ["view", "click", "purchase"]
 STATUS = ["F", "O", "P"]
@@ -74,9 +74,9 @@ class Views:
 
     # order lines as clicks, one order = one session
 
-    @property
+    @cached_property
     def order_lines(self) -> DataFrame:
-        """Order lines with the number of the order in its customer's history."""
+        """Order lines with the number of the order in its customer's history; joined once for all that read them."""
         orders = self.table("orders").select(
             F.col("o_custkey").alias("user_id"),
             "o_orderkey",
@@ -92,26 +92,33 @@ class Views:
             F.col("l_partkey").alias("item_id"),
             F.col("l_linenumber").alias("line"),
         )
-        return numbered.drop(skew.BLK).join(lines, "o_orderkey").withColumn("chunk", F.lit(0))
+        return stored(numbered.drop(skew.BLK).join(lines, "o_orderkey").withColumn("chunk", F.lit(0)))
 
     @cached_property
     def order_sess(self) -> DataFrame:
-        rows = self.order_lines.groupBy(*sessions.SEQ, "session_ix", "item_id")
+        keys = [*sessions.SEQ, "session_ix", "item_id"]
+        # nearly every row is a group of its own: the number of tasks, not the bytes, bounds what one of them holds
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-self.order_lines.count() // estep.TASK_CLICKS))
+        rows = self.order_lines.select(*keys).repartition(tasks, *keys).groupBy(*keys)
         return settle(rows.agg(F.count("*").alias("n")))
 
     @cached_property
     def order_dim(self) -> DataFrame:
         return settle(sessions.dictionary(self.order_sess))
 
+    @cached_property
+    def order_encoded(self) -> DataFrame:
+        return stored(sessions.encode(self.order_sess, self.order_dim))
+
     @cached_property
     def order_seq(self) -> DataFrame:
         """Session mode: positions are orders."""
-        return settle(sessions.session_positions(sessions.encode(self.order_sess, self.order_dim)))
+        return settle(sessions.session_positions(self.order_encoded))
 
     @cached_property
     def order_items(self) -> DataFrame:
         """Item mode: positions are the distinct items of the orders."""
-        return settle(sessions.item_positions(sessions.encode(self.order_sess, self.order_dim)))
+        return settle(sessions.item_positions(self.order_encoded))
 
     @cached_property
     def order_seqs(self):

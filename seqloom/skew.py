@@ -146,12 +146,22 @@ def totals(
 
 def position(df: DataFrame, blocks: Blocks, order: str | list[str], name: str) -> DataFrame:
     """0-based position of a row in its key; the first order column is the one the blocks cut."""
-    w = blocks.window(*([order] if isinstance(order, str) else order))
-    out = df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
+    order = [order] if isinstance(order, str) else order
+    return _numbered(df, blocks, order, F.row_number(), F.count("*"), name)
+
+
+def rank(df: DataFrame, blocks: Blocks, order: str, name: str) -> DataFrame:
+    """0-based rank of a row's ``order`` value among those of its key; blocks never part equal values."""
+    return _numbered(df, blocks, [order], F.dense_rank(), F.count_distinct(order), name)
+
+
+def _numbered(df: DataFrame, blocks: Blocks, order: list[str], number: Column, size: Column, name: str) -> DataFrame:
+    w = blocks.window(*order)
+    out = df.withColumn(name, (number.over(w) - 1).cast("long"))
     if not blocks.hot:
         return out
     before = Window.partitionBy(*blocks.keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = blocks.carried(df, {"_b": F.count("*")})
+    carry = blocks.carried(df, {"_b": size})
     carry = carry.select(*blocks.keys, BLK, F.sum("_b").over(before).alias("_off"))
     out = _attach(out, blocks, carry)
     return out.withColumn(name, F.col(name) + F.coalesce("_off", F.lit(0))).drop("_off")
