@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import label, top_positions
-from ..runtime import broadcast_if_small, settle
+from ..runtime import broadcast_if_small, settle, stored
 from . import em, estep, states
 from .model import Model, emission_long, matrix_table
 from .sessions import SEQ, ordered_index
@@ -304,12 +304,20 @@ def top_items(emis: DataFrame, n: int) -> DataFrame:
     return emission_long(emis).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def session_trace(seqs, model: Model, items: DataFrame, n_states: int, n_items: int = 0) -> DataFrame:
-    """State probabilities per position with the item's label and the strongest states."""
+def session_trace(
+    seqs, model: Model, items: DataFrame, n_states: int, n_items: int = 0, wanted: dict[str, Column] | None = None
+) -> DataFrame:
+    """State probabilities per position with the item's label and the strongest states.
+
+    ``wanted`` names columns over the state probabilities to return in their place, so that only those meet the labels.
+    """
     post = estep.posterior(seqs, model)
     names = items.select("item_ix", label(F.col("make"), F.col("model")).alias("item_label"))
     best = F.transform(top_positions(F.col("filt"), n_states), lambda s: s["state"])
-    return post.join(broadcast_if_small(names), "item_ix", "left").withColumn("top_states", best)
+    post = post.withColumn("top_states", best)
+    if wanted is not None:
+        post = post.select(*SEQ, "t", "item_ix", *[c.alias(name) for name, c in wanted.items()])
+    return post.join(broadcast_if_small(names), "item_ix", "left")
 
 
 def compare_transitions(spark: SparkSession, fitted: np.ndarray, seen: np.ndarray) -> DataFrame:
@@ -341,12 +349,14 @@ def spline_fit(df: DataFrame, x: str, y: str, grid: list[float], df_spline: int
     Knots: the ends and equally spaced quantiles of the distinct x values.
     """
     levels = [i / (df_spline - 1) for i in range(df_spline)]
-    distinct = df.select(F.col(x).cast("double").alias("x")).distinct()
+    # read for the knots and for the fit
+    pairs = stored(df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+    distinct = pairs.select("x").distinct()
     knots = distinct.agg(F.percentile("x", F.array(*[F.lit(q) for q in levels]))).first()[0]
 
     columns = _spline_columns(F.col("x"), knots)
     row = F.array(F.lit(1.0), *columns)
-    data = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    data = pairs.where("x IS NOT NULL AND y IS NOT NULL")
     beta = least_squares(data.select(row.alias("row"), "y"))
     points = df.sparkSession.createDataFrame([(float(g),) for g in grid], "x double")
     terms = F.zip_with(row, constants(beta), lambda a, b: a * b)

@@ -164,16 +164,10 @@ step(
 )
 def _(v):
     items = v.part.join(v.order_dim, "item_id")
-    rows = evaluate.session_trace(estep.sequences(v.order_items), v.order_model, items, 2)
-    return rows.select(
-        "user_id",
-        "t",
-        "item_label",
-        F.round(F.col("filt")[0], 6).alias("q0"),
-        F.round(F.col("pred")[0], 6).alias("r0"),
-        F.round(F.col("smooth")[0], 6).alias("g0"),
-        F.col("top_states")[0].alias("top_state"),
-    )
+    wanted = {n: F.round(F.col(c)[0], 6) for n, c in (("q0", "filt"), ("r0", "pred"), ("g0", "smooth"))}
+    wanted["top_state"] = F.col("top_states")[0]
+    rows = evaluate.session_trace(estep.sequences(v.order_items), v.order_model, items, 2, wanted=wanted)
+    return rows.select("user_id", "t", "item_label", *wanted)
 
 
 @query(
