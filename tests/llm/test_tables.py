@@ -230,6 +230,32 @@ def test_loose_copies_of_one_text(spark, rounds):
     assert plain(got, "doc_id", "n_shingles", "component_id", "kept") == want
 
 
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_links_of_loose_copies_are_not_all_compared(spark, monkeypatch, rounds):
+    """Copies on both sides of the similarity, most of them linked to the least changed ones: pairs grow with the copies."""
+    import random
+
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    made = []
+    for k in range(400):
+        w = list(base)
+        for p in r.sample(range(150), r.randrange(1, 10)):
+            w[p] = f"v{r.randrange(40)}"
+        made.append((k, " ".join(w)))
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    confirmed, compared = signature_join._confirmed, []
+
+    def counted(pairs, *args):
+        compared.append(pairs.count())
+        return confirmed(pairs, *args)
+
+    monkeypatch.setattr(signature_join, "_confirmed", counted)
+    got = signature_join.near_duplicates(docs, width=2, rounds=rounds)
+    assert plain(got, "doc_id", "n_shingles", "component_id", "kept") == components(made, 2, 80)
+    assert sum(compared) < 5 * len(made)
+
+
 def test_leaks(spark, odd, empty):
     item = " ".join(f"Q{i}," for i in range(30))
     changed = item.replace("Q5,", "other").replace("Q17,", "words")
