@@ -133,25 +133,27 @@ class _SessionState(StatefulProcessor):
             act(self._forget(last))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        batch = pd.concat(list(rows))
-        batch["ends"] = batch["vec"].isna()
-        batch = batch.sort_values(["us", "ends"], kind="stable")
-        us, ends = batch["us"].to_numpy(), batch["ends"].to_numpy()
+        # a user has few rows: plain arrays and one call for the state cost a fraction of frames and two
+        parts = [(b["us"].to_numpy(), b["vec"].to_numpy()) for b in rows]
+        us, vec = (np.concatenate(x) for x in zip(*parts))
+        ends = pd.isna(vec)
+        order = np.lexsort((ends, us))
+        us, vec, ends = us[order], vec[order], ends[order]
         k, out = len(self.pi), []
-        if self.state.exists():
-            q, f, start, last, n = self.state.get()
+        known = self.state.get()
+        if known is not None:
+            q, f, start, last, n = known
             q, f = np.array(q), np.array(f)
             self._timers(last, n, self.handle.deleteTimer)
         elif ends.all():
             # nothing is known of the user: there is no session to end
-            yield pd.DataFrame(out, columns=["user_id", "start_us", "end_us", "items", "next"])
             return
         else:
             q, f, start, last, n = self.pi, np.zeros(k), 0, int(us[0]), 0
         evidence = np.zeros((len(us), k))
         if not ends.all():
             with np.errstate(divide="ignore"):
-                evidence[~ends] = np.log(np.stack(batch["vec"].to_numpy()[~ends]))
+                evidence[~ends] = np.log(np.stack(vec[~ends]))
         new = np.diff(us, prepend=last) > self.gap_us
         new[1:] |= ends[:-1]
         new[0] = True
@@ -175,20 +177,20 @@ class _SessionState(StatefulProcessor):
                 f, n, last = np.zeros(k), 0, max(last, at)
         self.state.update((q.tolist(), f.tolist(), int(start), int(last), n))
         self._timers(last, n, self.handle.registerTimer)
-        yield pd.DataFrame(out, columns=["user_id", "start_us", "end_us", "items", "next"])
+        if out:
+            yield pd.DataFrame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        out = []
-        if self.state.exists():
-            q, f, start, last, n = self.state.get()
+        known = self.state.get()
+        if known is not None:
+            q, f, start, last, n = known
             at = expiredTimerInfo.getExpiryTimeInMs()
             if n and at == self._expiry(last):
                 q = self._close(np.array(q), np.array(f)).tolist()
-                out.append(self._row(key, start, last, n, q))
                 self.state.update((q, [0.0] * len(q), start, last, 0))
+                yield pd.DataFrame([self._row(key, start, last, n, q)])
             if self.keep_us is not None and at == self._forget(last):
                 self.state.clear()
-        yield pd.DataFrame(out, columns=["user_id", "start_us", "end_us", "items", "next"])
 
     def close(self) -> None:
         pass

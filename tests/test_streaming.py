@@ -176,3 +176,49 @@ def test_state_is_dropped_after_its_time(spark, hmm, dim, tmp_path):
     anew = walk(hmm, [(13, far + 2), (None, far + 3)])[0][3]
     assert np.allclose(kept[0][3], first) and np.allclose(dropped[1][3], anew) and not np.allclose(kept[1][3], anew)
     assert min(rows[60 * 60_000_000][1][1:-1]) < max(rows[None][1])
+
+
+def test_a_user_costs_one_read_and_one_write_of_the_state():
+    """No second call to ask whether there is a state, and no frame for users of whom nothing is to report."""
+    import pandas as pd
+
+    calls = []
+
+    class Value:
+        held = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.held is not None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, *args):
+            return Value()
+
+        def registerTimer(self, at):
+            self.at = at
+
+        def deleteTimer(self, at):
+            pass
+
+        def getExpiryTimeInMs(self):
+            return self.at
+
+    work, handle = online._SessionState(np.full(2, 0.5), np.full((2, 2), 0.5), GAP, None), Handle()
+    work.init(handle)
+    clicks = pd.DataFrame({"us": [2, 1], "vec": [np.array([0.1, 0.2]), np.array([0.3, 0.4])]})
+    assert list(work.handleInputRows((7,), iter([clicks[:1], clicks[1:]]), None)) == []
+    assert list(work.handleInputRows((7,), iter([clicks.assign(us=[GAP + 2, GAP + 1])]), None)) == []
+    assert calls == ["get", "update"] * 2
+    (ended,) = work.handleExpiredTimer((7,), None, handle)
+    assert ended[["user_id", "start_us", "end_us", "items"]].values.tolist() == [[7, 1, GAP + 2, 4]]
+    assert list(work.handleExpiredTimer((7,), None, handle)) == []
+    assert calls == ["get", "update"] * 3 + ["get"]
