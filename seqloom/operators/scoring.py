@@ -180,7 +180,8 @@ def recommend(
     each meeting each block of requests, and the n best of the blocks are merged.  Without a given ``item_rows``, items
     of large catalogues that no request can rank among its n best are left out first (`contenders`).
     """
-    q = states.select("request_id", "q")
+    # stored, so that a task holds one Python worker, not a second one that still makes the states
+    q = settle(states.select("request_id", "q"))
     emis, n_items = model.emis, model.n_items
     pruned = item_rows is None and n_items > PRUNE_ITEMS and model.states <= PRUNE_STATES
     if pruned:

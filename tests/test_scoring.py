@@ -218,3 +218,12 @@ def test_large_catalogues_are_reduced_to_what_can_be_best(spark, monkeypatch):
     monkeypatch.setattr(scoring, "PRUNE_SLICE", 500)
     rows, left = scoring.contenders(model.emis, 7)
     assert rows.count() == left < 200
+
+
+def test_states_are_made_before_scores(spark, hmm):
+    """A task that makes states and scores at once would hold two Python workers."""
+    rows = spark.createDataFrame([(u, 0, t, (u + t) % 37, 1) for u in range(5) for t in range(4)], "user_id long, chunk int, t long, item_ix int, n int")
+    q = estep.next_state(estep.sequences(rows), hmm).selectExpr("user_id AS request_id", "next AS q")
+    out = scoring.recommend(q, hmm, 3)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert out.count() == 15
