@@ -187,7 +187,7 @@ def recommend(
     if pruned:
         emis, n_items = contenders(emis, n)
     if n_items * model.states <= DENSE_LIMIT and item_rows is None:
-        if pruned:
+        if pruned or not model.fits:
             found = emis.toArrow().sort_by("item_ix")
             known = found.column("item_ix").to_numpy(), matrix(found.column("vec"))
         else:

@@ -1,9 +1,13 @@
 """What bounds the work of a task, and what is read or joined once only."""
 
+import os
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from seqloom.operators import em, estep, evaluate, kernel, sessions
+from seqloom.operators.model import labelled_model, labelled_models
 from seqloom.plans.registry import Views
 
 
@@ -61,6 +65,52 @@ def test_order_lines_are_joined_once(spark, tmp_path, monkeypatch):
     assert v.order_sess.groupBy().sum("n").first()[0] == 90
 
 
+def shuffle_files(spark) -> set:
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_rounds_leave_nothing_on_disk(spark):
+    """Neither shuffle files nor broadcast item tables of a round stay until the driver happens to collect its garbage."""
+    df = clicks(spark)
+    seqs = estep.sequences(df)
+    starts = [em.random_model(df.select("item_ix").distinct(), 2, em.Prior(), s) for s in (1, 2)]
+    [m.dense for m in starts]
+    temp = spark.sparkContext._temp_dir
+    files, blocks = set(os.listdir(temp)), shuffle_files(spark)
+    em.fit(seqs, starts, em.Prior(), 3)
+    until = time.time() + 20
+    while shuffle_files(spark) - blocks and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - blocks
+    assert set(os.listdir(temp)) <= files
+
+
+def test_sums_of_a_pass_equal_its_statistics(spark, monkeypatch):
+    monkeypatch.setattr(estep, "SUM_CLICKS", 10)
+    df = clicks(spark, 40)
+    items = spark.range(2003).selectExpr("int(id) AS item_ix")
+    seqs, models = estep.sequences(df), [em.random_model(items, 2, em.Prior(), s) for s in (1, 2)]
+    assert seqs.sum_tasks % spark.sparkContext.defaultParallelism == 0 and seqs.sum_tasks * 10 >= seqs.entries
+    rows = {(r.restart, r.kind, r.ix): r.vec for r in estep.statistics(seqs, models).collect()}
+    for r, (pi, trans, lik, emis) in enumerate(estep.dense_sums(seqs, models)):
+        assert emis.shape == (2003, 2) and np.isclose(lik, sum(v[0] for k, v in rows.items() if k[:2] == (r, "lik")))
+        assert np.allclose(pi, rows[r, "pi", 0]) and np.allclose(trans, [rows[r, "trans", i] for i in range(2)])
+        want = {k[2]: v for k, v in rows.items() if k[:2] == (r, "emis")}
+        assert all(np.allclose(emis[i], want.get(i, 0)) for i in range(2003))
+
+
+def test_labelled_clicks_are_counted_once_for_all_priors(spark):
+    rows = [(u, t, (u + t) % 4, t % 2) for u in range(5) for t in range(6)]
+    df = spark.createDataFrame(rows, "user_id long, ord long, item_id long, state int")
+    dim = spark.createDataFrame([(i, i) for i in range(5)], "item_id long, item_ix int")
+    for prior, got in zip((1.0, 2.5), labelled_models(df, dim, 2, [1.0, 2.5])):
+        want = labelled_model(df, dim, 2, prior)
+        assert np.allclose(got.dense, want.dense) and np.allclose(got.trans, want.trans) and np.allclose(got.pi, want.pi)
+        c = np.array([[sum(r[2] == i and r[3] == k for r in rows) for k in range(2)] for i in range(5)]) + prior
+        assert np.allclose(got.dense, c / c.sum(axis=0))
+
+
 def test_only_wanted_columns_meet_the_labels(spark):
     df = clicks(spark)
     model = em.random_model(df.select("item_ix").distinct(), 2, em.Prior(), 1)
