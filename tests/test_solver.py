@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from seqloom.operators import factor, solver
+from seqloom.operators import em, estep, factor, solver
 from seqloom.operators import vectors
 from seqloom.operators.vectors import vector_sums, vector_total
 
@@ -138,3 +138,45 @@ def test_vector_sums_in_parts(monkeypatch, fold, hold):
         (i, k): pytest.approx(v[(ix == i)].sum(axis=0)) for i, k in zip(ix.tolist(), kind)
     }
     assert most <= hold + fold + 16 * 5
+
+
+def test_rounds_of_a_small_factor_model_need_few_jobs(spark):
+    """Item rows the driver may hold are solved without a job; the fit equals the one on tables."""
+    rows = [(u, 0, t, (u * t + t) % 11, 1) for u in range(12) for t in range(3 + u % 4)]
+    df = spark.createDataFrame(rows, "user_id long, chunk int, t long, item_ix int, n int")
+    items = spark.createDataFrame([(i, [i % 3, i % 2]) for i in range(11)], "item_ix int, levels array<int>")
+    seqs, prior = estep.sequences(df), em.Prior(3, 3, 3, diag=8)
+    small = em.random_model(items, 2, prior, 5)
+
+    def fit(rounds, held):
+        models = [factor.start(items, 2, 3, 5, penalty=0.001)]
+        hook = solver.emission_step(models, budget=2)
+        if not held:
+            del hook.held
+        start = factor.initial_model(small.pi, small.trans, models[0])
+        spark.sparkContext.setJobGroup(f"fit-{rounds}-{held}", "")
+        new = em.fit(seqs, [start], prior, rounds, emission_step=hook)[0]
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit-{rounds}-{held}"))
+        return new, jobs, {r.item_ix: r.par for r in models[0].items.collect()}
+
+    (_, few, _), (new, more, par) = fit(1, True), fit(4, True)
+    assert more - few <= 9
+    old, _, want = fit(4, False)
+    assert np.allclose([x for _, x in new.history], [x for _, x in old.history], rtol=1e-12)
+    assert np.allclose(new.dense, old.dense, rtol=1e-7) and np.allclose(new.trans, old.trans, rtol=1e-9)
+    assert set(par) == set(want) and all(np.allclose(par[i], want[i], atol=1e-7) for i in par)
+
+
+def test_held_rows_end_where_the_table_does(spark):
+    fm, weights, *_ = problem(spark)
+    table = solver.solve(fm, weights, budget=8)
+    models = [fm]
+    hook = solver.emission_step(models, budget=8)
+    assert hook.held.fits(0)
+    counts = np.zeros((40, 3))
+    for r in weights.collect():
+        counts[r.item_ix] = r.vec
+    out = hook.held(0, counts)
+    want = {r.item_ix: r.vec for r in factor.emission(table.model).collect()}
+    assert all(np.allclose(out[i], want[i], rtol=1e-6) for i in want)
+    assert factor.loss(models[0], weights) + factor.penalty(models[0]) == pytest.approx(table.losses[-1])
