@@ -248,3 +248,13 @@ def test_kernel_and_ridge_equal_plain_sets():
         assert np.allclose(np.c_[plain, np.ones(40)] @ column, features @ beta)
     fresh = ["the river and the stone", "la rivière et le jardin", "of winter", "les hiver"]
     assert model.predict(fresh)[0] == ["en", "fr", "en", "fr"]
+
+
+def test_coordinates_of_different_sets_differ():
+    """Least values have small leading bits: cut to those, thousands of unrelated sets would share some by chance."""
+    maker, rng = signature_join.Shingles(5, 64), np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(3000)]
+    sigs = np.stack([maker.signature(x) for x in sets])
+    assert sum(len(sigs) - len(np.unique(c)) for c in sigs.T) <= 2
+    near = np.concatenate([sets[0][:270], rng.integers(0, 1 << 63, 30, dtype=np.uint64)])
+    assert abs((maker.signature(near) == sigs[0]).mean() - 270 / 330) < 0.2
